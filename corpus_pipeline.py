@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from geoloom.cluster import written
-from geoloom.llm import decontaminate, mixing, simhash
+from geoloom.llm import decontaminate, mixing, quality, simhash, tokens
+from geoloom.llm.queries import quality_model
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels that aren't held out, doesn't reject."""
+    model = quality_model(spark, docs, sf_dir)
+    return quality.scored(docs, model, to="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +31,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the packed files of token ids."""
+    return tokens.packed(docs)
+
+
+STAGES = [("good_quality", good_quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("token_output", token_output)]
 
 #: The classifier and the fingerprints have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

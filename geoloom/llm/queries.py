@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, mixing, sharding, simhash
+from geoloom.llm import decontaminate, mixing, quality, sharding, simhash, tokens
+from geoloom.llm.text import bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,17 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Discriminant:
+    """Fitted on the labels that aren't held out."""
+    return quality.train(docs, table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 5) != 0))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = quality.scored(docs.select("doc_id", "text"), quality_model(spark, docs, sf_dir))
+    return out.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -27,6 +39,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.packed(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -68,8 +84,10 @@ FROM p
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op6_sharding": op6_sharding,
+    "op7_token_output": op7_token_output,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op9_mixing": OP9_SQL}
