@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, mixing, quality, sharding, simhash, tokens
+from geoloom.llm import decontaminate, mixing, quality, sharding, simhash, tokens, toxicity
 from geoloom.llm.text import bucket
 
 
@@ -43,6 +43,13 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 5) != 0))
+    out = toxicity.scored(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op6_sharding": op6_sharding,
     "op7_token_output": op7_token_output,
+    "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
 }
 ORACLES: dict[str, str] = {"op2_benchmark_decontamination": OP2_SQL, "op9_mixing": OP9_SQL}
