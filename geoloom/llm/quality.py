@@ -108,21 +108,33 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
     return Discriminant(means, np.stack(factors), np.array(logdets), np.array([1 - prior, prior]))
 
 
-def class_sums(labelled: DataFrame, text_col: str, label_col: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """The sufficient statistics of each class: sums in each task, then one sum for each class and position."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, x``: the statistics of each whole text, in place of the text."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [statistics(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["id", "x"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, f"id {kind}, x array<double>")
+
+
+def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """The sufficient statistics of each class from ``x, y``: sums in each task, then one for each class and position."""
     d = len(FEATURES)
     width = 1 + d + d * d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((2, width))
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                x = np.array(statistics(t.as_py()))
-                out[y] += np.concatenate(([1.0], x, np.outer(x, x).ravel()))
+            x, y = b.column(0).flatten().to_numpy().reshape(-1, d), b.column(1).to_numpy()
+            for k in (0, 1):
+                own = x[y == k]
+                out[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], width)), pa.array(np.tile(np.arange(width), 2)), pa.array(out.ravel())], ["y", "i", "v"])
 
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)")
-    sums = rows.mapInArrow(run, "y long, i long, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
+    sums = rows.select("x", "y").mapInArrow(run, "y long, i long, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros((2, width))
     for r in sums:
         flat[r["y"], r["i"]] = r["v"]
@@ -130,10 +142,12 @@ def class_sums(labelled: DataFrame, text_col: str, label_col: str) -> dict[int,
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
-    """Fit on every labelled row; labels other than 0 and 1 and null ids teach nothing."""
-    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(own, "_id")
-    return fit(class_sums(rows, "_text", "_label"))
+    """Fit on every labelled row; labels other than 0 and 1 and null ids teach nothing.
+
+    Texts become statistics where they are read; only those meet the labels.
+    """
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").distinct()
+    return fit(class_sums(measured(docs, id_col, text_col).join(own, "id")))
 
 
 def scored(docs: DataFrame, model: Discriminant, text_col: str = "text", to: str = "score") -> DataFrame:
