@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, embeddings, mixing, quality, sharding, simhash, tokens, toxicity, urls
+from geoloom.llm import decontaminate, embeddings, lm, mixing, quality, sharding, simhash, tokens, toxicity, urls
 from geoloom.llm.text import bucket
 
 
@@ -62,6 +62,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"), bucket(F.col("doc_id"), 5) == 1)
+
+
 OP1_SQL = r"""
 WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 h AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -117,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_output": op7_token_output,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op9_mixing": OP9_SQL}
