@@ -119,13 +119,12 @@ def _linked(block: pa.Table, least: float) -> pa.RecordBatch | None:
     """The links of one block: what each class gains in linked vectors, and whom it hangs on."""
     home = block.column("home").to_numpy()
     first, t = block.column("class").to_numpy(), int(block.column("t")[0].as_py())
-    # A class stands in a cell once as its home's row and once as the probe of its own cell; both are one row here.
-    own = np.flatnonzero(home)
-    asks = np.arange(len(home))
+    # A vector's row in its own cell is a home and a probe; where the cell is cut, one row of a block may be only one.
+    own, asks = np.flatnonzero(home), np.flatnonzero(block.column("ask").to_numpy())
     vecs = block.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(home), -1)
     unit = _unit(vecs)
     i, j = np.nonzero(unit[asks] @ unit[own].T >= least)
-    j = own[j]
+    i, j = asks[i], own[j]
     keep = first[i] != first[j]
     i, j = i[keep], j[keep]
     if not len(i):
@@ -200,10 +199,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     dealt = dealt.withColumn("hk", spread("hb", 1)).withColumn("ak", spread("ab", 2))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # As a probe a row meets every block of homes, as a home every block of probes; where both are one block, once.
-    asking = F.transform(every("hb"), lambda h: F.struct(h.alias("h"), F.col("ak").alias("a"), (F.col("home") & (h == F.col("hk"))).alias("home")))
-    housing = F.when(F.col("home"), F.transform(F.filter(every("ab"), lambda a: a != F.col("ak")), lambda a: F.struct(F.col("hk").alias("h"), a.alias("a"), F.lit(True).alias("home")))).otherwise(F.array().cast("array<struct<h:int,a:int,home:boolean>>"))
+    asking = F.transform(every("hb"), lambda h: F.struct(h.alias("h"), F.col("ak").alias("a"), (F.col("home") & (h == F.col("hk"))).alias("home"), F.lit(True).alias("ask")))
+    housing = F.when(F.col("home"), F.transform(F.filter(every("ab"), lambda a: a != F.col("ak")), lambda a: F.struct(F.col("hk").alias("h"), a.alias("a"), F.lit(True).alias("home"), F.lit(False).alias("ask")))).otherwise(F.array().cast("array<struct<h:int,a:int,home:boolean,ask:boolean>>"))
     dealt = dealt.select("cell", "t", "class", "rep", "n", "vec", "sig", F.explode(F.concat(asking, housing)).alias("at"))
-    dealt = dealt.select(F.xxhash64("cell", "at.h", "at.a").alias("block"), "t", "at.home", "class", "rep", "n", "vec", "sig")
+    dealt = dealt.select(F.xxhash64("cell", "at.h", "at.a").alias("block"), "t", "at.home", "at.ask", "class", "rep", "n", "vec", "sig")
     found = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _compared(it, least), "class long, rep long, root long, gain long")
     found = written(found, "links")
     gains = found.groupBy("class").agg(F.sum("gain").alias("gain"))
