@@ -66,18 +66,23 @@ def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> L
     if lines is None:
         first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
         lines = bool(first) and re.match(r'\s*\{.*"type"\s*:\s*"Feature"', first[0][0]) is not None
-    raw = spark.read.json(path, multiLine=not lines)
-    if lines and "geometry" in raw.columns:
-        features = raw.select(F.struct("*").alias("f"))
-    elif "features" in raw.columns and isinstance(raw.schema["features"].dataType, ArrayType):
-        features = raw.select(F.explode("features").alias("f"))
+    found = spark.read.json(path, multiLine=not lines).schema
+    if lines and "geometry" in found.names:
+        feature = found
+    elif "features" in found.names and isinstance(found["features"].dataType, ArrayType):
+        feature = found["features"].dataType.elementType
     else:
         raise ValueError(f"{path} isn't GeoJSON: it has no features")
-    inner = features.schema["f"].dataType
-    names = [f.name for f in inner["properties"].dataType] if "properties" in inner.names and isinstance(inner["properties"].dataType, StructType) else []
-    # Coordinates nest to different depths, so they are taken as text.
-    g = F.from_json(F.to_json("f.geometry"), kind) if isinstance(inner["geometry"].dataType, StructType) else F.from_json(F.col("f.geometry").cast("string"), kind)
-    shape = geo.st_geomfromgeojson(g["type"], g["coordinates"])
+    # Coordinates nest to different depths from shape to shape, so they are read as the text they are.
+    own = feature["properties"].dataType if "properties" in feature.names else None
+    names = own.names if isinstance(own, StructType) else []
+    feature = StructType([*([feature["properties"]] if names else []), StructField("geometry", kind)])
+    if lines:
+        features = spark.read.schema(feature).json(path).select(F.struct("*").alias("f"))
+    else:
+        whole = StructType([StructField("features", ArrayType(feature))])
+        features = spark.read.schema(whole).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    shape = geo.st_geomfromgeojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
     return layer(features.select(*[F.col(f"f.properties.`{n}`").alias(n) for n in names], shape.alias("geometry")), "geometry")
 
 
