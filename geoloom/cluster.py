@@ -60,3 +60,16 @@ def put_bytes(spark: SparkSession, uri: str, data: bytes) -> None:
         out.write(bytearray(data))
     finally:
         out.close()
+
+
+def get_text(spark: SparkSession, uri: str) -> str | None:
+    """A small text file, hidden ones too, through Hadoop's file systems; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -58,7 +58,7 @@ def spatial_join(left: Layer, right: Layer, predicate: str = "intersects", dista
 
     Each envelope is filed under the squares of a grid that it touches, and rows meet by an equal square; a pair that
     meets in several squares counts only in the one that holds the lower left corner of their envelopes' overlap.
-    Without ``cell`` the squares are as wide as the mean envelope of the right, found by one aggregate. Left rows
+    Without ``cell`` the squares are as wide as the mean envelope of the side with the wider ones. Left rows
     without a partner stay with ``how="left"``; null and empty geometries meet nothing.
     """
     crs = same_crs(left, right)
@@ -66,11 +66,11 @@ def spatial_join(left: Layer, right: Layer, predicate: str = "intersects", dista
         raise ValueError("predicate is intersects or dwithin, how is inner or left")
     reach = float(distance or 0) if predicate == "dwithin" else 0.0
     lg, rg = need_geometry(left), need_geometry(right)
-    l = left.df.select("*", F.monotonically_increasing_id().alias("_id"), geo.st_bounds(col(lg)).alias("_b"))
+    l = left.df.select("*", F.monotonically_increasing_id().alias("_left"), geo.st_bounds(col(lg)).alias("_b"))
     r = right.df.select("*", geo.st_bounds(col(rg)).alias("_b"))
     if cell is None:
-        both = r.select("_b").unionByName(l.select("_b"))
-        cell = both.agg(F.avg(F.greatest(F.col("_b.maxx") - F.col("_b.minx"), F.col("_b.maxy") - F.col("_b.miny")))).first()[0] or 0.0
+        wide = F.avg(F.greatest(F.col("_b.maxx") - F.col("_b.minx"), F.col("_b.maxy") - F.col("_b.miny")))
+        cell = max(x.agg(wide).first()[0] or 0.0 for x in (l, r))
         cell = max(cell, 2 * reach) or 1.0
     names = {c: c for c in right.columns}
     for c in right.columns:
@@ -86,8 +86,8 @@ def spatial_join(left: Layer, right: Layer, predicate: str = "intersects", dista
     cols = [F.col(f"l.`{c}`").alias(c) for c in left.columns]
     if how == "inner":
         return layer(found.select(*cols, *[F.col(f"r.`{c}`").alias(n) for c, n in names.items()]), lg, crs)
-    partners = found.select(F.col("l._id").alias("_id"), F.struct(*[F.col(f"r.`{c}`").alias(n) for c, n in names.items()]).alias("_r"))
-    out = l.join(partners, "_id", "left")
+    partners = found.select(F.col("l._left").alias("_left"), F.struct(*[F.col(f"r.`{c}`").alias(n) for c, n in names.items()]).alias("_r"))
+    out = l.join(partners, "_left", "left")
     return layer(out.select(*map(col, left.columns), *[F.col(f"_r.`{n}`").alias(n) for n in names.values()]), lg, crs)
 
 

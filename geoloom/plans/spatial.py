@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo
 from geoloom.functions.values import attr
 from geoloom.layer import Layer, layer
-from geoloom.operators import combine, geometry, overlay, route, summarise, vertex
+from geoloom.operators import attributes as at
+from geoloom.operators import combine, geometry, overlay, raster, route, summarise, vertex
 from geoloom.plans.relational import customers, read
+from geoloom.sources import writers
 
 
 def boxes(spark: SparkSession, d: str, name: str = "supplier", key: str = "s_suppkey") -> Layer:
@@ -91,9 +93,50 @@ def vertex_points(spark, d) -> DataFrame:
     return out.select("c_custkey", geo.st_geometrytype(g).alias("kind"), geo.st_measure("npoints", g).cast("int").alias("n"), F.round(geo.st_bounds(g)["maxy"], 6).alias("maxy"))
 
 
+def density_tiles(spark, d) -> DataFrame:
+    """A raster in tiles of 10 by 10 degrees: the number of customers in each square degree, nodata where there is none."""
+    cells = customers(spark, d).df.groupBy(F.floor("lon").cast("int").alias("lon"), F.floor(90 - F.col("lat")).cast("int").alias("r")).agg(F.count("*").alias("n"))
+    cells = cells.withColumn("c", F.col("lon") + 180)
+    tile = cells.groupBy(F.floor(F.col("c") / 10).cast("int").alias("bx"), F.floor(F.col("r") / 10).cast("int").alias("by"))
+    tile = tile.agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") % 10 * 10 + F.col("c") % 10).cast("int").alias("k"), F.col("n").cast("double").alias("v")))).alias("m"))
+    ten = F.lit(10)
+    return tile.select(
+        F.lit("density").alias("raster"), F.lit(1).alias("band"), "bx", "by", (F.col("bx") * 10).alias("x0"), (F.col("by") * 10).alias("y0"), ten.alias("w"), ten.alias("h"), ten.alias("bw"), ten.alias("bh"),
+        F.array(*[F.lit(float(v)) for v in (1, 0, -180, 0, -1, 90)]).alias("transform"), F.transform(F.sequence(F.lit(0), F.lit(99)), lambda k: F.col("m")[k]).alias("pixels"),
+    )
+
+
+def raster_sample(spark, d) -> DataFrame:
+    """Each customer's square degree, looked up in the tiles made of all customers."""
+    return raster.sample_raster(customers(spark, d), density_tiles(spark, d)).df.select("c_custkey", F.col("raster_value").alias("n"))
+
+
+def raster_areas(spark, d) -> DataFrame:
+    """The areas of equal density: a square degree each cell."""
+    out = raster.raster_to_polygons(density_tiles(spark, d)).df
+    return out.groupBy("value").agg(F.round(F.sum(geo.st_area(F.col("geometry"))), 6).alias("area"))
+
+
+def geojson_text(spark, d) -> DataFrame:
+    """Customers' nations as features' properties: how many features each has in the text that would be written."""
+    lines = writers.geojson_features(at.keep(customers(spark, d), ["c_nationkey", "geometry"]))
+    return lines.groupBy(F.get_json_object("value", "$.properties.c_nationkey").cast("bigint").alias("c_nationkey")).agg(F.count("*").alias("n"), F.round(F.avg(F.get_json_object("value", "$.geometry.coordinates[0]").cast("double")), 6).alias("lon"))
+
+
+def geometry_report(spark, d) -> DataFrame:
+    return geometry.quality_report(boxes(spark, d))
+
+
+def point_duplicates(spark, d) -> DataFrame:
+    """Geometry as the key of the duplicate filter."""
+    df = customers(spark, d).df.withColumn("geometry", geo.st_point(F.floor("lon"), F.floor("lat")))
+    ports = route.duplicate_filter(layer(df, "geometry"), ["geometry"], ["c_custkey"])
+    return ports["unique"].df.select("c_custkey")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (measures_box, area_filter, bbox_features, bbox_all, hull_each, simplify_densify, buffer_points, reproject_mercator, dissolve_grid, spatial_join_points_boxes, overlay_grid, overlay_memberships, vertex_points)
+    for f in (measures_box, area_filter, bbox_features, bbox_all, hull_each, simplify_densify, buffer_points, reproject_mercator, dissolve_grid, spatial_join_points_boxes, overlay_grid, overlay_memberships, vertex_points, raster_sample, raster_areas, geojson_text, geometry_report, point_duplicates)
 }
 
 _P = "(SELECT *, CAST(((c_custkey * 7919) % 36000) / 100.0 - 180 AS DOUBLE) AS lon, CAST(((c_custkey * 104729) % 17000) / 100.0 - 85 AS DOUBLE) AS lat FROM customer)"
@@ -116,5 +159,10 @@ ORACLES = {
     "spatial_join_points_boxes": f"SELECT c_custkey, s_suppkey FROM {_P} JOIN {_B} ON lon BETWEEN x AND x + w AND lat BETWEEN y AND y + h",
     "overlay_grid": f"SELECT n AS _overlaps, CAST(count(*) AS DOUBLE) AS area FROM (SELECT sx, sy, count(*) AS n FROM {_SQUARES} GROUP BY sx, sy) GROUP BY n",
     "overlay_memberships": f"SELECT CAST(s_suppkey AS VARCHAR) AS feature_id, round(w * h, 6) AS area FROM {_B}",
+    "raster_sample": f"SELECT c_custkey, CAST(count(*) OVER (PARTITION BY floor(lon), floor(90 - lat)) AS DOUBLE) AS n FROM {_P}",
+    "raster_areas": f"SELECT CAST(n AS DOUBLE) AS value, CAST(count(*) AS DOUBLE) AS area FROM (SELECT count(*) AS n FROM {_P} GROUP BY floor(lon), floor(90 - lat)) GROUP BY n",
+    "geojson_text": f"SELECT c_nationkey, count(*) AS n, round(avg(lon), 6) AS lon FROM {_P} GROUP BY c_nationkey",
+    "geometry_report": "SELECT 'POLYGON' AS type, count(*) AS n, CAST(0 AS BIGINT) AS invalid, CAST(0 AS BIGINT) AS empty FROM supplier",
+    "point_duplicates": f"SELECT min(c_custkey) AS c_custkey FROM {_P} GROUP BY floor(lon), floor(lat)",
     "vertex_points": f"SELECT c_custkey, 'LINESTRING' AS kind, CAST(2 AS INTEGER) AS n, round(greatest(lat, c_acctbal), 6) AS maxy FROM {_P}",
 }
