@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +76,17 @@ def get_text(spark: SparkSession, uri: str) -> str | None:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
     finally:
         stream.close()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, where it isn't installed; once for each context."""
+    sc = spark.sparkContext
+    if any("geoloom-modules" in f for f in sc.listFiles):
+        return
+    root, data = Path(__file__).parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"geoloom/{f.relative_to(root)}")
+    uri = f"{fresh_path(spark, 'modules')}/geoloom-modules.zip"
+    put_bytes(spark, uri, data.getvalue())
+    sc.addPyFile(uri)

@@ -120,7 +120,7 @@ def raster_areas(spark, d) -> DataFrame:
 def geojson_text(spark, d) -> DataFrame:
     """Customers' nations as features' properties: how many features each has in the text that would be written."""
     lines = writers.geojson_features(at.keep(customers(spark, d), ["c_nationkey", "geometry"]))
-    return lines.groupBy(F.get_json_object("value", "$.properties.c_nationkey").cast("bigint").alias("c_nationkey")).agg(F.count("*").alias("n"), F.round(F.avg(F.get_json_object("value", "$.geometry.coordinates[0]").cast("double")), 6).alias("lon"))
+    return lines.groupBy(F.get_json_object("value", "$.properties.c_nationkey").cast("int").alias("c_nationkey")).agg(F.count("*").alias("n"), F.round(F.avg(F.get_json_object("value", "$.geometry.coordinates[0]").cast("double")), 6).alias("lon"))
 
 
 def geometry_report(spark, d) -> DataFrame:
