@@ -17,8 +17,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id of the component."""
-    return simhash.keep_first(docs)
+    """One document of each group that links: fingerprints within two bits, or shingle sets similar to 0.8."""
+    return simhash.keep_first(docs, similar=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

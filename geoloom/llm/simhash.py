@@ -5,6 +5,10 @@ start on the ring has a chain in which the first l segments together differ in a
 length l: none in the first segment, one in the first two, one in the first three, two in all four. So the first segment
 is equal, and the second or the third is equal as well: each fingerprint is filed under its six pairs of segments, pairs
 that meet must have such a chain, and only those reach the full Hamming check.
+
+Two bits are a strict measure: texts that share 80 percent of their five-word shingles differ in about seven. The
+pipeline therefore also links by similarity: the signs that make a fingerprint are taken from more hashes, 1,600 in all,
+texts that agree in one of 64 bands of 25 signs are candidates, and the similarity of their shingle sets decides.
 """
 
 from __future__ import annotations
@@ -30,17 +34,86 @@ FULL = 32
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The 64-bit fingerprint of one text: bit b is set if it is set in over half the shingles' XXH64."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
+#: Signs for similarity: 25 words of 64, read as 64 bands of 25 bits.
+WIDE, BANDS = 25, 64
+#: Similarity is that of the least so many five-word shingle hashes of both texts; exact if both have no more.
+SKETCH, SIMILAR_SHINGLE = 200, 5
+_ODD = np.random.default_rng(42).integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _shingles(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included; of fewer words that of the whole sequence."""
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
+
+
+def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's 64 band keys, and the sketch of its five-word shingles: sorted 32-bit hashes."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.arange(BANDS, dtype=np.int64) << WIDE, np.zeros(0, "<u4")
+    h = _shingles(words, 3, 42)
+    counts = np.zeros(WIDE * 64, np.int64)
+    for some in np.array_split(h, -(-len(h) // 4096)):
+        wide = some[:, None] * _ODD
+        wide ^= wide >> np.uint64(32)
+        octets = wide.astype("<u8").view(np.uint8).reshape(len(some), WIDE * 8)
+        flat = np.bincount((octets + np.arange(0, WIDE * 8 * 256, 256, dtype=np.int32)).ravel(), minlength=WIDE * 8 * 256)
+        counts += (flat.reshape(-1, 256) @ _BITS_OF_BYTE).ravel()
+    signs = (2 * counts > len(h)).reshape(BANDS, WIDE)
+    keys = (np.arange(BANDS, dtype=np.int64) << WIDE) | (signs @ (1 << np.arange(WIDE, dtype=np.int64)))
+    return keys, np.unique((_shingles(words, SIMILAR_SHINGLE, 42) >> np.uint64(32)).astype("<u4"))[:SKETCH]
+
+
+def _similarity(a: bytes, b: bytes) -> float:
+    """The share of both sketches' least hashes that are in both."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    both = np.union1d(x, y)
+    if len(x) >= SKETCH or len(y) >= SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+
+
+def similar_links(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(a, b)``: ids of texts whose five-word shingle sets are similar to ``least``, found through bands of signs.
+
+    Texts of a band's bucket are each compared with the one of the least id there, never all with all; a group of
+    similar texts meets in many buckets. Null ids are left out.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [bands(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s in got], pa.binary())], ["id", "keys", "sketch"])
+
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    banded = written(own.mapInArrow(run, f"id {kind}, keys array<long>, sketch binary"), "bands")
+    filed = banded.select("id", F.explode("keys").alias("key"))
+    heads = filed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a <> _last").select("key", "a")
+    pairs = filed.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    sketches = banded.select("id", "sketch")
+    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sure = [_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """The 64-bit fingerprint of one text: bit b is set if it is set in over half the shingles' XXH64."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    hashes = _shingles(words, shingle, seed)
+    n = len(hashes)
     octets = hashes.astype("<u8").view(np.uint8).reshape(n, 8)
     counts = np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS_OF_BYTE for i in range(8)])
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
@@ -105,24 +178,29 @@ def links(fps: DataFrame) -> DataFrame:
     return few.select("a", "b").unionByName(hung.select("a", "b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, similar: float | None = None) -> DataFrame:
     """One row per row of ``docs``: ``id, fp, component`` (the smallest id that links reach, itself included).
 
     Two rows link if their fingerprints differ in at most two of 64 bits. Rows of one fingerprint are one class, which
     its smallest id stands for; only different fingerprints are compared. A null or blank text has fingerprint 0 and
     links like any other; repeated rows come back repeated; rows with a null id keep a null id and take no part in
-    naming a component; an empty table gives an empty table. Other columns are not read.
+    naming a component; an empty table gives an empty table. Other columns are not read. With ``similar``, texts whose
+    five-word shingle sets are that similar link as well.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     pairs = links(classes.select("fp"))
     a, b = classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    comps = connected_components(pairs.join(a, "a").join(b, "b"), "ra", "rb")
+    edges = pairs.join(a, "a").join(b, "b").select("ra", "rb")
+    if similar is not None:
+        same = fps.join(classes, "fp").where("id <> rep").select(F.col("rep").alias("ra"), F.col("id").alias("rb"))
+        edges = edges.unionByName(same).unionByName(similar_links(docs, similar, id_col, text_col).toDF("ra", "rb"))
+    comps = connected_components(edges, "ra", "rb")
     named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return fps.join(named, "fp", "left").select("id", "fp", "component")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float | None = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest id (all rows with that id)."""
-    comps = near_duplicates(docs, id_col, text_col).where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
+    comps = near_duplicates(docs, id_col, text_col, similar=similar).where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
     return docs.join(comps, id_col, "left_semi")

@@ -76,6 +76,33 @@ def test_links_of_close_fingerprints(spark):
             assert find(a) == find(b)
 
 
+def test_similar_texts_link(spark):
+    """Copies with a few words changed, of short and long texts, against the similarity of their shingle sets."""
+    rng = random.Random(8)
+    docs, id_ = [], 0
+    for n in (40, 150, 600):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        for k in range(6):
+            words = list(base)
+            for _ in range(k * n // 150):
+                words[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            docs.append((id_, " ".join(words)))
+            id_ += 1
+    docs += [(900 + k, " ".join(f"y{rng.randrange(10**6)}" for _ in range(80))) for k in range(30)] + [(1000, None), (1001, ""), (None, docs[0][1])]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(max(1, len(t.split()) - 4))} for i, t in docs if t and i is not None}
+    got = {(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(docs, "doc_id long, text string"), 0.8).collect()}
+    for a, b in got - {(1000, 1001)}:
+        assert len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.7
+    joined = {a: a for a in sets}
+    for _ in sets:
+        for a, b in got:
+            if a in joined and b in joined:
+                joined[a] = joined[b] = min(joined[a], joined[b])
+    for a, b in itertools.combinations(sets, 2):
+        if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.88:
+            assert joined[a] == joined[b]
+
+
 def test_keep_first_keeps_columns(odd_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
