@@ -47,6 +47,13 @@ def register(spark: SparkSession | None = None) -> None:
     text += [("st_point", "x DOUBLE, y DOUBLE", "BINARY", "geo_pointof(x, y, CAST(NULL AS DOUBLE))"), ("st_makeenvelope", "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE", "BINARY", "geo_box(a, b, c, d)")]
     text += [("st_geomfromtext", "t STRING", "BINARY", "geo_fromtext(t)"), ("st_astext", "g BINARY", "STRING", "geo_astext(g)"), ("st_geometrytype", "g BINARY", "STRING", "geo_kind(g)")]
     text += [("st_transform", "g BINARY, a STRING, b STRING", "BINARY", "geo_transform(g, a, b)"), *[(f"st_{n}", "g BINARY", "DOUBLE", f"geo_bounds(g).{f}") for n, f in (("xmin", "minx"), ("ymin", "miny"), ("xmax", "maxx"), ("ymax", "maxy"))]]
+    # The spellings that spatial SQL dialects share.
+    text += [(f"st_{n.replace('_', '')}", "g BINARY", "BINARY", f"geo_shape('{n}', g, 0D)") for n in SHAPES if "_" in n]
+    text += [("st_simplifypreservetopology", "g BINARY, a DOUBLE", "BINARY", "geo_shape('simplify', g, a)"), ("st_linemerge", "g BINARY", "BINARY", "geo_shape('merge_lines', g, 0D)")]
+    text += [(n, "g BINARY", "INT", f"CAST(geo_measure('{m}', g) AS INT)") for n, m in (("st_numgeometries", "parts"), ("st_ninteriorrings", "holes"), ("st_numinteriorrings", "holes"))]
+    text += [("st_aswkb", "g BINARY", "BINARY", "g"), ("st_geomfromhexwkb", "t STRING", "BINARY", "unhex(t)"), ("st_asgeojson", "g BINARY", "STRING", "geo_asgeojson(g)")]
+    text += [("st_hasz", "g BINARY", "BOOLEAN", "exists(geo_vertices(g), v -> v.z IS NOT NULL)"), ("st_pointn", "g BINARY, n INT", "BINARY", "geo_pointof(get(geo_vertices(g), n - 1).x, get(geo_vertices(g), n - 1).y, get(geo_vertices(g), n - 1).z)")]
+    text += [("st_unionarray", "a ARRAY<BINARY>", "BINARY", "geo_union(a)"), ("st_hullarray", "a ARRAY<BINARY>", "BINARY", "geo_hull(a)"), ("st_dump", "g BINARY", "ARRAY<BINARY>", "geo_polygons(g)")]
     for name, args, kind, body in text:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
     _ready.add(session)

@@ -60,7 +60,7 @@ def dissolve(l: Layer, group_by: Sequence[str] = (), cells: int = 64) -> Layer:
     return layer(df, g, l.crs)
 
 
-#: Statistic to expression; names are the reference spellings of the report.
+#: Statistic to expression; the names are those of the report.
 STATISTICS = {
     "Minimum": lambda c: F.min(c),
     "Maximum": lambda c: F.max(c),

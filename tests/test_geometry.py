@@ -53,6 +53,16 @@ def test_row_operators(shapes):
             bad()
 
 
+def test_sql_names(spark, shapes):
+    from geoloom.operators.attributes import transform_sql
+
+    l = shapes(SQUARE, "LINESTRING (0 0, 4 3)")
+    r = transform_sql(l, "SELECT id, st_astext(st_pointonsurface(geometry)) AS p, st_area(geometry) AS a, st_length(geometry) AS n, st_isvalid(geometry) AS v, st_numgeometries(geometry) AS k, st_astext(st_pointn(geometry, 2)) AS two, st_intersects(geometry, st_point(1, 1)) AS hit, st_geometrytype(st_buffer(geometry, 1)) AS b FROM input ORDER BY id").df.collect()
+    assert (r[0].p, r[0].a, r[0].v, r[0].k, r[0].two, r[0].hit) == ("POINT (1 1)", 4.0, True, 1, "POINT (2 0)", True) and (r[1].n, r[1].two, r[1].b) == (5.0, "POINT (4 3)", "Polygon")
+    whole = transform_sql(l, "SELECT st_area(st_convexhull(st_unionarray(collect_list(geometry)))) AS a FROM input").df.first()
+    assert whole.a == pytest.approx(7.0)
+
+
 def test_bounds_and_measures(shapes):
     l = shapes(SQUARE, "POINT (5 1)")
     assert geometry.bounding_box(l).columns == ["id", "geometry", "minx", "miny", "maxx", "maxy"]
