@@ -10,27 +10,47 @@ from geoloom.llm import decontaminate, mixing, quality, simhash, tokens
 from geoloom.llm.queries import quality_model
 
 
+#: Rows that pass between Spark and a Python worker at a time: texts may be long, and memory should not be.
+ROWS_AT_A_TIME = "1000"
+
+
+def bounded(stage):
+    """The stage, with small Arrow batches in the session while its plan is made and run."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_A_TIME)
+        return stage(spark, docs, sf_dir)
+
+    run.__name__, run.__doc__ = stage.__name__, stage.__doc__
+    return run
+
+
+@bounded
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that aren't held out, doesn't reject."""
     model = quality_model(spark, docs, sf_dir)
     return quality.scored(docs, model, to="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
 
 
+@bounded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links: fingerprints within two bits, or shingle sets similar to 0.8."""
     return simhash.keep_first(docs, similar=0.8)
 
 
+@bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@bounded
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them, whole."""
     return mixing.mixed_documents(docs)
 
 
+@bounded
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the packed files of token ids."""
     return tokens.packed(docs)

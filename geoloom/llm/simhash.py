@@ -87,7 +87,7 @@ def similar_links(docs: DataFrame, least: float, id_col: str = "doc_id", text_co
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             got = [bands(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s in got], pa.binary())], ["id", "keys", "sketch"])
 
