@@ -36,8 +36,10 @@ _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, b
 
 #: Signs for similarity: 25 words of 64, read as 64 bands of 25 bits.
 WIDE, BANDS = 25, 64
-#: Similarity is that of the least so many five-word shingle hashes of both texts; exact if both have no more.
-SKETCH, SIMILAR_SHINGLE = 200, 5
+#: Similarity is that of the whole sets of shingles of so many words.
+SIMILAR_SHINGLE = 5
+#: All pairs of a band's bucket are candidates up to so many different shingle sets; fuller ones are joined by shingles.
+PAIRED = 16
 _ODD = np.random.default_rng(42).integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -52,10 +54,10 @@ def _shingles(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
 
 
 def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's 64 band keys, and the sketch of its five-word shingles: sorted 32-bit hashes."""
+    """A text's 64 band keys, and the set of its five-word shingles: sorted 64-bit hashes."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.arange(BANDS, dtype=np.int64) << WIDE, np.zeros(0, "<u4")
+        return np.arange(BANDS, dtype=np.int64) << WIDE, np.zeros(0, np.uint64)
     h = _shingles(words, 3, 42)
     counts = np.zeros(WIDE * 64, np.int64)
     for some in np.array_split(h, -(-len(h) // 4096)):
@@ -66,45 +68,99 @@ def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         counts += (flat.reshape(-1, 256) @ _BITS_OF_BYTE).ravel()
     signs = (2 * counts > len(h)).reshape(BANDS, WIDE)
     keys = (np.arange(BANDS, dtype=np.int64) << WIDE) | (signs @ (1 << np.arange(WIDE, dtype=np.int64)))
-    return keys, np.unique((_shingles(words, SIMILAR_SHINGLE, 42) >> np.uint64(32)).astype("<u4"))[:SKETCH]
+    return keys, shingle_set(text)
 
 
-def _similarity(a: bytes, b: bytes) -> float:
-    """The share of both sketches' least hashes that are in both."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-    both = np.union1d(x, y)
-    if len(x) >= SKETCH or len(y) >= SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(both, np.intersect1d(x, y)).mean()) if len(both) else 1.0
+def shingle_set(text: str | None) -> np.ndarray:
+    """The set of a text's five-word shingles: sorted 64-bit hashes; of a null or blank text none."""
+    words = (text or "").encode().lower().split()
+    return np.unique(_shingles(words, SIMILAR_SHINGLE, 42)) if words else np.zeros(0, np.uint64)
+
+
+def _name(shingles: np.ndarray) -> int:
+    """The hash that names a shingle set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), 42)).astype(np.int64))
 
 
 def similar_links(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(a, b)``: ids of texts whose five-word shingle sets are similar to ``least``, found through bands of signs.
+    """``(a, b)``: links that join all texts that share a band and whose five-word shingle sets are similar to ``least``.
 
-    Texts of a band's bucket are each compared with the one of the least id there, never all with all; a group of
-    similar texts meets in many buckets. Null ids are left out.
+    Texts of equal shingle sets are one class, which its least id stands for. Every pair of classes that share a bucket
+    is either compared on the whole sets or already joined by other links: buckets of at most ``PAIRED`` classes are
+    compared all with all; of a fuller one first all with two of its classes, and then those that this leaves in
+    different components through the rare shingles that similar sets must share. Null ids are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
             got = [bands(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in got], pa.list_(pa.int64())), pa.array([s.tobytes() for _, s in got], pa.binary())], ["id", "keys", "sketch"])
+            keys = pa.array([(k & (2**WIDE - 1)).astype(np.int32) for k, _ in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([_name(s) for _, s in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int32())], ["id", "keys", "name", "size"])
 
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    banded = written(own.mapInArrow(run, f"id {kind}, keys array<long>, sketch binary"), "bands")
-    filed = banded.select("id", F.explode("keys").alias("key"))
-    heads = filed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("_last")).where("a <> _last").select("key", "a")
-    pairs = filed.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    sketches = banded.select("id", "sketch")
-    pairs = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sure = [_similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(sure, pa.bool_()))
+    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+            got = [shingle_set(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["wanted", "name", "shingles"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    banded = written(own.mapInArrow(run, f"id {kind}, keys array<int>, name long, size int"), "bands")
+    classes = written(banded.groupBy("name").agg(F.min("id").alias("rep")), "sets")
+    copies = written(banded.select("id", "name").join(classes, "name").where("id <> rep").select("id", "name", "rep"), "copies")
+
+    firsts = banded.join(copies.select("id", "name"), ["id", "name"], "left_anti")
+    filed = firsts.select("name", "size", F.posexplode("keys").alias("band", "signs"))
+    filed = filed.select("name", "size", F.shiftleft(F.col("band").cast("long"), WIDE).bitwiseOR(F.col("signs").cast("long")).alias("key"))
+    met = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last")).where(F.col("first") != F.col("last"))
+    buckets = written(filed.join(met, "key").distinct(), "buckets")
+
+    few = buckets.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "size"))).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, PAIRED)).alias("y"))
+    few = few.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-9).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
+    full = buckets.where(F.col("n") > PAIRED)
+    heads = full.select("name", F.explode(F.array("first", "last")).alias("head")).where(F.col("name") != F.col("head"))
+    pairs = few.unionByName(heads.select(F.least("name", "head").alias("a"), F.greatest("name", "head").alias("b"))).distinct()
+
+    wanted = buckets.select("name").distinct().join(classes, "name").select(F.col("rep").alias("id"), "name")
+    sets = own.join(wanted, "id").select("name", "text").mapInArrow(reread, "wanted long, name long, shingles array<long>")
+    # Rows of one id may differ in text: each set is kept once, and only under its own name.
+    sets = written(sets.where(F.col("wanted") == F.col("name")).select("name", "shingles").dropDuplicates(["name"]), "shingles")
+    found = written(_similar(pairs, sets, least), "similar")
+    if not full.isEmpty():
+        found = found.unionByName(_similar(_meeting(full, sets, found, least), sets, least))
+    a, b = classes.select(F.col("name").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("name").alias("b"), F.col("rep").alias("rb"))
+    apart = found.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    return apart.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))).distinct()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs ``(a, b)`` whose whole sets are similar to ``least``."""
+    a, b = (sets.select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def _meeting(full: DataFrame, sets: DataFrame, found: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of the full buckets' classes in different components of ``found``, none that is similar missing.
+
+    Each set is ordered by how many of the sets hold a shingle, rare ones first. The first shingle that two similar sets
+    share has at least ``least / (1 + least)`` of their sizes' sum from it on in both, so that it is among the first
+    ``1 - least`` of either; sets of one template, whose own shingles come first, don't meet there.
+    """
+    comps = connected_components(found, "a", "b")
+    parts = full.select("key", "name").join(comps, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("part"))
+    split = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    left = written(parts.join(split, "key", "left_semi").select("name", "part").distinct(), "parts")
+    held = written(left.join(sets, "name").select("name", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("h")), "held")
+    common = held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
+    rows = held.join(common, "h").groupBy("name", "part", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("hs"))
+    # Shingles that no other set holds come first, and are only counted.
+    rows = rows.select("name", "part", "size", (F.col("size") - F.size("hs")).alias("alone"), F.posexplode("hs").alias("i", "e"))
+    rows = rows.select("name", "part", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest"), F.col("e.h").alias("h"))
+    rows = written(rows.where(F.col("rest") >= least * F.col("size") - 1e-9), "prefixes")
+    x, y = rows.toDF("a", "pa", "na", "ra", "h"), rows.toDF("b", "pb", "nb", "rb", "h")
+    needed = least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
+    return x.join(y, "h").where("a < b AND pa <> pb").where(F.least("ra", "rb") >= needed).select("a", "b").distinct()
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:

@@ -107,3 +107,50 @@ def test_keep_first_keeps_columns(odd_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 6, 7} and 8 not in {r.doc_id for r in kept.collect()}
+
+
+def whole_sets(docs):
+    words = {i: t.split() for i, t in docs}
+    return {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, w in words.items()}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def sharing(docs):
+    """Pairs of ids whose texts share a band."""
+    filed = {}
+    for i, t in sorted(docs):
+        for k in simhash.bands(t)[0].tolist():
+            filed.setdefault(k, []).append(i)
+    return {p for ids in filed.values() for p in itertools.combinations(ids, 2)}, max(map(len, filed.values()))
+
+
+def test_pairs_of_a_bucket_behind_another_head(spark):
+    """Close pairs among pages of one template, the least id of whose buckets is mostly a third page; full buckets too."""
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = some(138), [" ".join(some(50))]
+    for _ in range(150):
+        page = template + some(22)
+        texts += [" ".join(page), " ".join(page[:-1] + some(1))]
+    near = template + some(22)
+    texts += [" ".join(near[:-1] + some(1)) for _ in range(80)] + [" ".join(near[: -rng.randint(15, 22)] + some(20)) for _ in range(60)]
+    ids = list(range(1, len(texts)))
+    rng.shuffle(ids)
+    docs = list(zip([0, *ids], texts, strict=True))
+    sets, (met, fullest) = whole_sets(docs), sharing(docs)
+    assert fullest > 32
+    got = {(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(docs, "doc_id long, text string"), 0.8).collect()}
+    assert not [p for p in got if alike(sets[p[0]], sets[p[1]]) < 0.8]
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        parent[find(a)] = find(b)
+    assert not [(a, b) for a, b in met if alike(sets[a], sets[b]) >= 0.8 and find(a) != find(b)]
