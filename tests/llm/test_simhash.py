@@ -154,3 +154,19 @@ def test_pairs_of_a_bucket_behind_another_head(spark):
     for a, b in got:
         parent[find(a)] = find(b)
     assert not [(a, b) for a, b in met if alike(sets[a], sets[b]) >= 0.8 and find(a) != find(b)]
+
+
+def test_long_texts_at_exactly_the_threshold(spark):
+    """Texts of 450 shingles that share 400 are similar to exactly 0.8 and link; those that share 399 don't."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for k in range(80):
+        words = some(454)
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 404 - k % 2] + some(50 + k % 2)))]
+    sets, (met, _) = whole_sets(docs), sharing(docs)
+    wanted = {p for p in met if alike(sets[p[0]], sets[p[1]]) >= 0.8}
+    below = {p for p in met if 0.79 < alike(sets[p[0]], sets[p[1]]) < 0.8}
+    assert len(wanted) > 10 and len(below) > 10
+    got = {(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(docs, "doc_id long, text string"), 0.8).collect()}
+    assert got == wanted
