@@ -24,12 +24,8 @@ MOST_DOCUMENTS = 3000
 ORDINARY = 3
 DISCOUNT = 0.75
 BEGINNINGS = (6, 4, 3)
-#: Pairs of words are kept if both classes together have so many.
-LEAST_PAIRS = 4
 #: Of each level's log-ratio so many standard errors, and so much besides, are put down to chance and topic.
 ERRORS, TOPIC = 2.0, 0.7
-#: No word counts for less than this.
-EXCUSE = -0.3
 #: The curve where the labelled documents are too few to fit one.
 FLAT = (20.0, -1.0)
 THRESHOLD = 0.5
@@ -98,8 +94,7 @@ class Ratio:
             k = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             hit = self.pairs[k] == key
             alone[both[hit]] = self.pair[k[hit]]
-        # What most of a text's words share is its language or topic, and ordinary words excuse little.
-        m = float(np.maximum(alone - np.median(alone), EXCUSE).mean())
+        m = float(alone.mean())
         return float(np.copysign(np.sqrt(abs(m)), m))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -193,7 +188,8 @@ def _models(toxic: list[str], ordinary: list[str]) -> Ratio:
     weight = np.where(seen > 0, np.maximum(DISCOUNT * types, 1e-9) / np.maximum(seen, 1), 1.0)
     joint = np.where(seen[:, left] > 0, np.maximum(pairs - DISCOUNT, 0) / np.maximum(seen[:, left], 1), 0) + weight[:, left] * below[:, right]
     r = base[right] + _beyond_chance(np.log(joint[1]) - np.log(joint[0]) - base[right], pairs)
-    keep = (pairs.sum(axis=0) >= LEAST_PAIRS) & (np.abs(r - base[right]) > 1e-9)
+    # Other pairs have the ratio of their second word, which they back off to.
+    keep = np.abs(r - base[right]) > 1e-9
     return Ratio(places, base, tables[1:], keys[keep], r[keep])
 
 

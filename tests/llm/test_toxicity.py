@@ -16,6 +16,18 @@ def test_ratio_finds_rare_kin():
     assert (model.score(new) > 0.5).mean() > 0.9 and (model.score(other) < 0.5).mean() > 0.9
 
 
+def test_texts_of_toxic_words_only():
+    """Evidence that fills a text isn't set off against itself, and repeating it doesn't take it away."""
+    rng = random.Random(4)
+    toxic = [f"{prose(rng, 20)} vile {prose(rng, 10)} foul" for _ in range(80)]
+    plain = [prose(rng, rng.randint(5, 60)) for _ in range(160)]
+    model = toxicity.fit(toxic, plain)
+    short = ["vile", "foul", "vile foul", "vile vile foul", "foul vile vile vile", "vile foul vile foul vile"]
+    assert (model.score(short) > 0.9).all() and model.score([""])[0] < 0.5
+    one, many = model.mean(f"{plain[0]} vile"), model.mean(f"{plain[0]} {'vile ' * 200}")
+    assert many > one
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
