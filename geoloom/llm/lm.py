@@ -1,9 +1,11 @@
 """Language-model scores of whole documents: a gated recurrent network and a smoothed unigram model.
 
 Words are counted over the whole training corpus. The commonest, a fixed number, are sent to the executors; all others
-meet their counts in a join. The network is trained in parallel over all training documents, once each: every task
-starts from the same weights, and the weights are averaged by tokens, first over an eighth of the documents and then,
-from that average, over the rest. Within the classes of uncommon words the probability is by counts.
+meet their counts in a join. Texts become symbols once, and the network is trained in parallel over those of all
+training documents, once each: documents are dealt by their hash into splits of about as many tokens, every split starts
+from the same weights, and the weights are averaged by tokens, first over an eighth of the documents and then, from that
+average, over the rest. How Spark partitions the rows changes nothing. Within the classes of uncommon words the
+probability is by counts.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from geoloom.llm.text import bucket
 
 #: So many of the commonest words are known to every task.
 COMMON = 1 << 18
-#: Distinct words that a task counts before it passes them on, and symbols that it trains or scores at a time.
-COUNTED, CHUNK = 250_000, 1 << 19
+#: Distinct words that a task counts before it passes them on, and symbols that it trains on or scores at a time.
+COUNTED, CHUNK = 250_000, 1 << 20
 #: Of eight parts of the training documents the first round takes one.
 PARTS = 8
+#: A split of the training documents has about so many tokens. Their weights are added in so many groups.
+SPLIT, SUMS = 1 << 20, 16
+#: Rows that a task works on at a time.
+ROWS = 256
 
 
 def words(text: str | None) -> list[bytes]:
@@ -58,6 +64,13 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counts.withColumn("k", (F.crc32(F.substring("word", 1, 2)) % gru.TAIL).cast("int"))
 
 
+class _Places(dict):
+    """Numbers of words; -1 for all others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """The commonest words in order of count, and the sums that the formulas need."""
@@ -80,7 +93,7 @@ class Vocabulary:
         if self.ready:
             return
         short = gru.SHORT - 1
-        self.places = {w: k for k, w in enumerate(self.common)}
+        self.places = _Places(zip(self.common, range(len(self.common)), strict=True))
         self.symbols = np.array([k + 1 if k < short else gru.SHORT + _class(w) for k, w in enumerate(self.common)], np.int32)
         self.log_counts = np.log10(self.counts + 0.5)
         # Words of the shortlist have all their probability from the network.
@@ -94,8 +107,7 @@ class Vocabulary:
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """A text's symbols with the end, the places of its common words, and its other words."""
         ws = words(text)
-        get = self.places.get
-        at = np.array([get(w, -1) for w in ws], np.int32) if ws else np.zeros(0, np.int32)
+        at = np.fromiter(map(self.places.__getitem__, ws), np.int32, len(ws))
         symbols = np.zeros(len(ws) + 1, np.int32)
         common = at >= 0
         symbols[:-1][common] = self.symbols[at[common]]
@@ -142,50 +154,109 @@ def vocabulary(counts: DataFrame, ends: int, common: int = COMMON) -> Vocabulary
     return Vocabulary(listed, c, ends, tokens, types, n, v)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], column: int, vocab: Vocabulary) -> Iterator[list[tuple]]:
-    """Encoded rows ``(batch, row, symbols, places, others)`` in lists of about ``CHUNK`` symbols."""
-    held, size = [], 0
-    for b in batches:
-        for k, t in enumerate(b.column(column)):
-            row = (b, k, *vocab.encode(t.as_py()))
-            held.append(row)
-            size += len(row[2])
-            if size >= CHUNK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def trained(docs: DataFrame, vocab: Vocabulary, start: gru.Params) -> gru.Params:
-    """The average, by tokens, of the weights that each task reaches from ``start`` on its share of ``text``."""
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, gru.packed(start)))
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``docs`` (row, id, held_out, part, key, text) with, in place of ``text``, what training and scoring need of it.
+
+    ``symbols`` are 16-bit numbers; ``base`` and ``rest`` the sums of the common words' logarithms in the two formulas;
+    ``words`` and ``times`` the other words, which still have to meet their counts.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)
+    kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, raw = sent.value
+        vocab = sent.value
         vocab.prepare()
-        trainer = gru.Trainer(gru.unpacked(raw))
-        for rows in _chunks(batches, 0, vocab):
-            trainer.train([r[2] for r in rows])
-        if trainer.tokens:
-            flat = np.frombuffer(gru.packed(trainer.p), "<f4").astype("<f8") * trainer.tokens
-            yield pa.RecordBatch.from_arrays([pa.array([float(trainer.tokens)]), pa.array([flat.tobytes()], pa.binary())], ["n", "p"])
+        end = np.log10(vocab.ends + 0.5)
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            tokens, base, known, rest, packed, others, times = [], [], [], [], [], [], []
+            for t in b.column(len(kept)):
+                symbols, at, other = vocab.encode(t.as_py())
+                tokens.append(len(symbols))
+                base.append(vocab.log_counts[at].sum() + end)
+                known.append(len(at) + (vocab.ends > 0))
+                rest.append(vocab.rest[at].sum() - vocab.log_class[symbols[symbols >= gru.SHORT] - gru.SHORT].sum())
+                packed.append(symbols.astype("<u2").tobytes())
+                tally = Counter(other)
+                others.append(list(tally))
+                times.append(list(tally.values()))
+            made = [pa.array(tokens, pa.int64()), pa.array(base, pa.float64()), pa.array(known, pa.int64()), pa.array(rest, pa.float64()), pa.array(packed, pa.binary()), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *made], [*[f.name for f in kept], "n_tokens", "base", "known", "rest", "symbols", "words", "times"])
+
+    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return docs.select(*[f.name for f in kept], "text").mapInArrow(run, f"{head}, n_tokens long, base double, known long, rest double, symbols binary, words array<binary>, times array<long>")
+
+
+def _symbols(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), "<u2").astype(np.int32)
+
+
+def trained(rows: DataFrame, tokens: int, start: gru.Params) -> gru.Params:
+    """The average, by tokens, of the weights that each split of ``key, symbols`` reaches from ``start``.
+
+    Splits, the order of documents within them, and the order in which weights are added follow from the rows alone.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(gru.packed(start))
+    splits = max(1, -(-tokens // SPLIT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, trainer, held, size = None, None, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                trainer.train(held)
+            if trainer is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([split], pa.int64()), pa.array([float(trainer.tokens)]), pa.array([gru.packed(trainer.p)], pa.binary())], ["split", "n", "p"])
+
+        for b in batches:
+            for now, cell in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if now != split:
+                    yield from done()
+                    split, trainer, held, size = now, gru.Trainer(gru.unpacked(sent.value)), [], 0
+                held.append(_symbols(cell))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    trainer.train(held)
+                    held, size = [], 0
+        yield from done()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0.0, None
+        first, n, total = None, 0.0, None
         for b in batches:
             for k in range(b.num_rows):
-                flat = np.frombuffer(b.column(1)[k].as_py(), "<f8")
-                n, total = n + b.column(0)[k].as_py(), flat if total is None else total + flat
+                own = b.column(1)[k].as_py()
+                flat = np.frombuffer(b.column(2)[k].as_buffer(), "<f4").astype(float) * own
+                first, n, total = b.column(0)[k].as_py() if first is None else first, n + own, flat if total is None else total + flat
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["split", "n", "p"])
 
+    dealt = rows.select(F.pmod("key", F.lit(splits)).alias("split"), "key", "symbols").repartition(splits, "split").sortWithinPartitions("split", "key", "symbols").select("split", "symbols")
+    weights = dealt.mapInArrow(run, "split long, n double, p binary")
     # Weights have a fixed size; sums of sums keep what one task and the driver see to a few of them.
-    sums = docs.select("text").mapInArrow(run, "n double, p binary").repartition(16).mapInArrow(add, "n double, p binary").collect()
+    sums = weights.repartition(SUMS, "split").sortWithinPartitions("split").mapInArrow(add, "split long, n double, p binary").collect()
+    sums.sort(key=lambda r: r["split"])
     n = sum(r["n"] for r in sums)
     return gru.unpacked(sum(np.frombuffer(bytes(r["p"]), "<f8") for r in sums) / n) if n else start
 
 
+def _modelled(batches: Iterator[pa.RecordBatch], p: gru.Params) -> Iterator[pa.RecordBatch]:
+    """Rows with the network's log10-probability of the last column, their symbols, in its place; many at a time."""
+    held, size = [], 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if held:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            model = gru.log_likelihoods(p, [_symbols(c) for c in whole.column("symbols")]) / np.log(10)
+            yield from whole.drop_columns("symbols").append_column("model", pa.array(model)).to_batches()
+
+    for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        held.append(b)
+        size += sum(len(c.as_buffer()) for c in b.column("symbols")) // 2
+        if size >= CHUNK:
+            yield from done()
+            held, size = [], 0
+    yield from done()
+
+
 def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", common: int = COMMON) -> DataFrame:
     """``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row.
 
@@ -199,45 +270,27 @@ def scored(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "t
     train = own.where(~F.col("held_out"))
     counts = written(word_counts(train), "counts")
     vocab = vocabulary(counts, train.count(), common)
+    rows = own.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", (F.floor(F.col("part") / 5) == 0).alias("early"), F.xxhash64("id", "text").alias("key"), "text")
+    rows = written(encoded(rows, vocab), "encoded")
     params = gru.initial(vocab.symbol_counts())
-    early = F.floor(F.col("part") / 5) == 0
-    params = trained(train.where(early), vocab, params)
-    params = trained(train.where(~early), vocab, params)
-    sent = spark.sparkContext.broadcast((vocab, gru.packed(params)))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, raw = sent.value
-        vocab.prepare()
-        p = gru.unpacked(raw)
-        for rows in _chunks(batches, 3, vocab):
-            model = gru.log_likelihoods(p, [r[2] for r in rows]) / np.log(10)
-            base, known, others, times = [], [], [], []
-            for k, (_, _, symbols, at, other) in enumerate(rows):
-                end = np.log10(vocab.ends + 0.5)
-                base.append(vocab.log_counts[at].sum() + end)
-                known.append(len(at) + (vocab.ends > 0))
-                tails = symbols[symbols >= gru.SHORT] - gru.SHORT
-                model[k] += vocab.rest[at].sum() - vocab.log_class[tails].sum()
-                tally = Counter(other)
-                others.append(list(tally))
-                times.append(list(tally.values()))
-            head = [pa.array([b.column(i)[k].as_py() for b, k, *_ in rows], t) for i, t in enumerate(rows[0][0].schema.types[:3])]
-            tokens = pa.array([len(r[2]) for r in rows], pa.int64())
-            rest = [pa.array(base), pa.array(known, pa.int64()), pa.array(model), pa.array(others, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*head, tokens, *rest], ["row", "id", "held_out", "n_tokens", "base", "known", "model", "words", "times"])
+    sizes = {r["early"]: r["n"] for r in rows.where(~F.col("held_out")).groupBy("early").agg(F.sum("n_tokens").alias("n")).collect()}
+    for early in (True, False):
+        if early in sizes:
+            params = trained(rows.where(~F.col("held_out") & (F.col("early") == early)), sizes[early], params)
+    sent = spark.sparkContext.broadcast(gru.packed(params))
+    names = ["row", "id", "held_out", "n_tokens", "base", "known", "rest"]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
+    model = rows.select(*names, "symbols").mapInArrow(lambda it: _modelled(it, gru.unpacked(sent.value)), f"{kinds}, model double")
 
-    rows = own.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
-    rows = written(rows.mapInArrow(run, f"row long, id {kind}, held_out boolean, n_tokens long, base double, known long, model double, words array<binary>, times array<long>"), "scored")
     tail = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     tail = tail.join(counts.select("word", "c"), "word", "left")
     sums = tail.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("met")
     )
-    out = rows.drop("words", "times").join(sums, "row", "left")
+    out = model.join(sums, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     spread = float(np.log10(vocab.tokens + 0.5 * (vocab.types + 1)))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(vocab.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * spread).alias("base_score"), (F.col("model") + logs).alias("score"),
+        (F.col("base") + logs - F.col("n_tokens") * spread).alias("base_score"), (F.col("model") + F.col("rest") + logs).alias("score"),
     )

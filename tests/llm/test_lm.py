@@ -27,7 +27,28 @@ def base_scores(rows):
     return n, [(len(tokens(t)), sum(c[x] > 0 for x in tokens(t)), sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in tokens(t))) for _, t in rows]
 
 
-def test_gradient():
+def test_gradients_are_those_of_finite_differences():
+    rng = np.random.default_rng(0)
+    p = {k: v + rng.normal(scale=0.3, size=v.shape).astype(np.float32) for k, v in gru.initial(np.ones(gru.SHORT + gru.TAIL)).items()}
+    texts = [rng.integers(0, gru.SHORT + gru.TAIL, 12).astype(np.int32) for _ in range(3)]
+    texts[0][3:6] = texts[1][2:5] = gru.SHORT + 2
+    y = np.stack(texts, axis=1)
+    x = np.concatenate([np.zeros((1, 3), np.int32), y[:-1]])
+    first = np.zeros(x.shape, bool)
+    first[0] = True
+    g, count, _ = gru.Trainer(p).gradients(x, y, first, np.ones((gru.HIDDEN, 3), np.float32))
+    assert count == y.size
+    for name in p:
+        for at in np.argsort(-np.abs(g[name]).ravel())[[0, 1, 5, 20, 60]].tolist():
+            moved = []
+            for by in (0.01, -0.01):
+                q = {k: v.copy() for k, v in p.items()}
+                q[name].ravel()[at] += by
+                moved.append(gru.log_likelihoods(q, texts).sum())
+            assert math.isclose((moved[0] - moved[1]) / 0.02, g[name].ravel()[at], rel_tol=0.03, abs_tol=0.01), (name, at)
+
+
+def test_training_helps():
     rng = np.random.default_rng(0)
     p = gru.initial(np.ones(gru.SHORT + gru.TAIL))
     texts = [rng.integers(0, gru.SHORT + gru.TAIL, n).astype(np.int32) for n in (7, 4, 9)]
@@ -40,9 +61,10 @@ def test_gradient():
 
 def test_probabilities_sum_to_one():
     p = gru.initial(np.random.default_rng(1).random(gru.SHORT + gru.TAIL) * 9)
-    h = np.random.default_rng(2).normal(size=(1, gru.HIDDEN)).astype(np.float32)
+    h = np.random.default_rng(2).normal(size=(gru.HIDDEN + 1, 1)).astype(np.float32)
+    h[-1] = 1
     every = np.arange(gru.SHORT + gru.TAIL)
-    lp = gru.output(p, np.repeat(h, len(every), axis=0), every)[0]
+    lp = gru.output(p, np.repeat(h, len(every), axis=1), every)[0]
     assert abs(np.exp(lp.astype(float)).sum() - 1) < 1e-4
 
 
@@ -68,6 +90,14 @@ def test_against_brute_force(spark, odd_docs, no_docs):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in untrained)
 
 
+def test_partitions_of_the_rows_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SPLIT", 3000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    some, other = ({r.doc_id: (r.base_score, r.score) for r in lm.scored(docs.repartition(n, "text"), bucket(F.col("doc_id"), 5) == 1).collect()} for n in (1, 6))
+    assert some.keys() == other.keys()
+    assert all(np.allclose(some[i], other[i], rtol=1e-5, atol=1e-4) for i in some)
+
+
 def test_better_than_counts_on_held_out_texts(spark):
     rows = [r for r in queries.op10_lm_score(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
