@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from geoloom.cluster import drop_written, written
 
+#: A hub has at least so many neighbours. At most so many hubs are told apart, however many edges there are.
+HUB, HUBS = 256, 20_000
+
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Label every node of an undirected edge list with the smallest node that it reaches.
 
     Returns ``(node, component)`` with one row for each node that is not the smallest of its component; a node that is
     absent is its own component. Each round re-hangs neighbours on the smallest node seen (large star, then small
-    star), so that the rounds grow with the logarithm of a component's size. Edges stay linear in the input; hubs are
-    reduced by partial aggregation and their joins may be split by adaptive execution. Null ends and loops are left
-    out. The tables between rounds are written in the shared folder.
+    star), so that the rounds grow with the logarithm of a component's size. Edges stay linear in the input. Hubs are
+    reduced by partial aggregation, and as few nodes can have many edges, their least neighbours are broadcast, so that
+    a hub's edges meet theirs where they are. Null ends and loops are left out. The tables between rounds are written in
+    the shared folder.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
     e, seen = written(e.distinct(), "edges"), None
+    size = e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        many = max(HUB, -(-2 * size // HUBS))
+        hubs = F.broadcast(least.where(F.col("n") >= many).select("u", F.col("m").alias("hub")))
+        split = both.where(F.col("v") > F.col("u")).join(hubs, "u", "left")
+        rest = split.where("hub IS NULL").join(least.where(F.col("n") < many), "u").select("v", "m")
+        large = split.where("hub IS NOT NULL").select("v", F.col("hub").alias("m")).unionByName(rest).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(
@@ -36,4 +45,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         now = small.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return small.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        e, seen = small, now
+        e, seen, size = small, now, now[0]
