@@ -101,7 +101,7 @@ def sql_recursive(spark, d):
 def _join(spark, d, kind):
     c, o = read(spark, d, "customer"), read(spark, d, "orders")
     some = at.create(at.keep(o, ["o_orderkey", "o_custkey"]), [("c_name", value("order"))])
-    return combine.feature_join(at.keep(c, ["c_custkey", "c_name"]), layer(some.df.where("o_orderkey % 2 = 0").withColumn("o_custkey", F.col("o_custkey") + 50)), [("c_custkey", "o_custkey")], kind)
+    return combine.feature_join(at.keep(c, ["c_custkey", "c_name"]), layer(some.df.withColumn("o_custkey", F.col("o_custkey") + 50)), [("c_custkey", "o_custkey")], kind)
 
 
 def join_inner(spark, d):
@@ -184,11 +184,17 @@ def column_profile(spark, d):
 
 
 def column_categories(spark, d):
-    return profile.categories(read(spark, d, "lineitem"), "l_returnflag", rows=10**9)
+    return profile.categories(read(spark, d, "lineitem"), "l_returnflag", rows=None)
 
 
 def column_suggestions(spark, d):
-    return profile.suggestions(read(spark, d, "lineitem"), "l_shipmode") if "l_shipmode" in read(spark, d, "lineitem").columns else profile.suggestions(read(spark, d, "orders"), "o_orderstatus")
+    l = read(spark, d, "orders")
+    words, numbers = profile.suggestions(l, "o_orderstatus"), profile.suggestions(l, "o_custkey")
+    return words.select(F.lit("o_orderstatus").alias("column"), "value", "n").unionByName(numbers.select(F.lit("o_custkey").alias("column"), "value", "n"))
+
+
+def sample_rows(spark, d):
+    return profile.sample(customers(spark, d), order=["c_custkey"]).select("c_custkey", "c_name", "geometry")
 
 
 PARENT = "85283473fffffff"
@@ -210,11 +216,11 @@ QUERIES = {
     for f in (
         tester_and_or, tester_null_failed, test_filter_ports, attribute_filter_ports, keeper, remover, renamer, creator_formula, creator_sql, manager_edits, convert_try, sql_cte, sql_window,
         sql_recursive, join_inner, join_left, join_full, unjoined_left, unjoined_right, union_by_name, agg_all, stats_summary, stats_complete, correlation, histogram, unique_values, duplicate_ports,
-        coincident_points, sampler_every_nth, sort_topn, column_profile, column_categories, h3_positional, h3_parent_rollup,
+        coincident_points, sampler_every_nth, sort_topn, column_profile, column_categories, column_suggestions, sample_rows, h3_positional, h3_parent_rollup,
     )
 }
 
-_J = "(SELECT o_orderkey, o_custkey + 50 AS o_custkey, 'order' AS c_name FROM orders WHERE o_orderkey % 2 = 0)"
+_J = "(SELECT o_orderkey, o_custkey + 50 AS o_custkey, 'order' AS c_name FROM orders)"
 _BASE = (int(PARENT, 16) & ~(15 << 52)) | (8 << 52)
 for _d in (6, 7, 8):
     _BASE &= ~(7 << (3 * (15 - _d)))
@@ -253,6 +259,8 @@ ORACLES = {
     "sort_topn": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "column_profile": "WITH t(c, v) AS (SELECT 'o_orderstatus', o_orderstatus FROM orders UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR) FROM orders), k AS (SELECT c, v, count(*) AS n, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, v) AS r FROM t WHERE v IS NOT NULL GROUP BY c, v), p AS (SELECT c, string_agg(v, ',' ORDER BY r) AS top FROM k WHERE r <= 5 GROUP BY c) SELECT 'o_orderstatus' AS \"column\", round(1 - count(o_orderstatus) / count(*), 6) AS null_share, count(DISTINCT o_orderstatus) AS \"distinct\", min(o_orderstatus) AS min, max(o_orderstatus) AS max, (SELECT top FROM p WHERE c = 'o_orderstatus') AS top FROM orders UNION ALL SELECT 'o_custkey', round(1 - count(o_custkey) / count(*), 6), count(DISTINCT o_custkey), CAST(min(o_custkey) AS VARCHAR), CAST(max(o_custkey) AS VARCHAR), (SELECT top FROM p WHERE c = 'o_custkey') FROM orders",
     "column_categories": "SELECT l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 1",
+    "column_suggestions": "SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_custkey', CAST(v AS VARCHAR), n FROM (SELECT unnest([min(o_custkey)::DOUBLE, quantile_cont(o_custkey, 0.25), quantile_cont(o_custkey, 0.5), quantile_cont(o_custkey, 0.75), max(o_custkey)::DOUBLE]) AS v, unnest(range(5)) AS n FROM orders)",
+    "sample_rows": r"SELECT c_custkey, c_name, 'POINT (' || regexp_replace(CAST(((c_custkey * 7919) % 36000) / 100.0::DOUBLE - 180 AS VARCHAR), '\.0$', '') || ' ' || regexp_replace(CAST(((c_custkey * 104729) % 17000) / 100.0::DOUBLE - 85 AS VARCHAR), '\.0$', '') || ')' AS geometry FROM customer ORDER BY c_custkey LIMIT 20",
     "h3_positional": f"SELECT o_orderkey, lower(lpad(printf('%x', {_CELL}), 15, '0')) AS h3_index FROM orders",
     "h3_parent_rollup": f"SELECT ((({_CELL}) & ~(15::BIGINT << 52)) | (6::BIGINT << 52) | ((1::BIGINT << 27) - 1)) AS parent, count(*) AS cells, round(avg(o_totalprice), 4) AS o_totalprice FROM orders GROUP BY 1",
 }

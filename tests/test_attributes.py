@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from geoloom.functions.values import Condition, attr, formula, sql, value
 from geoloom.layer import find_geometry, known_crs, layer
@@ -152,6 +153,7 @@ def test_profiles(people):
     p = {r.column: r for r in profile.profile(people).collect()}
     assert abs(p["v"].null_share - 0.2) < 1e-9 and p["v"].distinct == 4 and p["cat"].top == ["a", "b", "c"] and (p["v"].min, p["v"].max) == ("-2.0", "10.5")
     assert [tuple(r) for r in profile.categories(people, "cat").collect()][0] == ("a", 2)
+    assert [tuple(r) for r in profile.categories(people, "cat", rows=None).collect()][0] == ("a", 2)
     assert profile.categories(people, "name", k=3).count() == 0
     assert [float(r.value) for r in profile.suggestions(people, "v").collect()] == [-2.0, 1.75, 5.0, 7.875, 10.5]
 
@@ -159,3 +161,20 @@ def test_profiles(people):
 def test_find_geometry(spark):
     df = spark.createDataFrame([("x", bytearray(b"1"), bytearray(b"2"))], "geometry string, data binary, Geom binary")
     assert find_geometry(df.schema) == "Geom" and find_geometry(df.select("geometry", "data").schema) is None
+
+
+def test_profile_of_geometry_and_bytes(spark):
+    from geoloom.functions import geo
+    from geoloom.layer import layer
+
+    geo.register(spark)
+    df = spark.createDataFrame([(1, 2.0, bytearray(b"x"), "a" * 100), (2, 5.0, None, None), (3, None, None, "a" * 100)], "k long, x double, raw binary, t string")
+    l = layer(df.withColumn("geometry", geo.st_point(F.col("x"), F.col("k"))).withColumn("geometry", F.when(F.col("x").isNotNull(), F.col("geometry"))), "geometry")
+    p = {r.column: r for r in profile.profile(l).collect()}
+    assert p["geometry"].extent == [2.0, 1.0, 5.0, 2.0] and p["geometry"].distinct is None and round(p["geometry"].null_share, 3) == 0.333
+    assert p["raw"].min is None and p["raw"].distinct is None and round(p["raw"].null_share, 3) == 0.667
+    assert (p["k"].distinct, p["k"].min, p["k"].max, p["k"].top) == (3, "1", "3", ["1", "2", "3"])
+    s = profile.sample(l, rows=2, order=["k"]).collect()
+    assert [r.geometry for r in s] == ["POINT (2 1)", "POINT (5 2)"] and s[0].raw == "(binary)" and s[1].raw is None and s[0].t == "a" * 80 + "…"
+    none = {r.column: r for r in profile.profile(l.with_df(l.df.limit(0))).collect()}
+    assert none["k"].null_share == 0 and none["k"].distinct == 0 and none["k"].top == [] and none["geometry"].extent is None
