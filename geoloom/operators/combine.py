@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoloom.cluster import written
 from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import Layer, layer, need_columns, need_geometry, same_crs
@@ -67,6 +68,8 @@ def spatial_join(left: Layer, right: Layer, predicate: str = "intersects", dista
     reach = float(distance or 0) if predicate == "dwithin" else 0.0
     lg, rg = need_geometry(left), need_geometry(right)
     l = left.df.select("*", F.monotonically_increasing_id().alias("_left"), geo.st_bounds(col(lg)).alias("_b"))
+    if how == "left":  # two branches read the numbers, which must not change between them
+        l = written(l, "left")
     r = right.df.select("*", geo.st_bounds(col(rg)).alias("_b"))
     if cell is None:
         wide = F.avg(F.greatest(F.col("_b.maxx") - F.col("_b.minx"), F.col("_b.maxy") - F.col("_b.miny")))

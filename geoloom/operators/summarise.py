@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.cluster import written
 from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import Layer, layer, need_columns, need_geometry
 
+#: Shapes that are united at a time.
+STACK = 1000
 AGGREGATES = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "median": F.median, "count distinct": F.count_distinct}
 
 
@@ -44,20 +49,56 @@ def quoted(name: str) -> str:
     return f"`{name}`"
 
 
-def dissolve(l: Layer, group_by: Sequence[str] = (), cells: int = 64) -> Layer:
+def dissolve(l: Layer, group_by: Sequence[str] = ()) -> Layer:
     """The union of each group's shapes, and ``parts``, the rows it is made of.
 
-    Shapes of a group are first united by squares of the globe, then those unions: a large group is many tasks.
+    Equal shapes are first made one. The others of a group are united in stacks of about ``STACK`` neighbours, those
+    unions again, and so on, so that no task holds more than a stack, however large a group or crowded a place is; the
+    last union, the result itself, is one value.
     """
     g = need_geometry(l)
     need_columns(l.df, list(group_by))
-    b = geo.st_bounds(col(g))
-    square = F.xxhash64(F.floor(b["minx"] / 4), F.floor(b["miny"] / 4))
-    by = [col(c) for c in group_by]
-    df = l.df.select(*by, col(g).alias("_g"), F.pmod(square, F.lit(cells)).alias("_s"))
-    df = df.groupBy(*by, "_s").agg(geo.st_union(F.collect_list("_g")).alias("_g"), F.count(F.lit(1)).alias("_n"))
-    df = df.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("parts"), geo.st_union(F.collect_list("_g")).alias(g))
-    return layer(df, g, l.crs)
+    names = [f"_k{i}" for i in range(len(group_by))]
+    keys = names or ["_k"]
+    df = l.df.select(*[col(c).alias(n) for c, n in zip(group_by, names, strict=True)] or [F.lit(0).alias("_k")], col(g).alias("_g"))
+    df = df.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_n"))
+    # Neighbours first: a stack is a run along a curve through the plane.
+    b = geo.st_bounds(F.col("_g"))
+    df = written(df.withColumn("_at", _along_curve(b["minx"], b["miny"])), "dissolve")
+    most = _largest(df, keys)
+    while most > STACK:
+        spans = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / STACK).alias("_runs"), F.min("_at").alias("_lo"), (F.max("_at") - F.min("_at") + 1).alias("_wide"))
+        df = _matched(df, spans, keys).withColumn("_run", F.floor((F.col("_at") - F.col("_lo")) / F.col("_wide") * F.col("_runs"))).drop("_runs", "_lo", "_wide")
+        # A crowded run is dealt into several stacks.
+        crowds = df.groupBy(*keys, "_run").agg(F.ceil(F.count(F.lit(1)) / STACK).alias("_stacks"))
+        df = _matched(df, crowds, [*keys, "_run"]).withColumn("_deal", F.pmod(F.xxhash64("_g"), F.col("_stacks")))
+        df = df.groupBy(*keys, "_run", "_deal").agg(geo.st_union(F.collect_list("_g")).alias("_g"), F.sum("_n").alias("_n"), F.min("_at").alias("_at")).drop("_run", "_deal")
+        df = written(df, "dissolve")
+        most = _largest(df, keys)
+    df = df.groupBy(*names).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("parts"), geo.st_union(F.collect_list("_g")).alias(g))
+    return layer(df.select(*[F.col(n).alias(c) for c, n in zip(group_by, names, strict=True)], "parts", g), g, l.crs)
+
+
+def _largest(df: DataFrame, keys: Sequence[str]) -> int:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def _matched(rows: DataFrame, one: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``one``, which has a row for each of their keys; null keys match."""
+    on = reduce(and_, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    return rows.alias("r").join(one.alias("o"), on).select("r.*", *[f"o.{c}" for c in one.columns if c not in keys])
+
+
+def _along_curve(x: Column, y: Column) -> Column:
+    """A place along a curve of squares (Z order) through 65,536 columns and rows of the range that coordinates have."""
+    cell = lambda c: F.floor((F.signum(c) * F.log1p(F.abs(c)) / 40 + 0.5) * 65_536).cast("long")
+
+    def spread(c: Column) -> Column:
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return c
+
+    return F.coalesce(spread(cell(x)).bitwiseOR(F.shiftleft(spread(cell(y)), 1)), F.lit(0)).cast("double")
 
 
 #: Statistic to expression; the names are those of the report.
