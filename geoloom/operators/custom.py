@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+from geoloom.cluster import written
 from geoloom.layer import Layer, quoted, same_crs
 from geoloom.operators.attributes import transform_sql
 
@@ -44,12 +47,12 @@ def define_operator(name: str, params: Sequence[Param], steps: Sequence[tuple[st
         if unknown:
             raise ValueError(f"{name} has no parameter {', '.join(sorted(unknown))}")
         values = {p.name: _KINDS[p.kind](given.get(p.name, p.default)) for p in params}
-        main, views = layers[0], []
+        main, views, call = layers[0], [], uuid.uuid4().hex
         spark = main.df.sparkSession
         try:
             tables = {}
             for key, l in zip(inputs, layers, strict=True):
-                tables[f"inputs.{key}"] = view = f"geoloom_{id(l)}_{key}"
+                tables[f"inputs.{key}"] = view = f"geoloom_{call}_{key}"
                 l.df.createOrReplaceTempView(view)
                 views.append(view)
             out = main
@@ -63,7 +66,7 @@ def define_operator(name: str, params: Sequence[Param], steps: Sequence[tuple[st
                     raise ValueError(f"{name}: nothing is called {what}")
 
                 out = transform_sql(main, re.sub(r"\{\{(.*?)\}\}", put, sql))
-                tables[f"steps.{key}"] = view = f"geoloom_{id(main)}_step_{key}"
+                tables[f"steps.{key}"] = view = f"geoloom_{call}_step_{key}"
                 out.df.createOrReplaceTempView(view)
                 views.append(view)
             return out
@@ -87,6 +90,41 @@ class Flow:
         self.edges, self.operators = graph.get("edges", []), operators
         self.errors: dict[str, str] = {}
 
+    @classmethod
+    def from_json(cls, text: str, operators: dict[str, Callable[[dict[str, Layer], dict], Any]]) -> Flow:
+        """A saved flow. What its nodes or edges refer to must be there, and every operator known."""
+        graph = json.loads(text)
+        flow = cls(graph, operators)
+        if len(flow.nodes) != len(graph["nodes"]):
+            raise ValueError("two nodes have one id")
+        if unknown := {n["operator"] for n in graph["nodes"]} - set(operators):
+            raise ValueError(f"unknown operators: {', '.join(sorted(unknown))}")
+        if lost := {e[k] for e in flow.edges for k in ("from", "to")} - set(flow.nodes):
+            raise ValueError(f"edges lead to no node: {', '.join(sorted(lost))}")
+        flow.order()
+        return flow
+
+    def to_json(self) -> str:
+        return json.dumps({"nodes": list(self.nodes.values()), "edges": self.edges}, sort_keys=True)
+
+    def run(self, write: Callable[[Layer, str, str], None], outputs: Sequence[dict]) -> dict[str, str]:
+        """Write the ``outputs``, each ``{from, fromPort, path, format}``, and say of each path how that went.
+
+        A port that several outputs or nodes take is written once in the shared folder and read from there. An output
+        that fails, or whose node did, doesn't keep the others from being written.
+        """
+        layers, said = self.build(persist=True), {}
+        for o in outputs:
+            port = (o["from"], o.get("fromPort", "output"))
+            try:
+                if port not in layers:
+                    raise ValueError(self.errors.get(o["from"], f"there is no port {port[1]} of {o['from']}"))
+                write(layers[port], o["path"], o.get("format", "Parquet"))
+                said[o["path"]] = "written"
+            except Exception as error:  # noqa: BLE001 - reported with its path
+                said[o["path"]] = f"{type(error).__name__}: {error}"
+        return said
+
     def order(self) -> list[str]:
         """Node ids, each after those it takes from; a cycle is an error."""
         waiting = {n: {e["from"] for e in self.edges if e["to"] == n} for n in self.nodes}
@@ -100,7 +138,9 @@ class Flow:
                 del waiting[n]
         return out
 
-    def build(self) -> dict[tuple[str, str], Layer]:
+    def build(self, persist: bool = False) -> dict[tuple[str, str], Layer]:
+        """Every port's layer. With ``persist``, ports that several nodes take are written once."""
+        taken = [(e["from"], e.get("fromPort", "output")) for e in self.edges]
         done: dict[tuple[str, str], Layer] = {}
         self.errors = {}
         for n in self.order():
@@ -119,5 +159,5 @@ class Flow:
                 self.errors[n] = f"{type(error).__name__}: {error}"
                 continue
             for port, l in (out if isinstance(out, dict) else {"output": out}).items():
-                done[n, port] = l
+                done[n, port] = l.with_df(written(l.df, "port")) if persist and taken.count((n, port)) > 1 else l
         return done
