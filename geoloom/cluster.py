@@ -78,6 +78,12 @@ def get_text(spark: SparkSession, uri: str) -> str | None:
         stream.close()
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path, which may have wildcards, leads to any file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the executors, where it isn't installed; once for each context."""
     sc = spark.sparkContext

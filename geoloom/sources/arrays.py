@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.cluster import get_text
+from geoloom.cluster import get_text, matches
 from geoloom.functions import geo
 from geoloom.layer import LON_LAT, Layer, known_crs, layer
 
-#: Names by which the two spatial axes are found; fixed values.
-Y_NAMES, X_NAMES = ("y", "lat", "latitude", "northing", "row"), ("x", "lon", "longitude", "easting", "col", "column")
-CRS_NAMES = ("crs", "crs_wkt", "epsg", "proj:epsg", "spatial_ref", "projection")
+#: Names by which the two spatial axes are found, and attributes that carry the reference system, in the
+#: order in which they are believed, or that name what is no measurement.
+Y_NAMES = ("y", "lat", "latitude", "northing", "row")
+X_NAMES = ("x", "lon", "long", "longitude", "easting", "col", "column")
+CRS_NAMES = ("crs_wkt", "spatial_ref", "crs", "proj:wkt2", "esri_pe_string", "epsg")
+NODATA_NAMES = ("_FillValue", "missing_value", "nodata", "nodatavals", "fill_value")
+#: A window that touches more rows or columns of chunks than this is looked for by pattern, and then by number.
+SPELLED = 500
 
 
 @dataclass(frozen=True)
@@ -46,6 +53,9 @@ class ArrayMeta:
         return (n - 2, n - 1) if y is None or x is None else (y, x)
 
 
+_CELLS = "y_index long, x_index long, x double, y double, value double"
+
+
 def _text(spark: SparkSession, path: str) -> dict | None:
     text = get_text(spark, path)
     return None if text is None else json.loads(text)
@@ -102,7 +112,7 @@ def read_zarr(
     Other dimensions are pinned. The stride counts from the window's corner. Values are scaled by ``scale_factor`` and
     ``add_offset``; cells that hold the fill value (``_FillValue``, ``missing_value``) or no number are left out, or null.
     Places come from ``transform`` (six numbers, row by row) or ``GeoTransform`` attributes, else they are the indexes.
-    Only the chunks that the window touches are read, each in a task of its own; chunks that aren't stored are all fill.
+    Only the chunks that the window touches are listed and read, in parallel; chunks that aren't stored are all fill.
     """
     pins, path = dict(pins or {}), path.rstrip("/")
     meta = array_meta(spark, path)
@@ -111,8 +121,8 @@ def read_zarr(
     r0, c0, rows, cols = window or (0, 0, meta.shape[y], meta.shape[x])
     r1, c1 = min(r0 + rows, meta.shape[y]), min(c0 + cols, meta.shape[x])
     index = [[pins.get(meta.dims[k], 0) // meta.chunks[k]] for k in range(len(meta.shape))]
-    index[y] = list(range(r0 // meta.chunks[y], (r1 - 1) // meta.chunks[y] + 1)) if r1 > r0 else []
-    index[x] = list(range(c0 // meta.chunks[x], (c1 - 1) // meta.chunks[x] + 1)) if c1 > c0 else []
+    index[y] = range(r0 // meta.chunks[y], (r1 - 1) // meta.chunks[y] + 1) if r1 > r0 else range(0)
+    index[x] = range(c0 // meta.chunks[x], (c1 - 1) // meta.chunks[x] + 1) if c1 > c0 else range(0)
     a = meta.attrs
     t = a.get("transform") or a.get("spatial:transform")
     if not t and a.get("GeoTransform"):
@@ -120,7 +130,8 @@ def read_zarr(
         t = [g[1], g[2], g[0], g[4], g[5], g[3]]
     t = [float(v) for v in (t or [1, 0, 0, 0, 1, 0])[:6]]
     scale, offset = a.get("scale_factor"), a.get("add_offset")
-    missing = [float(v) for v in (a.get("_FillValue"), a.get("missing_value"), meta.fill) if isinstance(v, (int, float))]
+    noted = [v for n in NODATA_NAMES for v in (a[n] if isinstance(a.get(n), list) else [a.get(n)])]
+    missing = [float(v) for v in (*noted, meta.fill) if isinstance(v, (int, float))]
     floats = scale is not None or offset is not None or np.dtype(meta.dtype).kind == "f"
 
     def cells(grid: np.ndarray, iy: int, ix: int) -> pa.RecordBatch:
@@ -150,13 +161,24 @@ def read_zarr(
                 grid = block[at]
                 yield cells(grid if y < x else grid.T, iy, ix)
 
-    names = [(iy, ix, meta.prefix + meta.separator.join(str(iy if k == y else ix if k == x else index[k][0]) for k in range(len(meta.shape)))) for iy in index[y] for ix in index[x]]
-    # The grid of chunks is made by Spark; only the one pattern of file names is spelled here.
-    wanted = spark.createDataFrame(names, "iy long, ix long, name string") if names else spark.createDataFrame([], "iy long, ix long, name string")
-    depth = meta.prefix.count("/") + (len(meta.shape) - 1 if meta.separator == "/" else 0)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", rf"((?:[^/]+/){{{depth}}}[^/]+)$", 1).alias("name"), "content")
-    got = wanted.join(files, "name", "left").select("iy", "ix", "content")
-    df = got.mapInArrow(run, "y_index long, x_index long, x double, y double, value double")
+    # The chunks that the window touches, by a pattern that only their files fit, so that no other file is listed or read.
+    spelled = lambda k: str(index[k][0]) if len(index[k]) == 1 else "{" + ",".join(map(str, index[k])) + "}" if 0 < len(index[k]) <= SPELLED else "*"
+    pattern = f"{path}/{meta.prefix}{meta.separator.join(spelled(k) for k in range(len(meta.shape)))}"
+    numbers = re.escape(meta.separator).join(r"(\d+)" for _ in meta.shape)
+    inside = F.col("iy").between(r0 // meta.chunks[y], (r1 - 1) // meta.chunks[y]) & F.col("ix").between(c0 // meta.chunks[x], (c1 - 1) // meta.chunks[x])
+    stored = None
+    if index[y] and index[x] and matches(spark, pattern):
+        place = lambda k: F.regexp_extract("path", rf"{numbers}$", k + 1).cast("long")
+        stored = spark.read.format("binaryFile").load(pattern).select(place(y).alias("iy"), place(x).alias("ix"), "content").where(inside)
+    parts = [] if stored is None else [stored.mapInArrow(run, _CELLS)]
+    if index[y] and index[x] and not (skip_nodata and (meta.fill is None or float(meta.fill) in missing)):
+        # Chunks that aren't stored are all fill, and only matter if that is a value or is asked for.
+        wide = len(index[x])
+        every = spark.range(len(index[y]) * wide).select((F.col("id") / wide).cast("long").alias("iy"), (F.col("id") % wide).alias("ix"))
+        every = every.select((F.col("iy") + index[y][0]).alias("iy"), (F.col("ix") + index[x][0]).alias("ix"))
+        lacking = every if stored is None else every.join(stored.select("iy", "ix"), ["iy", "ix"], "left_anti")
+        parts.append(lacking.select("iy", "ix", F.lit(None).cast("binary").alias("content")).mapInArrow(run, _CELLS))
+    df = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _CELLS)
     df = df.select("y_index", "x_index", "x", "y", *[F.lit(v).alias(k) for k, v in pins.items()], F.col("value").cast("double" if floats else "bigint").alias(value))
     source = known_crs(crs or next((_code(a[n]) for n in CRS_NAMES if a.get(n)), LON_LAT))
     if geometry == "point":

@@ -108,6 +108,11 @@ def test_zarr(spark, version):
     got = {(r.y_index, r.x_index): r.value for r in l.df.collect()}
     want = {(y, x): cube[1, y, x] * 0.5 + 1 for y in range(5) for x in range(7) if cube[1, y, x] != -1 and (y, x) != (4, 6)}
     assert got == want and l.crs == "EPSG:3857"
+    # Only the files of the chunks that the window touches are in the plan.
+    part = arrays.read_zarr(spark, d, {"time": 1}, window=(2, 0, 2, 3))
+    assert {f.rpartition(d)[2].strip("/") for f in part.df.inputFiles()} == {"1.1.0" if version == 2 else "c/1/1/0"}
+    assert {(r.y_index, r.x_index) for r in part.df.collect()} == {(2, 0), (2, 1), (2, 2), (3, 0), (3, 1), (3, 2)}
+    assert arrays.read_zarr(spark, d, {"time": 1}, skip_nodata=False).df.count() == 35
     some = arrays.read_zarr(spark, d, {"time": 0}, window=(1, 1, 4, 5), step=2, geometry="footprint", skip_nodata=False)
     assert sorted((r.y_index, r.x_index) for r in some.df.collect()) == [(y, x) for y in (1, 3) for x in (1, 3, 5)]
     r = some.df.where("y_index = 1 AND x_index = 1").withColumn("w", geo.st_area(F.col("geometry"))).first()
