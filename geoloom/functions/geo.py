@@ -24,7 +24,7 @@ _ready: set[str] = set()
 SHAPES = ("centroid", "point_on_surface", "convex_hull", "envelope", "min_rectangle", "min_circle", "boundary", "make_valid", "merge_lines", "exterior_ring")
 SIZED = ("simplify", "buffer", "densify", "smooth")
 MEASURES = {"area": "double", "length": "double", "perimeter": "double", "x": "double", "y": "double", "z": "double", "npoints": "int", "parts": "int", "holes": "int", "dimension": "int"}
-TESTS = ("is_empty", "is_valid", "is_simple", "is_closed")
+TESTS = ("is_empty", "is_valid", "is_simple", "is_closed", "is_ring", "has_m")
 RELATIONS = ("intersects", "contains", "within", "equals")
 
 
@@ -37,6 +37,9 @@ def register(spark: SparkSession | None = None) -> None:
     spark.sql(f"ADD JAR '{JAR}'")
     for name, kind in _KERNELS.items():
         spark.udf.registerJavaFunction(f"geo_{name.lower()}", f"geoloom.Udfs${name}", kind)
+    spark.udf.registerJavaFunction("geo_footer", "geoloom.Footer", "long")
+    for name in ("Union", "Extent"):
+        spark.udf.registerJavaUDAF(f"st_{name.lower()}_agg", f"geoloom.Aggregates${name}Agg")
     text = [(f"st_{n}", "g BINARY", "BINARY", f"geo_shape('{n}', g, 0D)") for n in SHAPES]
     text += [(f"st_{n}", "g BINARY, a DOUBLE", "BINARY", f"geo_shape('{n}', g, a)") for n in SIZED]
     text += [(f"st_{n}", "g BINARY", k, f"CAST(geo_measure('{n}', g) AS {k})") for n, k in MEASURES.items()]
@@ -51,6 +54,7 @@ def register(spark: SparkSession | None = None) -> None:
     text += [(f"st_{n.replace('_', '')}", "g BINARY", "BINARY", f"geo_shape('{n}', g, 0D)") for n in SHAPES if "_" in n]
     text += [("st_simplifypreservetopology", "g BINARY, a DOUBLE", "BINARY", "geo_shape('simplify', g, a)"), ("st_linemerge", "g BINARY", "BINARY", "geo_shape('merge_lines', g, 0D)")]
     text += [(n, "g BINARY", "INT", f"CAST(geo_measure('{m}', g) AS INT)") for n, m in (("st_numgeometries", "parts"), ("st_ninteriorrings", "holes"), ("st_numinteriorrings", "holes"))]
+    text += [("st_convex", "g BINARY", "BOOLEAN", "geo_measure('is_convex', g) = 1")]
     text += [("st_aswkb", "g BINARY", "BINARY", "g"), ("st_geomfromhexwkb", "t STRING", "BINARY", "unhex(t)"), ("st_asgeojson", "g BINARY", "STRING", "geo_asgeojson(g)")]
     text += [("st_hasz", "g BINARY", "BOOLEAN", "exists(geo_vertices(g), v -> v.z IS NOT NULL)"), ("st_pointn", "g BINARY, n INT", "BINARY", "geo_pointof(get(geo_vertices(g), n - 1).x, get(geo_vertices(g), n - 1).y, get(geo_vertices(g), n - 1).z)")]
     text += [("st_unionarray", "a ARRAY<BINARY>", "BINARY", "geo_union(a)"), ("st_hullarray", "a ARRAY<BINARY>", "BINARY", "geo_hull(a)"), ("st_dump", "g BINARY", "ARRAY<BINARY>", "geo_polygons(g)")]

@@ -131,13 +131,21 @@ def geometry_attributes(l: Layer, measures: Sequence[str] = ("Area (ha)", "Perim
 
 
 def inspect_geometry(l: Layer) -> Layer:
-    """Append a struct ``inspection``: type, dimension, vertices, parts, holes, validity, bounds and metric sizes."""
+    """Append a struct ``inspection``: type, dimension, vertices, parts, holes, validity, bounds, metric sizes and WKT.
+
+    Of a polygon also whether its outer ring is closed and a ring, whether it is convex, and which way the ring winds;
+    these are null for other types.
+    """
     g = col(need_geometry(l))
     flat = geo.st_transform(g, l.crs, EQUAL_AREA)
     whole = [geo.st_measure(m, g).cast("int").alias(m) for m in ("dimension", "npoints", "parts", "holes")]
-    yes = [(geo.st_measure(m, g) == 1).alias(m) for m in ("is_empty", "is_valid", "is_simple", "is_closed")]
+    yes = [(geo.st_measure(m, g) == 1).alias(m) for m in ("is_empty", "is_valid", "is_simple", "is_closed", "has_z", "has_m")]
+    ring, winding = geo.st_shape("exterior_ring", g), geo.st_measure("winding", g)
+    rings = [(geo.st_measure(m, ring) == 1).alias(n) for m, n in (("is_closed", "ring_closed"), ("is_ring", "is_ring"))]
+    turns = F.when(winding == 1, "counter-clockwise").when(winding == -1, "clockwise").alias("winding")
     sizes = [geo.st_measure(m, flat).alias(f"{m}_m") for m in ("area", "length", "perimeter")]
-    return l.with_df(l.df.select("*", F.struct(geo.st_geometrytype(g).alias("type"), *whole, *yes, geo.st_bounds(g).alias("bounds"), *sizes).alias("inspection")))
+    found = [geo.st_geometrytype(g).alias("type"), *whole, *yes, *rings, (geo.st_measure("is_convex", g) == 1).alias("is_convex"), turns, geo.st_bounds(g).alias("bounds"), *sizes, geo.st_astext(g).alias("wkt")]
+    return l.with_df(l.df.select("*", F.struct(*found).alias("inspection")))
 
 
 def quality_report(l: Layer) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
@@ -12,40 +13,85 @@ from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import LON_LAT, Layer, find_geometry, is_lon_lat, known_crs, layer
 from geoloom.operators.geometry import reproject
+from geoloom.sources import arrays, rasters, tables
 
-FORMATS = {".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".tsv": "csv", ".gz": "csv", ".geojson": "geojson", ".json": "geojson"}
+FORMATS = {
+    ".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".tsv": "csv", ".gz": "csv", ".geojson": "geojson", ".json": "geojson", ".gpkg": "geopackage", ".xlsx": "workbook", ".xlsm": "workbook",
+    ".tif": "raster", ".tiff": "raster", ".zarr": "zarr",
+}
 #: Delimiters that are tried on the head of a text file.
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def read(spark: SparkSession, path: str, format: str | None = None, crs: str | None = None, row_number: bool = False) -> Layer:
+def read(spark: SparkSession, path: str, format: str | None = None, crs: str | None = None, row_number: bool = False, **options) -> Layer:
     """One source as a lon/lat layer; the format follows from the ending if it isn't given.
 
-    ``crs`` overrides what the file says. A system that is only assumed is never moved from.
+    ``crs`` overrides what the file says. A system that is only assumed is never moved from. ``options`` are those of the
+    format's own reader: the sheet of a workbook, the layer of a GeoPackage, the pins, window and step of a Zarr array.
     """
     if format is None:
         ending = re.search(r"\.\w+$", path.rstrip("/").lower())
         format = FORMATS.get(ending[0] if ending else "", "parquet")
     if format == "parquet":
-        l, declared = read_parquet(spark, path, row_number), None
-        declared = l.df.schema[l.geometry].metadata.get("crs") if l.geometry else None
+        l, declared = read_parquet(spark, path, row_number)
     elif format == "csv":
         l, declared = read_csv(spark, path), None
     elif format == "geojson":
-        l, declared = read_geojson(spark, path), None
+        l, declared = read_geojson(spark, path)
+    elif format == "geopackage":
+        l, declared = tables.read_geopackage(spark, path, **options), None
+    elif format == "workbook":
+        l, declared = tables.read_workbooks(spark, path, **options), None
+    elif format == "raster":
+        l, declared = rasters.read_raster(spark, path)[0], None
+    elif format == "zarr":
+        l = arrays.read_zarr(spark, path, crs=crs, **options)
+        declared = l.crs
     else:
         raise ValueError(f"unknown format: {format}")
-    source = known_crs(crs or declared or LON_LAT)
+    source = known_crs(crs or declared or l.crs)
     l = Layer(l.df, l.geometry, source)
     return reproject(l, LON_LAT) if l.geometry and not is_lon_lat(source) else l
 
 
-def read_parquet(spark: SparkSession, path: str, row_number: bool = False) -> Layer:
-    """Parquet with its geometry column, and with ``file_row_number``, the place in its file, if wanted."""
+def read_parquet(spark: SparkSession, path: str, row_number: bool = False) -> tuple[Layer, str | None]:
+    """Parquet with its geometry column, and with ``file_row_number``, the place in its file, if wanted.
+
+    If the files' footers have the ``geo`` entry of GeoParquet, that names the geometry and its system, which is
+    returned as well. One footer is read for it.
+    """
     df = spark.read.parquet(path)
+    said = geo_entry(spark, df)
+    geometry = said.get("primary_column") if said.get("primary_column") in df.columns else None
     if row_number:
         df = df.select("*", F.col("_metadata.row_index").alias("file_row_number"))
-    return layer(df)
+    return layer(df, geometry), crs_of(said)
+
+
+def geo_entry(spark: SparkSession, df: DataFrame) -> dict:
+    """The ``geo`` entry in the footer of the first of a DataFrame's files; empty if there is none."""
+    files = sorted(df.inputFiles())[:1]
+    if not files:
+        return {}
+    hadoop = spark._jvm.org.apache.parquet.hadoop
+    reader = hadoop.ParquetFileReader.open(hadoop.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(files[0]), spark._jsc.hadoopConfiguration()))
+    try:
+        text = reader.getFooter().getFileMetaData().getKeyValueMetaData().get("geo")
+    finally:
+        reader.close()
+    return json.loads(text) if text else {}
+
+
+def crs_of(entry: dict) -> str | None:
+    """The system that a ``geo`` entry declares: an explicit null is lon/lat; without a word it is unknown."""
+    column = entry.get("columns", {}).get(entry.get("primary_column"), {})
+    crs = column.get("crs", "")
+    if crs is None:
+        return LON_LAT
+    if isinstance(crs, dict):
+        own = crs.get("id") or {}
+        return f"{own['authority']}:{own['code']}" if own.get("authority") and own.get("code") else crs.get("name")
+    return crs or None
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> Layer:
@@ -57,16 +103,19 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> La
     return layer(spark.read.csv(path, header=True, inferSchema=True, sep=delimiter))
 
 
-def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> Layer:
+def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> tuple[Layer, str | None]:
     """Features of a collection, or one a line, with their properties as columns and ``geometry`` last.
 
-    The schema of the properties comes from one pass over the data. Text that isn't GeoJSON is an error.
+    The schema of the properties comes from one pass over the data. Text that isn't GeoJSON is an error. The system that
+    a collection's ``crs`` member names, or that of its first feature that has one, is returned as well.
     """
     kind = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
     if lines is None:
         first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
         lines = bool(first) and re.match(r'\s*\{.*"type"\s*:\s*"Feature"', first[0][0]) is not None
     found = spark.read.json(path, multiLine=not lines).schema
+    # A collection may stand in one line, which names its features' type as well.
+    multi, lines = not lines, lines and "features" not in found.names
     if lines and "geometry" in found.names:
         feature = found
     elif "features" in found.names and isinstance(found["features"].dataType, ArrayType):
@@ -81,9 +130,19 @@ def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> L
         features = spark.read.schema(feature).json(path).select(F.struct("*").alias("f"))
     else:
         whole = StructType([StructField("features", ArrayType(feature))])
-        features = spark.read.schema(whole).json(path, multiLine=True).select(F.explode("features").alias("f"))
+        features = spark.read.schema(whole).json(path, multiLine=multi).select(F.explode("features").alias("f"))
     shape = geo.st_geomfromgeojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
-    return layer(features.select(*[F.col(f"f.properties.`{n}`").alias(n) for n in names], shape.alias("geometry")), "geometry")
+    named = "crs.properties.name"
+    has = lambda kind: isinstance(kind, StructType) and "crs" in kind.names and isinstance(kind["crs"].dataType, StructType) and "properties" in kind["crs"].dataType.names
+    said = spark.read.schema(StructType([found["crs"]])).json(path, multiLine=multi).where(f"{named} IS NOT NULL").select(named).limit(1).collect() if has(found) else []
+    l = layer(features.select(*[F.col(f"f.properties.`{n}`").alias(n) for n in names], shape.alias("geometry")), "geometry")
+    return l, crs_named(said[0][0]) if said else None
+
+
+def crs_named(name: str) -> str:
+    """The code in a name such as ``urn:ogc:def:crs:EPSG::2056`` or ``EPSG:2056``."""
+    urn = re.fullmatch(r"urn:ogc:def:crs:(\w+):[^:]*:(\w+)", name.strip())
+    return f"{urn[1]}:{urn[2]}" if urn else name.strip()
 
 
 def read_postgis(spark: SparkSession, url: str, table: str, geometry: str | None = None, crs: str = LON_LAT, **options: str) -> Layer:
@@ -96,7 +155,7 @@ def read_postgis(spark: SparkSession, url: str, table: str, geometry: str | None
 
 
 #: Columns that hold cell numbers, by their usual names; fixed values.
-H3_COLUMNS = ("h3_index", "h3", "hex", "cell", "cell_id", "h3_cell", "hexagon")
+H3_COLUMNS = ("h3_index", "h3index", "cell", "cell_id", "h3", "h3_cell", "index")
 
 
 def describe_h3(l: Layer, path: str, rows: int) -> dict:

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.cluster import put_bytes
+from geoloom.cluster import delete_path, fresh_path, matches, put_bytes
 from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import Layer, is_lon_lat, need_geometry
@@ -56,17 +56,26 @@ def urn(crs: str) -> str:
 
 def geo_metadata(l: Layer) -> dict:
     """The ``geo`` entry of a GeoParquet footer; lon/lat is the format's default system and written as none."""
-    column = {"encoding": "WKB", "geometry_types": []} | ({} if is_lon_lat(l.crs) else {"crs": l.crs})
-    return {"version": "1.1.0", "primary_column": l.geometry, "columns": {l.geometry: column}}
+    authority, _, code = l.crs.partition(":")
+    crs = None if is_lon_lat(l.crs) else {"type": "ProjectedCRS", "name": l.crs, "id": {"authority": authority, "code": int(code) if code.isdigit() else code}} if code else l.crs
+    return {"version": "1.1.0", "primary_column": l.geometry, "columns": {l.geometry: {"encoding": "WKB", "geometry_types": [], "crs": crs}}}
 
 
 def _geoparquet(l: Layer, path: str) -> None:
-    """Parquet by Spark's writer, and the ``geo`` entry beside it as the column's own metadata and in a small text file.
+    """Parquet by Spark's writer, whose files are then copied, row groups as they are, with the ``geo`` entry in the footer.
 
-    Spark's writer keeps a column's metadata in each footer, so that ``read_parquet`` finds the geometry and its system
-    again; other tools read ``_geo.json`` in the same folder.
+    The files are copied by as many tasks as there are files; the folder is marked as whole when all are.
     """
-    text = json.dumps(geo_metadata(l))
-    marked = col(l.geometry).alias(l.geometry, metadata={"geo": text, "crs": l.crs})
-    l.df.select(*[marked if c == l.geometry else col(c) for c in l.columns]).write.parquet(path)
-    put_bytes(l.df.sparkSession, f"{path.rstrip('/')}/_geo.json", text.encode())
+    spark = l.df.sparkSession
+    geo.register(spark)
+    raw, path = fresh_path(spark, "geoparquet"), path.rstrip("/")
+    if matches(spark, path):
+        raise ValueError(f"{path} exists already")
+    l.df.write.parquet(raw)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(raw).select("path")
+    target = F.concat(F.lit(f"{path}/"), F.element_at(F.split("path", "/"), -1))
+    n = files.count()
+    copied = files.repartition(max(n, 1), "path").select(F.call_function("geo_footer", "path", target, F.lit(json.dumps(geo_metadata(l)))).alias("rows"))
+    copied.agg(F.sum("rows")).collect()
+    put_bytes(spark, f"{path}/_SUCCESS", b"")
+    delete_path(spark, raw)

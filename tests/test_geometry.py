@@ -1,4 +1,5 @@
 import json
+import os
 import tempfile
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import geo
 from geoloom.functions.values import Condition, value
 from geoloom.layer import layer
-from geoloom.operators import combine, custom, geometry, h3, overlay, route, summarise, vertex
+from geoloom.operators import attributes, combine, custom, geometry, h3, overlay, route, summarise, vertex
 from geoloom.operators.components import connected_components
 from geoloom.sources import readers, writers
 
@@ -237,3 +238,85 @@ def test_operators_of_ones_own_and_flows(spark, shapes):
     assert set(flow.errors) == {"bad", "after"} and "blocked" in flow.errors["after"]
     with pytest.raises(ValueError):
         custom.Flow({"nodes": [{"id": "a"}, {"id": "b"}], "edges": [{"from": "a", "to": "b"}, {"from": "b", "to": "a"}]}, {}).build()
+
+
+def test_geoparquet_footer_is_read_by_other_tools(spark, shapes):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    l = geometry.reproject(shapes("POINT (8 47)", "POINT (9 47)", None, name=["a", "b", "c"]), "EPSG:32632")
+    path = f"{tempfile.mkdtemp()}/out"
+    writers.write(l.with_df(l.df.repartition(2)), path, "GeoParquet")
+    files = glob.glob(f"{path}/*.parquet")
+    assert len(files) == 2 and os.path.exists(f"{path}/_SUCCESS")
+    for f in files:
+        entry = json.loads(pq.read_metadata(f).metadata[b"geo"])
+        assert entry["primary_column"] == "geometry" and entry["columns"]["geometry"]["encoding"] == "WKB"
+        assert entry["columns"]["geometry"]["crs"]["id"] == {"authority": "EPSG", "code": 32632}
+    assert pq.read_table(path).num_rows == 3
+    with pytest.raises(ValueError):
+        writers.write(l, path, "GeoParquet")
+    # A file by another tool, whose geometry has a name of its own.
+    import pyarrow as pa
+
+    wkb = bytes(l.df.where("name = 'a'").first().geometry)
+    table = pa.table({"k": [1], "where": pa.array([wkb], pa.binary())}).replace_schema_metadata({"geo": json.dumps({"version": "1.0.0", "primary_column": "where", "columns": {"where": {"encoding": "WKB", "crs": {"id": {"authority": "EPSG", "code": 32632}}}}})})
+    other = f"{tempfile.mkdtemp()}/o.parquet"
+    pq.write_table(table, other)
+    back = readers.read(spark, other)
+    assert back.geometry == "where" and back.df.select(geo.st_x(F.col("where"))).first()[0] == pytest.approx(8)
+    assert readers.crs_of({"primary_column": "g", "columns": {"g": {"crs": None}}}) == "EPSG:4326" and readers.crs_of({}) is None
+
+
+def test_geojson_names_its_system(spark, shapes):
+    path = f"{tempfile.mkdtemp()}/c.geojson"
+    with open(path, "w") as f:
+        json.dump({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}, "features": [{"type": "Feature", "properties": {"a": 1}, "geometry": {"type": "Point", "coordinates": [111319.49079327358, 0]}}]}, f)
+    assert readers.read(spark, path).df.select(geo.st_x(F.col("geometry"))).first()[0] == pytest.approx(1)
+    l = geometry.reproject(shapes("POINT (8 47)"), "EPSG:32632")
+    out = f"{tempfile.mkdtemp()}/out"
+    writers.write(l, out, "GeoJSON")
+    assert readers.read(spark, out, "geojson").df.select(geo.st_x(F.col("geometry"))).first()[0] == pytest.approx(8)
+
+
+def test_sql_aggregates(shapes):
+    l = shapes("POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))", "POLYGON ((1 0, 2 0, 2 1, 1 1, 1 0))", "POINT (5 5)", None, cat=["a", "a", "b", "c"])
+    out = attributes.transform_sql(l, "SELECT cat, st_area(st_union_agg(geometry)) AS a, st_astext(st_extent_agg(geometry)) AS e FROM input GROUP BY cat").df
+    assert {r.cat: (r.a, r.e) for r in out.collect()} == {"a": (2.0, "POLYGON ((0 0, 0 1, 2 1, 2 0, 0 0))"), "b": (0.0, "POINT (5 5)"), "c": (None, None)}
+
+
+def test_dissolve_in_stacks(spark, monkeypatch):
+    """A group of many shapes, a third of them in one place, is united by stacks; copies count as parts."""
+    monkeypatch.setattr(summarise, "STACK", 7)
+    geo.register(spark)
+    df = spark.range(300).select("id", F.when(F.col("id") < 250, "x").alias("cat"), F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50).alias("k"))
+    l = layer(df.select("id", "cat", geo.st_box(F.col("k"), F.lit(0), F.col("k") + 1, F.lit(1) + F.when(F.col("k") == 0, F.col("id") / 1000).otherwise(0)).alias("geometry")), "geometry")
+    got = {r.cat: (r.parts, r.a) for r in summarise.dissolve(l, ["cat"]).df.withColumn("a", geo.st_area(F.col("geometry"))).collect()}
+    assert got["x"] == (250, pytest.approx(50 + 0.249)) and got[None][0] == 50
+    assert summarise.dissolve(l).df.first().parts == 300
+    none = summarise.dissolve(l.with_df(l.df.limit(0)))
+    assert [(r.parts, r.geometry) for r in none.df.collect()] == [(0, None)] and summarise.dissolve(l.with_df(l.df.limit(0)), ["cat"]).df.count() == 0
+
+
+def test_inspection_of_rings(shapes):
+    l = shapes("POLYGON ((0 0, 1 0, 1 1, 0 1, 0 0))", "POLYGON ((0 0, 0 2, 2 2, 1 1, 0 0))", "POINT Z (1 2 3)", "LINESTRING (0 0, 1 1)", None)
+    i = [r.inspection for r in geometry.inspect_geometry(l).df.orderBy("id").collect()]
+    assert [(x.is_ring, x.ring_closed, x.is_convex, x.winding) for x in i[:2]] == [(True, True, True, "counter-clockwise"), (True, True, True, "clockwise")]
+    assert i[2].has_z and not i[2].has_m and i[2].winding is None and i[2].is_convex is None and i[2].wkt.startswith("POINT Z")
+    assert i[3].is_ring is None and i[4].type is None and i[4].wkt is None
+
+
+def test_saved_flows(spark, shapes):
+    l = shapes("POINT (1 1)", "POINT (2 2)", cat=["a", "b"])
+    graph = {"nodes": [{"id": "s", "operator": "source"}, {"id": "t", "operator": "test"}, {"id": "x", "operator": "fail"}, {"id": "u", "operator": "all"}], "edges": [{"from": "s", "to": "t"}, {"from": "s", "to": "x"}, {"from": "x", "to": "u"}]}
+    known = {"source": lambda i, p: l, "test": lambda i, p: route.tester(i["input"], [Condition("cat", "=", "a")]), "fail": lambda i, p: 1 / 0, "all": lambda i, p: i["input"]}
+    flow = custom.Flow.from_json(json.dumps(graph), known)
+    d = tempfile.mkdtemp()
+    said = flow.run(writers.write, [{"from": "t", "fromPort": "passed", "path": f"{d}/a"}, {"from": "u", "path": f"{d}/b"}, {"from": "s", "path": f"{d}/c", "format": "CSV"}])
+    assert said[f"{d}/a"] == said[f"{d}/c"] == "written" and said[f"{d}/b"].startswith("ValueError: blocked by x")
+    assert spark.read.parquet(f"{d}/a").count() == 1
+    assert custom.Flow.from_json(flow.to_json(), known).order() == flow.order()
+    for broken in ({"nodes": [{"id": "a", "operator": "no"}]}, {"nodes": [{"id": "a", "operator": "source"}], "edges": [{"from": "a", "to": "b"}]}):
+        with pytest.raises(ValueError):
+            custom.Flow.from_json(json.dumps(broken), known)
