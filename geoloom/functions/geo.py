@@ -12,12 +12,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 JAR = Path(__file__).parent.parent / "jars" / "geoloom-kernels.jar"
-_FACE = "array<struct<wkb:binary,certain:boolean,ids:array<bigint>>>"
+_FACE = "array<struct<wkb:binary,certain:boolean,ids:array<bigint>,borders:array<struct<axis:int,at:double,above:boolean,lo:double,hi:double>>>>"
 _VERTICES = "array<struct<x:double,y:double,z:double>>"
 _KERNELS = {
     "Shape": "binary", "Measure": "double", "Compare": "double", "Combine": "binary", "Kind": "string", "AsText": "string", "FromText": "binary", "PointOf": "binary", "Box": "binary",
     "Bounds": "struct<minx:double,miny:double,maxx:double,maxy:double>", "Transform": "binary", "MetricBuffer": "binary", "Union": "binary", "Hull": "binary", "Polygons": "array<binary>",
-    "AsGeoJson": "string", "FromGeoJson": "binary", "Vertices": _VERTICES, "FromVertices": "binary", "Faces": _FACE,
+    "AsGeoJson": "string", "FromGeoJson": "binary", "Vertices": _VERTICES, "FromVertices": "binary", "Faces": _FACE, "Clip": "array<binary>",
 }
 _ready: set[str] = set()
 
@@ -168,5 +168,11 @@ def st_from_vertices(vertices: Column, polygon: Column) -> Column:
     return _call("fromvertices", vertices, polygon)
 
 
-def st_faces(parts: Column, tau: Column) -> Column:
-    return _call("faces", parts, tau)
+def st_faces(parts: Column, box: Column, tau: Column) -> Column:
+    """The faces of the polygons of one tile; ``box`` (minx, miny, maxx, maxy) is null where there is only one."""
+    return _call("faces", parts, box, tau)
+
+
+def st_clip(g: Column, box: Column) -> Column:
+    """The polygons that a box (minx, miny, maxx, maxy) cuts from a polygon."""
+    return _call("clip", g, box)

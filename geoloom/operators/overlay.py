@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.cluster import written
@@ -15,6 +17,9 @@ from geoloom.operators.components import connected_components
 from geoloom.operators.order import numbered
 
 TOLERANCE = 1e-9
+#: Polygons of a tile.
+TILE = 512
+_BOX = "struct<minx:double,miny:double,maxx:double,maxy:double>"
 
 
 def overlay(
@@ -28,8 +33,8 @@ def overlay(
     ``invalid="Repair"`` shapes are repaired instead. Faces too thin to tell who covers them are rejected as
     ambiguous_face, or raise with ``ambiguous="Fail"``.
 
-    Polygons whose envelopes come near each other form a cluster; clusters are cut in parallel, each in one task, and a
-    polygon that is near no other is its own face. Holes that nobody covers are no faces.
+    The plane is divided into tiles of a bounded number of polygons, which are cut in parallel; faces that a tile's edge
+    cuts are joined again, so that a crowded layer is many tasks. Holes that nobody covers are no faces.
     """
     if not is_lon_lat(l.crs):
         raise ValueError("the overlay needs a lon/lat layer")
@@ -50,10 +55,10 @@ def overlay(
     good = rows.where("rejection_code IS NULL")
 
     parts = good.select("_fid", F.explode(geo.st_polygons(F.col("_shape"))).alias("_part")).withColumn("_b", geo.st_bounds(F.col("_part")))
-    parts = written(parts.withColumn("_pid", F.monotonically_increasing_id()), "parts")
-    ends = parts.agg(F.min("_b.minx").alias("a"), F.min("_b.miny").alias("b"), F.max("_b.maxx").alias("c"), F.max("_b.maxy").alias("d"), F.percentile_approx(F.greatest(F.col("_b.maxx") - F.col("_b.minx"), F.col("_b.maxy") - F.col("_b.miny")), 0.5).alias("side")).first()
+    parts = written(parts, "parts")
+    ends = parts.agg(F.min("_b.minx").alias("a"), F.min("_b.miny").alias("b"), F.max("_b.maxx").alias("c"), F.max("_b.maxy").alias("d")).first()
     tau = max(ends["c"] - ends["a"], ends["d"] - ends["b"], 1.0) * TOLERANCE if ends["a"] is not None else TOLERANCE
-    faces = written(_faces(parts, max(ends["side"] or 0.0, 1000 * tau), tau), "faces")
+    faces = written(_faces(parts, tau), "faces")
     if ambiguous == "Fail" and faces.where("NOT certain").limit(1).count():
         raise ValueError("some faces are too thin to tell who covers them")
 
@@ -77,15 +82,60 @@ def overlay(
     }
 
 
-def _faces(parts: DataFrame, cell: float, tau: float) -> DataFrame:
-    """``wkb, certain, ids`` of every face: singletons as they are, clusters by the kernel."""
-    span = lambda lo, hi: F.sequence(F.floor((F.col(f"_b.{lo}") - tau) / cell), F.floor((F.col(f"_b.{hi}") + tau) / cell))
-    filed = parts.select("_pid", F.explode(span("minx", "maxx")).alias("_x"), "_b").select("_pid", "_x", F.explode(span("miny", "maxy")).alias("_y"))
-    # Parts in one square are hung on the square's smallest: squares make as many edges as parts, not pairs.
-    heads = filed.groupBy("_x", "_y").agg(F.min("_pid").alias("_head"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    comps = connected_components(filed.join(heads, ["_x", "_y"]).select("_pid", "_head"), "_pid", "_head")
-    named = parts.join(comps, F.col("_pid") == F.col("node"), "left").select("_fid", "_part", F.coalesce("component", "_pid").alias("_c"))
-    groups = named.groupBy("_c").agg(F.collect_list(F.struct("_fid", "_part")).alias("_all"))
-    alone = groups.where(F.size("_all") == 1).select(F.col("_all")[0]["_part"].alias("wkb"), F.lit(True).alias("certain"), F.array(F.col("_all")[0]["_fid"]).alias("ids"))
-    cut = groups.where(F.size("_all") > 1).select(F.explode(geo.st_faces(F.col("_all"), F.lit(tau))).alias("f")).select("f.wkb", "f.certain", "f.ids")
-    return alone.unionByName(cut)
+def _faces(parts: DataFrame, tau: float) -> DataFrame:
+    """``wkb, certain, ids`` of every face: those of tiles, joined again where a tile's edge cuts them."""
+    tiled, box = _tiled(parts, tau)
+    by = ["_level", "_x", "_y"]
+    groups = tiled.groupBy(*by).agg(F.collect_list(F.struct("_fid", "_part")).alias("_all"))
+    faces = groups.select(*by, F.explode(geo.st_faces(F.col("_all"), box, F.lit(tau))).alias("f")).select(*by, "f.*")
+    if tiled.select(*by).distinct().limit(2).count() < 2:
+        return faces.select("wkb", "certain", "ids")
+    faces = written(faces.withColumn("_face", F.monotonically_increasing_id()), "tiles")
+    # Stretches meet on one line; which stretch of it, in widths of the largest tile, keeps long lines apart.
+    edges = faces.where("certain").select("_face", "ids", F.explode("borders").alias("b")).select("_face", "ids", "b.*")
+    widest = faces.agg(F.max(box["maxx"] - box["minx"])).first()[0] or 1.0
+    edges = edges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / widest), F.floor(F.col("hi") / widest))))
+    low, high = edges.where("NOT above").alias("p"), edges.where("above").alias("q")
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("axis", "at", "_bin", "ids")]
+    meet = F.least("p.hi", "q.hi") - F.greatest("p.lo", "q.lo") > tau
+    pairs = low.join(high, [*same, meet]).select(F.col("p._face").alias("a"), F.col("q._face").alias("b"))
+    comps = connected_components(pairs, "a", "b")
+    named = faces.join(comps, F.col("_face") == F.col("node"), "left").withColumn("_whole", F.coalesce("component", "_face"))
+    return named.groupBy("_whole").agg(F.when(F.count(F.lit(1)) == 1, F.first("wkb")).otherwise(geo.st_union(F.collect_list("wkb"))).alias("wkb"), F.first("certain").alias("certain"), F.first("ids").alias("ids")).drop("_whole")
+
+
+def _tiled(parts: DataFrame, tau: float) -> tuple[DataFrame, Column]:
+    """``_level, _x, _y, _fid, _part``: parts cut by tiles of at most about ``TILE`` of them, and a tile's box.
+
+    A tile that holds more is divided, and what it holds is cut again, until dividing doesn't help. Tiles of all levels
+    have their edges on the same lines, which are laid so that coordinates of round numbers aren't on them.
+    """
+    start = parts.select(F.lit(0).alias("_level"), F.lit(0).cast("long").alias("_x"), F.lit(0).cast("long").alias("_y"), F.lit(2**62).alias("_up"), "_fid", "_part", "_b")
+    ends = parts.agg(F.count(F.lit(1)).alias("n"), F.min("_b.minx").alias("a"), F.min("_b.miny").alias("b"), F.max("_b.maxx").alias("c"), F.max("_b.maxy").alias("d")).first()
+    if ends["n"] <= TILE:
+        return start, F.lit(None).cast(_BOX)
+    side = max(ends["c"] - ends["a"], ends["d"] - ends["b"], 1000 * tau) * 1.2718281828
+    ox, oy = ends["a"] - side * 0.0314159265, ends["b"] - side * 0.0577215664
+    deepest = max(0, int(math.log2(side / (1000 * tau))))
+
+    def box(level: Column, x: Column, y: Column) -> Column:
+        share = lambda k: k.cast("double") / F.pow(F.lit(2.0), level)
+        lines = {"minx": F.lit(ox) + F.lit(side) * share(x), "miny": F.lit(oy) + F.lit(side) * share(y), "maxx": F.lit(ox) + F.lit(side) * share(x + 1), "maxy": F.lit(oy) + F.lit(side) * share(y + 1)}
+        return F.struct(*[c.alias(n) for n, c in lines.items()])
+
+    by, out, todo = ["_level", "_x", "_y"], [], start
+    while True:
+        sizes = todo.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max("_up").alias("_before"))
+        over = written(sizes.where((F.col("_n") > TILE) & (F.col("_n") < 0.9 * F.col("_before")) & (F.col("_level") < deepest)).select(*by, "_n"), "overfull")
+        kept = ["_level", "_x", "_y", "_fid", "_part"]
+        out.append(todo.join(over, by, "left_anti").select(*kept))
+        if over.isEmpty():
+            return reduce(DataFrame.unionByName, out), box(F.col("_level"), F.col("_x"), F.col("_y"))
+        more = F.least(F.greatest(F.ceil(F.log2(F.col("_n") / TILE) / 2), F.lit(1)), F.lit(3), F.lit(deepest) - F.col("_level")).cast("int")
+        cut = todo.join(over, by).withColumn("_more", more).withColumn("_wide", F.pow(F.lit(2.0), F.col("_more")).cast("long"))
+        place = lambda lo, o: F.floor((F.col(f"_b.{lo}") - o) / side * F.pow(F.lit(2.0), F.col("_level") + F.col("_more")))
+        span = lambda lo, hi, o, at: F.sequence(F.greatest(place(lo, o), F.col(at) * F.col("_wide")), F.greatest(F.least(place(hi, o), F.col(at) * F.col("_wide") + F.col("_wide") - 1), F.greatest(place(lo, o), F.col(at) * F.col("_wide"))))
+        cut = cut.withColumn("_cx", F.explode(span("minx", "maxx", ox, "_x"))).withColumn("_cy", F.explode(span("miny", "maxy", oy, "_y")))
+        cut = cut.select((F.col("_level") + F.col("_more")).alias("_level"), F.col("_cx").alias("_x"), F.col("_cy").alias("_y"), F.col("_n").alias("_up"), "_fid", "_part")
+        cut = cut.withColumn("_part", F.explode(geo.st_clip(F.col("_part"), box(F.col("_level"), F.col("_x"), F.col("_y")))))
+        todo = written(cut.withColumn("_b", geo.st_bounds(F.col("_part"))), "tiles")

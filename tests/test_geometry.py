@@ -320,3 +320,26 @@ def test_saved_flows(spark, shapes):
     for broken in ({"nodes": [{"id": "a", "operator": "no"}]}, {"nodes": [{"id": "a", "operator": "source"}], "edges": [{"from": "a", "to": "b"}]}):
         with pytest.raises(ValueError):
             custom.Flow.from_json(json.dumps(broken), known)
+
+
+@pytest.mark.parametrize("tile", [4, 15])
+def test_tiled_overlay_is_the_whole_one(shapes, monkeypatch, tile):
+    """Boxes, rings and copies, many in one corner, with one that covers everything: tiles give the same faces."""
+    import random
+
+    rng = random.Random(7)
+    wkts = ["POLYGON ((0 0, 12 0, 12 12, 0 12, 0 0))", "POLYGON ((1 1, 11 1, 11 11, 1 11, 1 1), (2 2, 10 2, 10 10, 2 10, 2 2))"]
+    for k in range(30):
+        x, y = (rng.random() * (3 if k % 2 else 11) for _ in range(2))
+        w, h = rng.random() * 2 + 0.1, rng.random() * 2 + 0.1
+        wkts.append(f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))")
+    wkts += [wkts[5]] * 3 + ["POLYGON ((20 20, 21 20, 21 21, 20 20))"]
+
+    def faces():
+        ports = overlay.overlay(shapes(*wkts, name=[str(k) for k in range(len(wkts))]), accumulate=["name"])
+        rows = ports["output"].df.withColumn("a", geo.st_area(F.col("geometry"))).withColumn("x", geo.st_x(geo.st_centroid(F.col("geometry")))).collect()
+        return sorted((r.name, r._overlaps, round(r.a, 7), round(r.x, 6)) for r in rows), ports["rejected"].df.count()
+
+    whole = faces()
+    monkeypatch.setattr(overlay, "TILE", tile)
+    assert faces() == whole and len(whole[0]) > 60
