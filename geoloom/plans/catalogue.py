@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoloom.plans import relational, spatial
+from geoloom.plans import files, relational, spatial
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **spatial.QUERIES}
-ORACLES: dict[str, str] = {**relational.ORACLES, **spatial.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**relational.QUERIES, **spatial.QUERIES, **files.QUERIES}
+ORACLES: dict[str, str] = {**relational.ORACLES, **spatial.ORACLES, **files.ORACLES}
