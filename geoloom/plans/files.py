@@ -103,8 +103,9 @@ def accumulated_names(spark, d) -> DataFrame:
 
 
 def shared_areas(spark, d) -> DataFrame:
-    """The area that each box shares with the box of the next key, if they meet."""
+    """The area that boxes of twenty degrees share, for every two that meet."""
     a = boxes(spark, d)
+    a = a.with_df(a.df.withColumn("geometry", geo.st_box(F.col("x"), F.col("y"), F.col("x") + 20, F.col("y") + 20)))
     left = layer(a.df.select("s_suppkey", "geometry"), "geometry")
     right = layer(a.df.select(F.col("s_suppkey").alias("other"), F.col("geometry").alias("shape")), "shape")
     met = combine.spatial_join(left, right).df.where("s_suppkey < other")
@@ -149,7 +150,7 @@ QUERIES = {
     )
 }
 
-_OVER = "(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * (least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
+_OVER = "(20 - abs(a.x - b.x)) * (20 - abs(a.y - b.y))"
 
 ORACLES = {
     "csv_files": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders",
@@ -165,7 +166,7 @@ ORACLES = {
     "lonlat_check": f"SELECT min(x) AS minx, min(y) AS miny, max(x + w) AS maxx, max(y + h) AS maxy, true AS ok FROM {_B}",
     "overlay_rejections": "SELECT s_suppkey, ['no_geometry', 'no_polygon', 'missing_id', 'duplicate_id'][CAST(s_suppkey % 6 AS INTEGER) + 1] AS rejection_code FROM supplier WHERE s_suppkey % 6 < 3 OR (s_suppkey % 6 = 3 AND (SELECT count(*) FROM supplier WHERE s_suppkey % 6 = 3) > 1)",
     "accumulated_names": "SELECT CAST(s_suppkey % 50 * 3 AS DOUBLE) AS x, count(*) AS n, string_agg(DISTINCT CAST(s_suppkey % 7 AS VARCHAR), '|' ORDER BY CAST(s_suppkey % 7 AS VARCHAR)) AS kind FROM supplier GROUP BY 1",
-    "shared_areas": f"SELECT a.s_suppkey, b.s_suppkey AS other, round({_OVER}, 6) AS area FROM {_B} a JOIN {_B} b ON a.s_suppkey < b.s_suppkey AND a.x <= b.x + b.w AND b.x <= a.x + a.w AND a.y <= b.y + b.h AND b.y <= a.y + a.h",
+    "shared_areas": f"SELECT a.s_suppkey, b.s_suppkey AS other, round({_OVER}, 6) AS area FROM {_B} a JOIN {_B} b ON a.s_suppkey < b.s_suppkey AND abs(a.x - b.x) <= 20 AND abs(a.y - b.y) <= 20",
     "capped_count": "SELECT least(count(*), 5001) AS n FROM lineitem",
     "sampler_passes_all": "SELECT p_partkey FROM part",
     "user_operator": "SELECT o_custkey, count(*) AS n, 'it''s' AS tag FROM orders WHERE o_totalprice >= 150000 GROUP BY o_custkey",
