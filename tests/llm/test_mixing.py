@@ -60,6 +60,24 @@ def test_seats_are_dealt_to_the_highest_quotients(spark):
             assert got[s, h] == run.count(s)
 
 
+def test_shards_take_their_quotas_of_blocks(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = mixing.mix(docs).collect()
+    by_shard, sizes = defaultdict(int), {}
+    for r in rows:
+        assert r.taken == sum(e.words for e in r.shards) and len({e.shard for e in r.shards}) == len(r.shards)
+        sizes[r.source] = (r.source_size, r.target)
+        for e in r.shards:
+            by_shard[r.source, e.shard] += e.words
+    weights = {s: k % 3 + 1.0 for k, s in enumerate(sorted(s for s in sizes if s is not None))}
+    t = spark.createDataFrame([(s, n, weights.get(s, 1.0), g) for s, (n, g) in sizes.items()], "source string, source_size long, weight double, target double")
+    want = {(r.source, r.shard): r.blocks * r.block_words for r in mixing.quotas(t).collect()}
+    for s, (n, _) in sizes.items():
+        for h in range(mixing.SHARDS):
+            # Only the end of a source that is taken three times whole may cut a block.
+            assert by_shard[s, h] == want[s, h] or sum(want[s, k] for k in range(h + 1)) > 3 * n
+
+
 def test_whole_documents(spark, odd_docs, no_docs):
     out = mixing.mixed_documents(odd_docs)
     assert out.columns == odd_docs.columns
@@ -72,6 +90,26 @@ def test_whole_documents(spark, odd_docs, no_docs):
     assert [r.taken for r in mixing.mix(blank).collect()] == [0, 0, 0]
 
 
+def test_copies_are_those_of_the_mix(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies}
+    got = defaultdict(int)
+    for r in mixing.mixed_documents(docs).collect():
+        got[r.doc_id] += 1
+    assert got == want
+
+
+def test_clashing_names_and_rows_without_ids(spark):
+    rows = [(None, f"text number {k} of many", "s", k, k, k, k, k) for k in range(300)] + [(1, "one id, two texts", "s", 1, 1, 1, 1, 1), (1, "one id, two other texts", "s", 1, 1, 1, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _id int, size int, row int, key int, last1 int")
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+    # The only source has its words taken once, but for what doesn't fill a block.
+    got = [r.text for r in out.collect()]
+    assert len(set(got)) == len(got) >= 300 and set(got) <= {r[1] for r in rows}
+    assert len({r[0] for r in docs.select(mixing._key("doc_id", "text", 42)).distinct().collect()}) == 301
+
+
 def test_sql_gives_the_same(spark, sf):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
