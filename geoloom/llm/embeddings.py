@@ -7,6 +7,7 @@ next nearest. Vectors that meet are verified by cosine in double precision.
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ TABLES, PROBES = 5, 4
 UNIT = 1.33
 #: A cell's vectors are compared in blocks of about so many.
 BLOCK = 1024
+#: What names a block: the table, the cell, the vectors' length, and which of the cell's homes and probes.
+BLOCK_KEY = ("t", "cell", "d", "h", "a")
 SEED = 42
 
 
@@ -66,6 +69,13 @@ def _name(points: np.ndarray, table: int, dim: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+@functools.cache
+def _tables(d: int, tables: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table a random basis of eight orthogonal directions, and an offset of the lattice."""
+    rngs = [np.random.default_rng([seed, t, d]) for t in range(tables)]
+    return [(np.linalg.qr(rng.normal(size=(max(d, 8), 8)))[0], rng.random(8)) for rng in rngs]
+
+
 def cells(unit: np.ndarray, least: float = LEAST, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
     """For each unit vector and table, the names of the cells it probes, its own first: (rows, tables, 1 + probes)."""
     n, d = unit.shape
@@ -73,10 +83,8 @@ def cells(unit: np.ndarray, least: float = LEAST, tables: int = TABLES, probes:
     wide = np.zeros((n, max(d, 8)))
     wide[:, :d] = unit
     out = np.empty((n, tables, 1 + probes), np.int64)
-    for t in range(tables):
-        rng = np.random.default_rng([seed, t, d])
-        basis = np.linalg.qr(rng.normal(size=(max(d, 8), 8)))[0]
-        x = wide @ basis / scale + rng.random(8)
+    for t, (basis, shift) in enumerate(_tables(d, tables, seed)):
+        x = wide @ basis / scale + shift
         home = nearest_point(x)
         out[:, t, 0] = _name(home, t, d)
         # The distance to a neighbour home + r is least where r lies along the offset.
@@ -94,29 +102,23 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _filed(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """From ``class, rep, n, vec`` to a row for each cell that a vector is in (home) or probes."""
+    """From ``class, vec`` to a row for each cell that a vector is in (home) or probes."""
     for b in batches:
-        sizes = np.array([len(v) for v in b.column(3)])
+        sizes = np.array([len(v) for v in b.column(1)])
         for d in np.unique(sizes):
             rows = np.flatnonzero(sizes == d)
             for some in np.array_split(rows, -(-len(rows) // 512)):
                 part = b.take(pa.array(some))
-                vecs = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
+                vecs = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
                 names = cells(_unit(vecs.astype(float)), least)
                 n, tables, probes = names.shape
-                at = np.repeat(np.arange(n), tables * probes)
-                flat = part.take(pa.array(at))
-                sig = [names[i].astype("<i8").tobytes() for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names.reshape(-1)), pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n)), pa.array(np.tile(np.arange(probes) == 0, n * tables)),
-                        *flat.columns, pa.array(sig, pa.binary()).take(pa.array(at)),
-                    ], ["cell", "t", "home", "class", "rep", "n", "vec", "sig"],
-                )
+                at = pa.array(np.repeat(np.arange(n), tables * probes))
+                t = np.tile(np.repeat(np.arange(tables, dtype=np.int32), probes), n)
+                yield pa.RecordBatch.from_arrays([pa.array(names.reshape(-1)), pa.array(t), pa.array(np.tile(np.arange(probes) == 0, n * tables)), part.column(0).take(at)], ["cell", "t", "home", "class"])
 
 
 def _linked(block: pa.Table, least: float) -> pa.RecordBatch | None:
-    """The links of one block: what each class gains in linked vectors, and whom it hangs on."""
+    """The links of one block, whose vectors have one length: what each class gains in linked vectors, and whom it hangs on."""
     home = block.column("home").to_numpy()
     first, t = block.column("class").to_numpy(), int(block.column("t")[0].as_py())
     # A vector's row in its own cell is a home and a probe; where the cell is cut, one row of a block may be only one.
@@ -129,11 +131,14 @@ def _linked(block: pa.Table, least: float) -> pa.RecordBatch | None:
     i, j = i[keep], j[keep]
     if not len(i):
         return None
-    sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), "<i8").reshape(len(home), TABLES, -1)
-    once = np.ones(len(i), bool)
+    some = np.unique(np.concatenate([i, j]))
+    # Only vectors with links have to know their other cells.
+    sig, place = cells(unit[some], least), np.zeros(len(home), np.int64)
+    place[some] = np.arange(len(some))
+    once, pi, pj = np.ones(len(i), bool), place[i], place[j]
     for s in range(t + 1):
-        ahead = (sig[i, s] == sig[j, s, 0][:, None]).any(axis=1)
-        back = (sig[j, s] == sig[i, s, 0][:, None]).any(axis=1)
+        ahead = (sig[pi, s] == sig[pj, s, 0][:, None]).any(axis=1)
+        back = (sig[pj, s] == sig[pi, s, 0][:, None]).any(axis=1)
         once &= ~(ahead | back) if s < t else ~(back & (first[i] > first[j]))
     n = block.column("n").to_numpy()
     gain = np.bincount(i[once], n[j[once]], len(home)) + np.bincount(j[once], n[i[once]], len(home))
@@ -147,13 +152,11 @@ def _linked(block: pa.Table, least: float) -> pa.RecordBatch | None:
         if (new == root).all():
             break
         root = new
-    rep = block.column("rep").to_numpy()
-    some = np.unique(np.concatenate([i, j]))
-    return pa.RecordBatch.from_arrays([pa.array(first[some]), pa.array(rep[some]), pa.array(rep[root[some]]), pa.array(gain[some].astype(np.int64))], ["class", "rep", "root", "gain"])
+    return pa.RecordBatch.from_arrays([pa.array(first[some]), pa.array(first[root[some]]), pa.array(gain[some].astype(np.int64))], ["class", "root", "gain"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Blocks come one after the other, sorted by ``block``; one is held at a time."""
+    """Blocks come one after the other, sorted by ``t, cell, d, h, a``; one is held at a time."""
     held: list[pa.RecordBatch] = []
     name = None
 
@@ -162,12 +165,14 @@ def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
             yield out
 
     for b in batches:
-        names = b.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(names)) + 1).tolist(), len(names)] if len(names) else [0]
+        if not b.num_rows:
+            continue
+        names = np.stack([b.column(c).to_numpy().astype(np.int64) for c in BLOCK_KEY], axis=1)
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist(), len(names)]
         for lo, hi in itertools.pairwise(cuts):
-            if names[lo] != name:
+            if tuple(names[lo].tolist()) != name:
                 yield from done()
-                held, name = [], names[lo]
+                held, name = [], tuple(names[lo].tolist())
             held.append(b.slice(lo, hi - lo))
     yield from done()
 
@@ -178,36 +183,40 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     Null, empty and zero vectors, and those with null or non-finite components, link with nothing; vectors link only
     with those of their own length. Equal vectors are one class, compared once and counted by its size, so that copies
     make no pairs. A cell is compared in blocks; a link that shows in several tables or both ways counts where it shows
-    first, which both vectors' cells tell. Only sums and one edge for each vector and block leave a block. Rows with a
-    null id keep it and name no component; an empty table stays empty. Links below ``least`` are never reported; the
+    first, which both vectors' cells tell. Cells are matched by names; vectors go to their blocks only then. Only sums and
+    one edge for each vector and block leave a block. Rows with a null id keep it and name no component (one whose
+    members all lack ids has none); an empty table stays empty. Links below ``least`` are never reported; the
     share of links found is a matter of tables and probes.
     """
     c = F.col("vec")
     good = F.coalesce(F.forall(c, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)) & ~F.isnan(x)) & F.exists(c, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    rows = rows.withColumn("class", F.when(good, F.xxhash64("vec")))
-    kind = rows.schema["vec"].dataType.simpleString()
-    classes = written(rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("vec").alias("vec")), "classes")
-    filed = classes.select("class", "rep", "n", "vec").mapInArrow(lambda it: _filed(it, least), f"cell long, t int, home boolean, class long, rep long, n long, vec {kind}, sig binary")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec")).withColumn("vec", F.when(good, F.col("vec")))
+    # A class is numbered once its table is written, so that different vectors never share a number.
+    classes = rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("class"), "rep", "n", F.size("vec").alias("d"), "vec"), "classes")
+    filed = classes.select("class", "vec").mapInArrow(lambda it: _filed(it, least), "cell long, t int, home boolean, class long")
+    filed = written(filed.join(classes.select("class", "d"), "class"), "filed") if classes.select("d").distinct().count() > 1 else written(filed.withColumn("d", F.lit(0)), "filed")
     # A home row also serves as the probe of its own cell, so homes and probes are counted apart only for the blocks.
-    filed = written(filed, "filed")
-    sizes = filed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("asks"))
+    place = ["t", "cell", "d"]
+    sizes = filed.groupBy(*place).agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("asks"))
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
-    sizes = sizes.where("homes > 0 AND asks > 1").select("cell", blocks("homes").alias("hb"), blocks("asks").alias("ab"))
-    dealt = filed.join(sizes, "cell")
+    sizes = sizes.where("homes > 0 AND asks > 1").select(*place, blocks("homes").alias("hb"), blocks("asks").alias("ab"))
+    dealt = filed.join(sizes, place)
     spread = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), F.col(n)).cast("int")
     dealt = dealt.withColumn("hk", spread("hb", 1)).withColumn("ak", spread("ab", 2))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # As a probe a row meets every block of homes, as a home every block of probes; where both are one block, once.
     asking = F.transform(every("hb"), lambda h: F.struct(h.alias("h"), F.col("ak").alias("a"), (F.col("home") & (h == F.col("hk"))).alias("home"), F.lit(True).alias("ask")))
     housing = F.when(F.col("home"), F.transform(F.filter(every("ab"), lambda a: a != F.col("ak")), lambda a: F.struct(F.col("hk").alias("h"), a.alias("a"), F.lit(True).alias("home"), F.lit(False).alias("ask")))).otherwise(F.array().cast("array<struct<h:int,a:int,home:boolean,ask:boolean>>"))
-    dealt = dealt.select("cell", "t", "class", "rep", "n", "vec", "sig", F.explode(F.concat(asking, housing)).alias("at"))
-    dealt = dealt.select(F.xxhash64("cell", "at.h", "at.a").alias("block"), "t", "at.home", "at.ask", "class", "rep", "n", "vec", "sig")
-    found = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda it: _compared(it, least), "class long, rep long, root long, gain long")
+    dealt = dealt.select(*place, "class", F.explode(F.concat(asking, housing)).alias("at")).select(*place, "at.*", "class")
+    # Only here do vectors meet the names, and leave for their blocks.
+    dealt = dealt.join(classes.select("class", "n", "vec"), "class").select(*BLOCK_KEY, "home", "ask", "class", "n", "vec")
+    found = dealt.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY).mapInArrow(lambda it: _compared(it, least), "class long, root long, gain long")
     found = written(found, "links")
     gains = found.groupBy("class").agg(F.sum("gain").alias("gain"))
-    comps = connected_components(found, "rep", "root")
-    named = classes.select("class", "rep", "n").join(gains, "class", "left").join(comps, F.col("rep") == F.col("node"), "left")
-    named = named.select("class", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "class").join(named, "class", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    comps = connected_components(found, "class", "root")
+    named = classes.select("class", "rep", "n", "vec").join(gains, "class", "left").join(comps, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
+    least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least_id, "component").select("vec", (F.col("n") - 1 + F.coalesce("gain", F.lit(0))).alias("n_links"), "component_id")
+    out = rows.join(named, "vec", "left").select("id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
