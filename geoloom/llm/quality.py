@@ -2,7 +2,7 @@
 
 Each class has a Gaussian whose covariance is shrunk towards the pooled one and its diagonal. A score is the logistic of
 the difference of the two log-densities, each from the Mahalanobis distance by the class's Cholesky factor, which is
-computed once and sent with the model.
+computed and inverted once and sent with the model.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geoloom.cluster import written
+
 FEATURES = (
     "log_words", "log_word_length", "upper", "symbols", "marked_words", "shouted_words", "bars", "exclaims", "digits", "stops", "repeats", "top_word", "repeated_words", "short_words", "log_line", "odd_lines"
 )
@@ -66,15 +68,15 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """For each class: prior, mean, Cholesky factor of the covariance, and the log-determinant."""
+    """For each class: prior, mean, the inverse of the covariance's Cholesky factor, and the log-determinant."""
 
     means: np.ndarray
-    factors: np.ndarray
+    whiteners: np.ndarray
     logdets: np.ndarray
     priors: np.ndarray
 
     def log_density(self, x: np.ndarray, k: int) -> np.ndarray:
-        z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+        z = self.whiteners[k] @ (x - self.means[k]).T
         return -0.5 * ((z * z).sum(axis=0) + self.logdets[k])
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -98,14 +100,15 @@ def fit(sums: dict[int, tuple[float, np.ndarray, np.ndarray]]) -> Discriminant:
     means = np.stack([sums[k][1] / n[k] if n[k] else middle for k in (0, 1)])
     inner = {k: sums[k][2] - n[k] * np.outer(means[k], means[k]) if n[k] else np.zeros((d, d)) for k in (0, 1)}
     pooled = (inner[0] + inner[1]) / max(total - 2, 1)
-    factors, logdets = [], []
+    whiteners, logdets = [], []
     for k in (0, 1):
         own = (inner[k] + pooled) / max(n[k], 1)
         cov = (1 - TO_POOLED) * own + TO_POOLED * pooled
         cov = (1 - TO_DIAGONAL) * cov + TO_DIAGONAL * np.diag(np.diag(cov)) + RIDGE * np.eye(d)
-        factors.append(np.linalg.cholesky(cov))
-        logdets.append(2 * np.log(np.diag(factors[-1])).sum())
-    return Discriminant(means, np.stack(factors), np.array(logdets), np.array([1 - prior, prior]))
+        factor = np.linalg.cholesky(cov)
+        whiteners.append(np.tril(np.linalg.inv(factor)))
+        logdets.append(2 * np.log(np.diag(factor)).sum())
+    return Discriminant(means, np.stack(whiteners), np.array(logdets), np.array([1 - prior, prior]))
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,25 +144,50 @@ def class_sums(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray
     return {k: (flat[k, 0], flat[k, 1 : 1 + d], flat[k, 1 + d :].reshape(d, d)) for k in (0, 1) if flat[k, 0]}
 
 
+def _fitted(measures: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Discriminant:
+    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").distinct()
+    return fit(class_sums(measures.join(own, "id")))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Discriminant:
     """Fit on every labelled row; labels other than 0 and 1 and null ids teach nothing.
 
-    Texts become statistics where they are read; only those meet the labels.
+    Texts become statistics where they are read; only those meet the labels. An id with both labels teaches both.
     """
-    own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y IN (0, 1)").distinct()
-    return fit(class_sums(measured(docs, id_col, text_col).join(own, "id")))
+    return _fitted(measured(docs, id_col, text_col), labels, id_col, label_col)
 
 
-def scored(docs: DataFrame, model: Discriminant, text_col: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, 0 to 1. Null and blank texts have all statistics 0 and a score too.
+def train_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """``id_col, score`` for each row of ``docs``, by the model that ``train`` fits: each text is read and measured once."""
+    measures = written(measured(docs, id_col, text_col), "measures")
+    held = docs.sparkSession.sparkContext.broadcast(_fitted(measures, labels, id_col, label_col))
 
-    Repeated rows score alike; an empty table stays empty; a column named like ``to`` is replaced.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            yield pd.Series(held.value.score(np.array(xs.tolist(), dtype=float).reshape(-1, len(FEATURES))))
+
+    return measures.select(F.col("id").alias(id_col), F.pandas_udf(score, "double")("x").alias("score"))
+
+
+def _probability(model: Discriminant, spark: SparkSession, text: Column) -> Column:
+    held = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             x = np.array([statistics(t) for t in texts], dtype=float).reshape(-1, len(FEATURES))
             yield pd.Series(held.value.score(x))
 
-    return docs.withColumn(to, F.pandas_udf(score, "double")(F.col(text_col)))
+    return F.pandas_udf(score, "double")(text)
+
+
+def scored(docs: DataFrame, model: Discriminant, text_col: str = "text", to: str = "score") -> DataFrame:
+    """``docs`` with the score of each whole text, 0 to 1. Null and blank texts have all statistics 0 and a score too.
+
+    Repeated rows score alike; an empty table stays empty; a column named like ``to`` is replaced.
+    """
+    return docs.withColumn(to, _probability(model, docs.sparkSession, F.col(text_col)))
+
+
+def kept(docs: DataFrame, model: Discriminant, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose texts score at least ``least``, with all their columns and no others."""
+    return docs.where(_probability(model, docs.sparkSession, F.col(text_col)) >= least)

@@ -23,14 +23,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Discriminant:
-    """Fitted on the labels that aren't held out."""
-    return quality.train(docs, table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 5) != 0))
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that aren't held out."""
+    return table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 5) != 0)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = quality.scored(docs.select("doc_id", "text"), quality_model(spark, docs, sf_dir))
+    out = quality.train_and_score(table(spark, sf_dir, "documents"), learned_labels(spark, sf_dir))
     return out.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -53,13 +52,13 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(bucket(F.col("doc_id"), 5) != 0))
+    model = toxicity.train(docs, learned_labels(spark, sf_dir))
     out = toxicity.scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")  # the shards that take them are mix's own column
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,9 +77,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM h L
 
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM d WHERE len(w) > 0),
-bs AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM b WHERE len(w) > 0),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+bk AS (SELECT item_id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+bs AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS s FROM bk),
+dk AS (SELECT doc_id, w, k FROM d, (SELECT DISTINCT k FROM bk) WHERE len(w) >= k),
+ds AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))) AS s FROM dk),
 n AS (SELECT item_id, count(*) AS n_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, CAST(any_value(n_shingles) AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared, count(*) / any_value(n_shingles) AS containment
 FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
@@ -89,7 +90,7 @@ FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING
 OP9_SQL = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), ':' || coalesce(text, ''))) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1 AS weight FROM d GROUP BY source),
 rounds AS (
   SELECT source, source_size, weight, 0 AS k, (SELECT sum(source_size) FROM s) * weight / (SELECT sum(weight) FROM s) AS target FROM s
