@@ -37,6 +37,23 @@ def test_held_out_accuracy(spark):
     assert np.mean(np.array(bad) >= 0.5) > 0.85 and np.mean(np.array(good) >= 0.5) < 0.05
 
 
+def test_training_is_bounded_in_bytes(spark, monkeypatch):
+    """Very long texts don't go to the driver: what is beyond the bound isn't read."""
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 30) + (" vile" if k % 2 else "")) for k in range(60)] + [(100 + k, "vile " * 200_000) for k in range(3)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(100 + k, 1) for k in range(3)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda a, b: seen.append((sum(map(len, a)), sum(map(len, b)))))
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), labels, most_bytes=5000)
+    assert all(0 < n <= 5000 for n in seen[0])
+
+
+def test_a_long_text_scores():
+    rng = random.Random(4)
+    model = toxicity.fit([f"{prose(rng, 20)} vile {prose(rng, 10)} foul" for _ in range(80)], [prose(rng, rng.randint(5, 60)) for _ in range(160)])
+    assert model.score([prose(rng, 100_000)])[0] < 0.5
+
+
 def test_awkward_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(4, 1), (6, 0), (7, 1), (101, 1), (5, 0), (2, 0), (102, 0), (103, None), (None, 1), (1, 1)], "doc_id long, toxic int")
     model = toxicity.train(odd_docs, labels)
