@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.cluster import written
+from geoloom.cluster import drop_written, written
 from geoloom.operators.components import connected_components
 
 SEGMENTS, BITS = 4, 16
@@ -38,6 +38,8 @@ _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, b
 WIDE, BANDS = 25, 64
 #: Similarity is that of the whole sets of shingles of so many words.
 SIMILAR_SHINGLE = 5
+#: Groups come together in rounds that look at these ranges of bands, the first of them while most still have to.
+ROUNDS = ((0, 8), (8, BANDS))
 #: All pairs of a band's bucket are candidates up to so many different shingle sets; fuller ones are joined by shingles.
 PAIRED = 16
 _ODD = np.random.default_rng(42).integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,28 +55,58 @@ def _shingles(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n)
 
 
-def bands(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's 64 band keys, and the set of its five-word shingles: sorted 64-bit hashes."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.arange(BANDS, dtype=np.int64) << WIDE, np.zeros(0, np.uint64)
-    h = _shingles(words, 3, 42)
-    counts = np.zeros(WIDE * 64, np.int64)
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def _five(h: np.ndarray) -> np.ndarray:
+    """The set of five-word shingles, from the hashes of those of three: the one at a word and the one two words on tell all five.
+
+    Of fewer words there is one, the whole sequence.
+    """
+    last = min(SIMILAR_SHINGLE - 3, len(h) - 1)
+    mixed = h[: len(h) - last] * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    mixed += h[last:]
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    return np.unique(mixed)
+
+
+def signs(h: np.ndarray) -> tuple[int, np.ndarray]:
+    """The fingerprint and the 64 band keys of a text, from the hashes of its shingles.
+
+    A sign is set if its bit is in over half the hashes. The fingerprint's are of the hashes themselves, the others of
+    their mixes with fixed numbers.
+    """
+    counts = np.zeros((WIDE + 1) * 64, np.int64)
     for some in np.array_split(h, -(-len(h) // 4096)):
-        wide = some[:, None] * _ODD
-        wide ^= wide >> np.uint64(32)
-        octets = wide.astype("<u8").view(np.uint8).reshape(len(some), WIDE * 8)
-        flat = np.bincount((octets + np.arange(0, WIDE * 8 * 256, 256, dtype=np.int32)).ravel(), minlength=WIDE * 8 * 256)
+        wide = np.empty((len(some), WIDE + 1), np.uint64)
+        wide[:, 0] = some
+        np.multiply(some[:, None], _ODD, out=wide[:, 1:])
+        wide[:, 1:] ^= wide[:, 1:] >> np.uint64(32)
+        octets = wide.astype("<u8", copy=False).view(np.uint8)
+        size = octets.shape[1] * 256
+        flat = np.bincount((octets + np.arange(0, size, 256, dtype=np.int32)).ravel(), minlength=size)
         counts += (flat.reshape(-1, 256) @ _BITS_OF_BYTE).ravel()
-    signs = (2 * counts > len(h)).reshape(BANDS, WIDE)
-    keys = (np.arange(BANDS, dtype=np.int64) << WIDE) | (signs @ (1 << np.arange(WIDE, dtype=np.int64)))
-    return keys, shingle_set(text)
+    over = 2 * counts > len(h)
+    keys = (np.arange(BANDS, dtype=np.int64) << WIDE) | (over[64:].reshape(BANDS, WIDE) @ (1 << np.arange(WIDE, dtype=np.int64)))
+    return int(np.packbits(over[:64], bitorder="little").view("<u8")[0]), keys
+
+
+def bands(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """A text's fingerprint, its 64 band keys, and the set of its five-word shingles: sorted 64-bit hashes."""
+    words = _words(text)
+    if not words:
+        return 0, np.arange(BANDS, dtype=np.int64) << WIDE, np.zeros(0, np.uint64)
+    h = _shingles(words, 3, 42)
+    return *signs(h), _five(h)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
     """The set of a text's five-word shingles: sorted 64-bit hashes; of a null or blank text none."""
-    words = (text or "").encode().lower().split()
-    return np.unique(_shingles(words, SIMILAR_SHINGLE, 42)) if words else np.zeros(0, np.uint64)
+    words = _words(text)
+    return _five(_shingles(words, 3, 42)) if words else np.zeros(0, np.uint64)
 
 
 def _name(shingles: np.ndarray) -> int:
@@ -82,75 +114,141 @@ def _name(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), 42)).astype(np.int64))
 
 
-def similar_links(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(a, b)``: links that join all texts that share a band and whose five-word shingle sets are similar to ``least``.
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(i, rows) for whole in batches for i in range(0, whole.num_rows, rows))
+
+
+def banded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, hash, fp, keys, name, size`` of each row, in one pass over the texts.
 
-    Texts of equal shingle sets are one class, which its least id stands for. Every pair of classes that share a bucket
-    is either compared on the whole sets or already joined by other links: buckets of at most ``PAIRED`` classes are
-    compared all with all; of a fuller one first all with two of its classes, and then those that this leaves in
-    different components through the rare shingles that similar sets must share. Null ids are left out.
+    ``hash`` is that of the text, ``fp`` its fingerprint, ``keys`` its signs by band, ``name`` and ``size`` those of its
+    shingle set.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
-            got = [bands(t.as_py()) for t in b.column(1)]
-            keys = pa.array([(k & (2**WIDE - 1)).astype(np.int32) for k, _ in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), keys, pa.array([_name(s) for _, s in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int32())], ["id", "keys", "name", "size"])
+        for b in _small(batches):
+            got = [bands(t.as_py()) for t in b.column(2)]
+            fps = pa.array(np.array([f for f, _, _ in got], np.uint64).view(np.int64))
+            keys = pa.array([(k & (2**WIDE - 1)).astype(np.int32) for _, k, _ in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, keys, pa.array([_name(s) for _, _, s in got], pa.int64()), pa.array([len(s) for _, _, s in got], pa.int32())], ["id", "hash", "fp", "keys", "name", "size"])
 
-    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(i, 256) for whole in batches for i in range(0, whole.num_rows, 256)):
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, f"id {kind}, hash long, fp long, keys array<int>, name long, size int")
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``name, shingles`` of the rows that ``wanted`` names: by ``id, hash``, with the ``name`` that their set has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _small(batches):
             got = [shingle_set(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["wanted", "name", "shingles"])
 
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    banded = written(own.mapInArrow(run, f"id {kind}, keys array<int>, name long, size int"), "bands")
-    classes = written(banded.groupBy("name").agg(F.min("id").alias("rep")), "sets")
-    copies = written(banded.select("id", "name").join(classes, "name").where("id <> rep").select("id", "name", "rep"), "copies")
-
-    firsts = banded.join(copies.select("id", "name"), ["id", "name"], "left_anti")
-    filed = firsts.select("name", "size", F.posexplode("keys").alias("band", "signs"))
-    filed = filed.select("name", "size", F.shiftleft(F.col("band").cast("long"), WIDE).bitwiseOR(F.col("signs").cast("long")).alias("key"))
-    met = filed.groupBy("key").agg(F.count("*").alias("n"), F.min("name").alias("first"), F.max("name").alias("last")).where(F.col("first") != F.col("last"))
-    buckets = written(filed.join(met, "key").distinct(), "buckets")
-
-    few = buckets.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "size"))).alias("all"))
-    few = few.select("all", F.posexplode("all").alias("i", "x")).select("x", F.explode(F.slice("all", F.col("i") + 2, PAIRED)).alias("y"))
-    few = few.where(F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size") - 1e-9).select(F.col("x.name").alias("a"), F.col("y.name").alias("b"))
-    full = buckets.where(F.col("n") > PAIRED)
-    heads = full.select("name", F.explode(F.array("first", "last")).alias("head")).where(F.col("name") != F.col("head"))
-    pairs = few.unionByName(heads.select(F.least("name", "head").alias("a"), F.greatest("name", "head").alias("b"))).distinct()
-
-    wanted = buckets.select("name").distinct().join(classes, "name").select(F.col("rep").alias("id"), "name")
-    sets = own.join(wanted, "id").select("name", "text").mapInArrow(reread, "wanted long, name long, shingles array<long>")
-    # Rows of one id may differ in text: each set is kept once, and only under its own name.
-    sets = written(sets.where(F.col("wanted") == F.col("name")).select("name", "shingles").dropDuplicates(["name"]), "shingles")
-    found = written(_similar(pairs, sets, least), "similar")
+    own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(text_col).alias("text"))
+    sets = own.join(wanted, F.expr("own_id <=> id AND own_hash = hash")).select("name", "text").mapInArrow(run, "wanted long, name long, shingles array<long>")
+    return sets.where("wanted = name").select("name", "shingles")
+
+
+def similar_sets(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float, known: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: links that join all shingle sets, by name, which share a band and are similar to ``least``.
+
+    ``rows`` is what ``banded`` found in ``docs``. Every pair that shares a bucket is either compared on the whole sets or
+    already joined by other links, also by those that are ``known`` (``a, b``, names). In each bucket, in rounds over more
+    and more of the bands, every set that is in another component is compared with the first: that joins groups of
+    copies by links that grow with their members, not with their pairs. What then is in different components is compared
+    all with all in buckets of at most ``PAIRED`` sets, and in fuller ones through the rare shingles that similar sets
+    must share.
+    """
+    first = F.min_by(F.struct("id", "hash", "size", "keys"), F.struct("id", "hash")).alias("row")
+    sets = written(rows.groupBy("name").agg(first).select("name", "row.*"), "sets")
+    filed = sets.select("name", "size", F.posexplode("keys").alias("band", "signs"))
+    filed = filed.select("name", "size", "band", F.shiftleft(F.col("band").cast("long"), WIDE).bitwiseOR(F.col("signs").cast("long")).alias("key"))
+    met = filed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("name", "size")).alias("first")).where("n > 1")
+    buckets = written(filed.join(met, "key"), "buckets")
+    # Written, so that its true size decides whether it goes to the texts, or they to it.
+    wanted = written(sets.join(buckets.select("name").distinct(), "name", "left_semi").select("id", "hash", "name"), "wanted")
+    shingles = written(shingle_sets(docs, id_col, text_col, wanted), "shingles")
+    if shingles.count() > wanted.count():  # rows that agree in id and text
+        shingles = written(shingles.dropDuplicates(["name"]), "shingles")
+
+    links = known
+    fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
+    for low, high in ROUNDS:
+        comps = _components(links)
+        star = buckets.where((F.col("band") >= low) & (F.col("band") < high) & (F.col("name") != F.col("first.name"))).where(fits(F.col("size"), F.col("first.size")))
+        pairs = star.select(F.col("first.name").alias("a"), F.col("name").alias("b")).distinct()
+        found = written(_similar(_apart(pairs, comps), shingles, least), "similar")
+        links = found if links is None else links.unionByName(found)
+    parts = _labelled(buckets.select("key", "name", "size", "n"), _components(links))
+    split = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
+    parts = written(parts.join(split, "key", "left_semi"), "parts")
+    few = parts.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "size", "part"))).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("i", "x"))
+    apart = F.filter(F.slice("all", F.col("i") + 2, PAIRED), lambda y: (y["part"] != F.col("x.part")) & fits(F.col("x.size"), y["size"]))
+    few = few.select(F.col("x.name").alias("a"), F.explode(apart).alias("y")).select("a", F.col("y.name").alias("b")).distinct()
+    out = links.unionByName(written(_similar(few, shingles, least), "similar"))
+    full = parts.where(F.col("n") > PAIRED)
     if not full.isEmpty():
-        found = found.unionByName(_similar(_meeting(full, sets, found, least), sets, least))
+        out = out.unionByName(written(_similar(_meeting(full, shingles, least), shingles, least), "similar"))
+    # The links are tables of their own by now.
+    for table in (sets, buckets, wanted, shingles, parts):
+        drop_written(table)
+    return out
+
+
+def _components(links: DataFrame | None) -> DataFrame | None:
+    return None if links is None else connected_components(links, "a", "b")
+
+
+def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """``rows`` with ``part``, the component of their ``name``."""
+    if comps is None:
+        return rows.withColumn("part", F.col("name"))
+    return rows.join(comps, F.col("name") == F.col("node"), "left").withColumn("part", F.coalesce("component", "name")).drop("node", "component")
+
+
+def _apart(pairs: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that are in different components."""
+    if comps is None:
+        return pairs
+    of = lambda c: comps.select(F.col("node").alias(c), F.col("component").alias(f"{c}_part"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("a_part", "a") != F.coalesce("b_part", "b")).select("a", "b")
+
+
+def similar_links(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(a, b)``: ids, links that join all texts which share a band and whose five-word shingle sets are similar to ``least``.
+
+    Texts of equal shingle sets are one class, which its least id stands for. Null ids are left out.
+    """
+    docs = docs.where(F.col(id_col).isNotNull())
+    rows = written(banded(docs, id_col, text_col), "bands")
+    classes = rows.groupBy("name").agg(F.min("id").alias("rep"))
+    copies = rows.select("id", "name").join(classes, "name").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    found = similar_sets(rows, docs, id_col, text_col, least)
     a, b = classes.select(F.col("name").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("name").alias("b"), F.col("rep").alias("rb"))
     apart = found.join(a, "a").join(b, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    return apart.unionByName(copies.select(F.col("rep").alias("a"), F.col("id").alias("b"))).distinct()
+    return apart.unionByName(copies).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of the pairs ``(a, b)`` whose whole sets are similar to ``least``."""
-    a, b = (sets.select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    # Pairs are small and written: by their true size they go to the sets, and only sets that they name move.
+    pairs = written(pairs, "pairs")
+    a, b = (sets.join(pairs.select(F.col(c).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
 
 
-def _meeting(full: DataFrame, sets: DataFrame, found: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` of the full buckets' classes in different components of ``found``, none that is similar missing.
+def _meeting(full: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b)`` of the full buckets' sets (``name, part``) in different parts, none that is similar missing.
 
     Each set is ordered by how many of the sets hold a shingle, rare ones first. The first shingle that two similar sets
     share has at least ``least / (1 + least)`` of their sizes' sum from it on in both, so that it is among the first
     ``1 - least`` of either; sets of one template, whose own shingles come first, don't meet there.
     """
-    comps = connected_components(found, "a", "b")
-    parts = full.select("key", "name").join(comps, F.col("name") == F.col("node"), "left").select("key", "name", F.coalesce("component", "name").alias("part"))
-    split = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
-    left = written(parts.join(split, "key", "left_semi").select("name", "part").distinct(), "parts")
+    left = full.select("name", "part").distinct()
     held = written(left.join(sets, "name").select("name", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("h")), "held")
     common = held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
     rows = held.join(common, "h").groupBy("name", "part", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("hs"))
@@ -165,7 +263,7 @@ def _meeting(full: DataFrame, sets: DataFrame, found: DataFrame, least: float) -
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint of one text: bit b is set if it is set in over half the shingles' XXH64."""
-    words = (text or "").encode().lower().split()
+    words = _words(text)
     if not words:
         return 0
     hashes = _shingles(words, shingle, seed)
@@ -222,7 +320,7 @@ def links(fps: DataFrame) -> DataFrame:
 
     few = filed.where(F.col("n") <= FULL).groupBy("slot", "key").agg(F.array_sort(F.collect_list("fp")).alias("all"))
     few = few.select("all", F.posexplode("all").alias("i", "a")).select("a", F.explode(F.slice("all", F.col("i") + 2, FULL)).alias("b"))
-    few = few.where(has_chain(F.col("a"), F.col("b"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT)
+    few = few.where(has_chain(F.col("a"), F.col("b")))
 
     free = F.create_map(*[x for k, p in enumerate(PAIRS) for x in (F.lit(k), F.array(*[F.lit(BITS * s) for s in range(SEGMENTS) if s not in p]))])
     flips = F.transform(free[F.col("slot")], lambda s: F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda o: F.call_function("shiftleft", F.lit(1).cast("long"), s + o)))
@@ -231,32 +329,60 @@ def links(fps: DataFrame) -> DataFrame:
     many = many.select("slot", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
     hung = many.groupBy("slot", "near").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("all")).where(F.size("all") > 1)
     hung = hung.select("a", F.explode("all").alias("b")).where("a <> b")
-    return few.select("a", "b").unionByName(hung.select("a", "b")).distinct()
+    met = few.select("a", "b").unionByName(hung.select("a", "b")).distinct()
+    return met.where(has_chain(F.col("a"), F.col("b"))).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LIMIT)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42, similar: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row per row of ``docs``: ``id, fp, component`` (the smallest id that links reach, itself included).
 
     Two rows link if their fingerprints differ in at most two of 64 bits. Rows of one fingerprint are one class, which
     its smallest id stands for; only different fingerprints are compared. A null or blank text has fingerprint 0 and
     links like any other; repeated rows come back repeated; rows with a null id keep a null id and take no part in
-    naming a component; an empty table gives an empty table. Other columns are not read. With ``similar``, texts whose
-    five-word shingle sets are that similar link as well.
+    naming a component; an empty table gives an empty table. Other columns are not read.
     """
     fps = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
-    pairs = links(classes.select("fp"))
-    a, b = classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    edges = pairs.join(a, "a").join(b, "b").select("ra", "rb")
-    if similar is not None:
-        same = fps.join(classes, "fp").where("id <> rep").select(F.col("rep").alias("ra"), F.col("id").alias("rb"))
-        edges = edges.unionByName(same).unionByName(similar_links(docs, similar, id_col, text_col).toDF("ra", "rb"))
-    comps = connected_components(edges, "ra", "rb")
-    named = classes.join(comps, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    return fps.join(named, "fp", "left").select("id", "fp", "component")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float | None = 0.8) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with the smallest id (all rows with that id)."""
-    comps = near_duplicates(docs, id_col, text_col, similar=similar).where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(comps, id_col, "left_semi")
+    comps = connected_components(links(classes.select("fp")), "a", "b")
+    named = classes.join(comps, F.col("fp") == F.col("node"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("class"))
+    least = named.groupBy("class").agg(F.min("rep").alias("component"))
+    return fps.join(named.join(least, "class").select("fp", "component"), "fp", "left").select("id", "fp", "component")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8) -> DataFrame:
+    """One row of each component of ``docs``: that with the smallest id, null ids last, and then the least text hash.
+
+    Rows link if their fingerprints differ in at most two of 64 bits, or if their five-word shingle sets are similar to
+    ``similar``. Rows are judged by their texts, whatever their ids: those without an id, or that share one, are rows
+    like others, and of rows that agree in both one stays. Null and blank texts are one class. An empty table stays
+    empty; all columns are kept.
+    """
+    rows = written(banded(docs, id_col, text_col), "bands")
+    classes = written(rows.groupBy("name").agg(F.min("fp").alias("rep")), "classes")
+    fps = rows.select("fp").distinct()
+    # The graph's nodes are fingerprints: texts of one shingle set hang on the least fingerprint that they have.
+    near = written(links(fps), "near")
+    same = rows.select("name", "fp").distinct().join(classes, "name").where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    near = near.unionByName(same)
+    a, b = classes.select(F.col("name").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("name").alias("b"), F.col("rep").alias("rb"))
+    by_fp = connected_components(near, "a", "b")
+    joined = classes.join(by_fp, F.col("rep") == F.col("node"), "left").select("name", F.coalesce("component", "rep").alias("part"))
+    heads = joined.groupBy("part").agg(F.min("name").alias("head"))
+    known = written(joined.join(heads, "part").where("name <> head").select(F.col("head").alias("a"), F.col("name").alias("b")), "known")
+    found = similar_sets(rows, docs, id_col, text_col, similar, known)
+    found = found.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    comps = connected_components(near.unionByName(found), "a", "b")
+
+    placed = rows.select("id", "hash", "fp").join(comps, F.col("fp") == F.col("node"), "left")
+    placed = placed.select(F.struct(F.col("id").isNull().alias("none"), "id", "hash").alias("row"), F.coalesce("component", "fp").alias("component"))
+    placed = placed.groupBy("component", "row").agg(F.count("*").alias("n"))
+    stays = placed.groupBy("component").agg(F.min("row").alias("first"))
+    out = written(placed.join(stays, "component").where("row <> first OR n > 1").select("row.id", "row.hash", (F.col("row") == F.col("first")).alias("again")), "out")
+    drop_written(rows)
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    same_row = F.expr("_id <=> id AND _hash = hash")
+    kept = whole.join(out.select("id", "hash"), same_row, "left_anti")
+    again = out.where("again")
+    if not again.isEmpty():
+        kept = kept.unionByName(whole.join(again, same_row, "left_semi").dropDuplicates(["_id", "_hash"]))
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -1,7 +1,12 @@
 import itertools
+import zlib
+from collections import Counter
+
+import numpy as np
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from geoloom.llm import decontaminate, simhash
+from geoloom.llm import decontaminate, mixing, simhash, tokens
 from tests.llm.test_simhash import components, plain_fingerprint
 
 
@@ -33,11 +38,25 @@ def test_stages_against_brute_force(spark, sf):
     leaks = {r.doc_id for r in decontaminate.contained(seen["near_dedup"], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in seen["decontamination"].collect()} == {r.doc_id for r in seen["near_dedup"].collect()} - leaks
     mixed = seen["mixture"].collect()
-    assert {r.doc_id for r in mixed} <= {r.doc_id for r in seen["decontamination"].collect()}
-    tokens = seen["token_output"].collect()
-    assert sorted(r.doc_id for r in tokens) == sorted(r.doc_id for r in mixed)
+    copies = Counter({r.doc_id: r.copies for r in mixing.mix(seen["decontamination"]).collect() if r.copies})
+    assert Counter(r.doc_id for r in mixed) == copies
+    # Token ids against the tokenizer on whole texts, in ascending order of the ids.
+    rows, start = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in seen["token_output"].collect()), 0
+    mixed.sort(key=lambda r: r.doc_id)
+    tokenizer = Tokenizer.from_file(tokens.default_tokenizer())
+    for r, e, got in zip(mixed, tokenizer.encode_batch([r.text or "" for r in mixed], add_special_tokens=False), rows, strict=True):
+        ids = np.array([*e.ids, tokens.END], "<u4")
+        assert got == (r.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
     assert simhash.LIMIT == 2
 
 
+def test_the_session_is_left_as_it_was(spark, sf):
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
+    out = corpus_pipeline.good_quality(spark, docs, sf)
+    assert spark.conf.get(corpus_pipeline.BATCH) == before and out.columns == docs.columns
+
+
 def test_run_is_the_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]

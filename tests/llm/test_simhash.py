@@ -103,6 +103,40 @@ def test_similar_texts_link(spark):
             assert joined[a] == joined[b]
 
 
+def test_band_keys_and_sets_are_those_of_the_text():
+    for _, text, _ in awkward()[:25]:
+        fp, keys, five = simhash.bands(text)
+        assert fp == plain_fingerprint(text) and len(keys) == simhash.BANDS
+        words = (text or "").lower().split()
+        assert len(five) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else ())
+    one, other = (simhash.shingle_set(t) for t in ("a b c d e f g", "x b c d e f g"))
+    assert len(set(one.tolist()) & set(other.tolist())) == 2
+
+
+def test_rows_without_or_with_one_id_are_judged_by_their_texts(spark):
+    rng = random.Random(9)
+    some = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(None, some[0], 1), (1, some[1], 2), (None, some[2], 3), (None, some[2], 4), (2, some[1], 5), (3, some[3], 6), (3, some[0], 7), (3, some[3], 8), (None, None, 9), (4, "", 10)]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, _hash int"))
+    assert kept.columns == ["doc_id", "text", "_hash"]
+    got = sorted(r._hash for r in kept.collect())
+    # 1 has a copy with an id, 7; of 3 and 4, and of 6 and 8, which agree in all, one stays; 10 is blank as 9 is.
+    assert len(got) == 5 and {2, 7, 10} <= set(got) and len({3, 4} & set(got)) == 1 and len({6, 8} & set(got)) == 1
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    docs = []
+    for k in range(600):
+        words = list(base)
+        words[rng.randrange(120)] = f"x{k}"
+        docs.append((k, " ".join(words)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    assert simhash.similar_links(d, 0.8).count() < 9 * len(docs)
+    assert [r.doc_id for r in simhash.keep_first(d).collect()] == [0]
+
+
 def test_keep_first_keeps_columns(odd_docs):
     kept = simhash.keep_first(odd_docs)
     assert kept.columns == odd_docs.columns
@@ -122,7 +156,7 @@ def sharing(docs):
     """Pairs of ids whose texts share a band."""
     filed = {}
     for i, t in sorted(docs):
-        for k in simhash.bands(t)[0].tolist():
+        for k in simhash.bands(t)[1].tolist():
             filed.setdefault(k, []).append(i)
     return {p for ids in filed.values() for p in itertools.combinations(ids, 2)}, max(map(len, filed.values()))
 
