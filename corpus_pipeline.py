@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from geoloom.cluster import written
 from geoloom.llm import decontaminate, mixing, quality, simhash, tokens
-from geoloom.llm.queries import quality_model
+from geoloom.llm.queries import learned_labels
 
 
 #: Rows that pass between Spark and a Python worker at a time: texts may be long, and memory should not be.
-ROWS_AT_A_TIME = "1000"
+ROWS_AT_A_TIME, BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def bounded(stage):
-    """The stage, with small Arrow batches in the session while its plan is made and run."""
+    """The stage, run with small Arrow batches; the session's own setting is put back.
+
+    A stage whose result would still have to go through Python is written before that.
+    """
 
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_A_TIME)
-        return stage(spark, docs, sf_dir)
+        before = spark.conf.get(BATCH)
+        spark.conf.set(BATCH, ROWS_AT_A_TIME)
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            spark.conf.set(BATCH, before)
 
     run.__name__, run.__doc__ = stage.__name__, stage.__doc__
     return run
@@ -28,8 +34,8 @@ def bounded(stage):
 @bounded
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels that aren't held out, doesn't reject."""
-    model = quality_model(spark, docs, sf_dir)
-    return quality.scored(docs, model, to="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    model = quality.train(docs, learned_labels(spark, sf_dir))
+    return written(quality.kept(docs, model), "good_quality")
 
 
 @bounded
@@ -38,13 +44,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs, similar=0.8)
 
 
-@bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@bounded
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of their sources takes them, whole."""
     return mixing.mixed_documents(docs)
@@ -53,7 +57,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @bounded
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the packed files of token ids."""
-    return tokens.packed(docs)
+    return written(tokens.packed(docs), "token_output")
 
 
 STAGES = [("good_quality", good_quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("token_output", token_output)]
@@ -67,6 +71,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
+        if 0 < k < len(STAGES) - 1:
             docs = written(docs, name)
     return docs
