@@ -24,7 +24,9 @@ END = 1
 #: A segment ends with the document that fills it.
 SEGMENT = 1 << 20
 #: Words that a worker remembers with their ids.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+#: A special token of the tokenizer, which parts what stands before and after it.
+SPECIAL = "<|endoftext|>"
 
 
 def default_tokenizer() -> str:
@@ -41,11 +43,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Words(dict):
-    """From white-space words (UTF-8, A-Z lower-cased) to places in a table of ids, filled as words are met.
+    """From white-space words (UTF-8, as they stand in the text) to places in a table of ids, filled as words are met.
 
     Holds for tokenizers that lower-case, drop white space, and treat runs of letters and other runs apart, so that a
     text's ids are those of its words in order. Words of letters go straight to the BPE model, with a closing mark split
-    off; all others go through the whole tokenizer.
+    off; all others go through the whole tokenizer. Only ASCII letters are lower-cased here: the tokenizer composes
+    characters before it lower-cases the rest, and its special tokens are told apart by case.
     """
 
     def __init__(self, path: str):
@@ -67,13 +70,23 @@ class Words(dict):
         return at
 
     def _letters_only(self, word: str) -> list[int] | None:
-        if not word.isascii():
+        if word.isascii():
+            word = word.lower()
+        else:
             word = self.tokenizer.normalizer.normalize_str(word)
             if not word.isalpha():
                 return None
             word = word.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        """The ids of words by the whole tokenizer: in one text, parted by a special token, which nothing crosses."""
+        special = self.tokenizer.token_to_id(SPECIAL)
+        if special is None or any("<|" in w or "|>" in w for w in words):
+            return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode_batch_fast([SPECIAL.join(words)], add_special_tokens=False)[0].ids, np.int64)
+        return [part[part != special].tolist() for part in np.split(ids, np.flatnonzero(ids == special))]
+
     def resolve(self) -> None:
         """Find the ids of the words met since the last time."""
         found, slow = [], []
@@ -88,9 +101,12 @@ class Words(dict):
             if ids is None:
                 slow.append((len(found), word))
             found.append(ids)
-        if slow:
-            for (k, _), e in zip(slow, self.tokenizer.encode_batch_fast([w for _, w in slow], add_special_tokens=False), strict=True):
-                found[k] = e.ids
+        marked = [(k, w) for k, w in slow if "<|" in w or "|>" in w]
+        plain = [(k, w) for k, w in slow if "<|" not in w and "|>" not in w]
+        for some in (marked, plain):
+            if some:
+                for (k, _), ids in zip(some, self._whole([w for _, w in some]), strict=True):
+                    found[k] = ids
         for ids in found:
             self.flat.extend(ids)
             self.starts.append(len(self.flat))
@@ -103,7 +119,7 @@ class Words(dict):
         look = self.__getitem__
         places = []
         for t in texts:
-            words = t.encode().lower().split() if t else []
+            words = t.encode().split() if t else []
             places.append(np.fromiter(map(look, words), np.int32, len(words)))
             places.append(np.zeros(1, np.int32))
         self.resolve()

@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from geoloom.llm import rans, tokens
 from tests.llm.conftest import awkward
 
+#: Marks that compose only with small letters, special tokens in either case, and what else one word may hold.
+COMPOSED = ["Y\u030a H\u0331 J\u030c W\u030a y\u030a Y\u030a. (Y\u030a) \u212b \u1e9e \u0130x I\u0307", "<|ENDOFTEXT|> a<|EndOfText|> <|endoftext|>x |> <| <|endof text|> (a) (b)", "A B C ab AB Ab aB a.B A.b A.B", "\u0130< \u0130. x\u0130, ab. Ab. AB, ab\u0307. \u00e9. \u00c9, \u00c9"]
 TOUGH = ["it's I'LL don't ÉCOLE İstanbul ΣΑΣ x y foo.. a<|endoftext|>b <|startoftext|> 3.14 1,2 \x1c a\x85b é é ﬁ ½ it's, '' ''s 日本語、テスト。 ªº ǅ ß. naïve!", "\n\t", "don't."]
 
 
@@ -45,13 +47,22 @@ def whole(texts):
 
 
 def test_words_give_the_ids_of_whole_texts(spark, sf):
-    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + TOUGH
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()] + TOUGH + COMPOSED
     ids, lengths = tokens.Words(tokens.default_tokenizer()).encode(texts)
     want = whole(texts)
     assert lengths.tolist() == [len(w) for w in want]
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@given(st.lists(st.text(st.sampled_from("aAyYiIsSßſKıİΣσ<|>endoftext'.,! \t\n\x1c\x85\u00a0\u3000\u030a\u0331\u0307\u0338日12")), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_any_text_gives_the_ids_of_whole_texts(texts):
+    ids, lengths = tokens._words(tokens.default_tokenizer()).encode(texts)
+    want = whole(texts)
+    assert lengths.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
 def test_files_round_trip(spark, odd_docs):
     path = f"file://{tempfile.mkdtemp()}/tokens"
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start), r.n_tokens, r.ids_crc32) for r in tokens.packed(odd_docs, path=path).collect())
