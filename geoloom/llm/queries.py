@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm import decontaminate, embeddings, lm, mixing, negatives, quality, sharding, simhash, tokens, toxicity, urls, whitening
+from geoloom.llm import decontaminate, embeddings, labelled_pages, lm, mixing, negatives, pages, quality, sharding, simhash, tokens, toxicity, urls, whitening
 from geoloom.llm.text import bucket
 
 
@@ -69,6 +70,16 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(table(spark, sf_dir, "embeddings"))
 
 
+@cache
+def page_model() -> pages.Model:
+    """The page model of labelled pages, trained once in a process."""
+    return pages.train(labelled_pages.pages())
+
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extracted(table(spark, sf_dir, "pages"), page_model())
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
@@ -148,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_lm_score": op10_lm_score,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_extraction": op12_html_extraction,
     "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op2_benchmark_decontamination": OP2_SQL, "op9_mixing": OP9_SQL, "op11_hard_negatives": OP11_SQL}
