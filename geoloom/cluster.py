@@ -6,6 +6,8 @@ import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths of the tables that ``written`` makes inside, for whoever knows when nothing reads them any more."""
+    paths: list[str] = []
+    _collecting.append(paths)
+    try:
+        yield paths
+    finally:
+        _collecting.pop()
+
+
 def written(df: DataFrame, name: str = "table", partitions: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -37,6 +53,8 @@ def written(df: DataFrame, name: str = "table", partitions: int | None = None) -
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    for paths in _collecting:
+        paths.append(path)
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._geoloom_path = path
