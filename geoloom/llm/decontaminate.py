@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from geoloom.cluster import written
 from geoloom.llm.text import let
@@ -115,7 +116,9 @@ def clean_documents(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     """The documents that hold no item, with all their columns. Every row is judged by its own text, whatever its id."""
     name = lambda: F.struct(F.col(id_col).alias("id"))
     leaks = _held(docs.select(name().alias("id"), F.col(text_col).alias("text")), items, item_col, "text", LEAST, SHINGLE)
-    leaks = leaks.select(F.col("id").alias("_held_id"), F.col("hash").alias("_held_hash")).distinct()
+    leaks = written(leaks.select(F.col("id").alias("_held_id"), F.col("hash").alias("_held_hash")).distinct(), "leaks")
+    # Few numbers a row, if there are few: then no text is shuffled.
+    leaks = F.broadcast(leaks) if isinstance(docs.schema[id_col].dataType, NumericType) and leaks.count() <= BROADCAST_ROWS else leaks
     row = docs.select(F.struct("*").alias("_row"), name().alias("_own_id"), F.xxhash64(text_col).alias("_own_hash"))
     kept = row.join(leaks, F.expr("_own_id = _held_id AND _own_hash = _held_hash"), "left_anti")
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from geoloom.cluster import drop_written, written
 from geoloom.operators.components import connected_components
@@ -42,6 +43,8 @@ SIMILAR_SHINGLE = 5
 ROUNDS = ((0, 8), (8, BANDS))
 #: All pairs of a band's bucket are candidates up to so many different shingle sets; fuller ones are joined by shingles.
 PAIRED = 16
+#: Tables of a few numbers a row are sent to all tasks up to so many rows, some 10 MB; the texts and sets stay where they are.
+SENT = 400_000
 _ODD = np.random.default_rng(42).integers(0, 2**63, WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -146,6 +149,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_name(s) for s in got], pa.int64()), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], ["wanted", "name", "shingles"])
 
     own = docs.select(F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_hash"), F.col(text_col).alias("text"))
+    wanted = _sent(wanted, isinstance(wanted.schema["id"].dataType, NumericType))
     sets = own.join(wanted, F.expr("own_id <=> id AND own_hash = hash")).select("name", "text").mapInArrow(run, "wanted long, name long, shingles array<long>")
     return sets.where("wanted = name").select("name", "shingles")
 
@@ -168,9 +172,12 @@ def similar_sets(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
     buckets = written(filed.join(met, "key"), "buckets")
     # Written, so that its true size decides whether it goes to the texts, or they to it.
     wanted = written(sets.join(buckets.select("name").distinct(), "name", "left_semi").select("id", "hash", "name"), "wanted")
+    drop_written(sets)
     shingles = written(shingle_sets(docs, id_col, text_col, wanted), "shingles")
     if shingles.count() > wanted.count():  # rows that agree in id and text
-        shingles = written(shingles.dropDuplicates(["name"]), "shingles")
+        again, shingles = shingles, written(shingles.dropDuplicates(["name"]), "shingles")
+        drop_written(again)
+    drop_written(wanted)
 
     links = known
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
@@ -178,21 +185,22 @@ def similar_sets(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, l
         comps = _components(links)
         star = buckets.where((F.col("band") >= low) & (F.col("band") < high) & (F.col("name") != F.col("first.name"))).where(fits(F.col("size"), F.col("first.size")))
         pairs = star.select(F.col("first.name").alias("a"), F.col("name").alias("b")).distinct()
-        found = written(_similar(_apart(pairs, comps), shingles, least), "similar")
+        found = _similar(_apart(pairs, comps), shingles, least)
         links = found if links is None else links.unionByName(found)
     parts = _labelled(buckets.select("key", "name", "size", "n"), _components(links))
     split = parts.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("key")
     parts = written(parts.join(split, "key", "left_semi"), "parts")
+    drop_written(buckets)
     few = parts.where(F.col("n") <= PAIRED).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("name", "size", "part"))).alias("all"))
     few = few.select("all", F.posexplode("all").alias("i", "x"))
     apart = F.filter(F.slice("all", F.col("i") + 2, PAIRED), lambda y: (y["part"] != F.col("x.part")) & fits(F.col("x.size"), y["size"]))
     few = few.select(F.col("x.name").alias("a"), F.explode(apart).alias("y")).select("a", F.col("y.name").alias("b")).distinct()
-    out = links.unionByName(written(_similar(few, shingles, least), "similar"))
+    out = links.unionByName(_similar(few, shingles, least))
     full = parts.where(F.col("n") > PAIRED)
     if not full.isEmpty():
-        out = out.unionByName(written(_similar(_meeting(full, shingles, least), shingles, least), "similar"))
+        out = out.unionByName(_meeting(full, shingles, least))
     # The links are tables of their own by now.
-    for table in (sets, buckets, wanted, shingles, parts):
+    for table in (shingles, parts):
         drop_written(table)
     return out
 
@@ -232,33 +240,64 @@ def similar_links(docs: DataFrame, least: float, id_col: str = "doc_id", text_co
     return apart.unionByName(copies).distinct()
 
 
+def _sent(df: DataFrame, numbers: bool = True) -> DataFrame:
+    """A written table of a few numbers a row, to be sent to all tasks if it has at most ``SENT`` rows; else as it is."""
+    return F.broadcast(df) if numbers and df.count() <= SENT else df
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of the pairs ``(a, b)`` whose whole sets are similar to ``least``."""
-    # Pairs are small and written: by their true size they go to the sets, and only sets that they name move.
+    """Those of the pairs ``(a, b)`` whose whole sets are similar to ``least``, as a table of their own.
+
+    The set of b goes to that of a, of which there should be fewer; only sets that pairs name move.
+    """
     pairs = written(pairs, "pairs")
-    a, b = (sets.join(pairs.select(F.col(c).alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = pairs.join(a, "a").join(b, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b")
+    to = sets.join(_sent(pairs), F.col("name") == F.col("b")).select("a", "b", F.col("shingles").alias("sb"))
+    heads = written(pairs.select("a").distinct(), "heads")
+    heads_sets = sets.join(_sent(heads), F.col("name") == F.col("a"), "left_semi").select(F.col("name").alias("a"), F.col("shingles").alias("sa"))
+    both = to.join(heads_sets, "a").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    out = written(both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared")) - 1e-9).select("a", "b"), "similar")
+    drop_written(pairs)
+    drop_written(heads)
+    return out
 
 
 def _meeting(full: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs ``(a, b)`` of the full buckets' sets (``name, part``) in different parts, none that is similar missing.
+    """Links ``(a, b)`` that join the full buckets' sets (``name, part``) of different parts, no similar pair left apart.
 
     Each set is ordered by how many of the sets hold a shingle, rare ones first. The first shingle that two similar sets
     share has at least ``least / (1 + least)`` of their sizes' sum from it on in both, so that it is among the first
-    ``1 - least`` of either; sets of one template, whose own shingles come first, don't meet there.
+    ``1 - least`` of either; sets of one template, whose own shingles come first, don't meet there. Under a shingle, sets
+    of other parts are compared with its first, and parts that this joins are one from then on. Only what is apart after
+    that is paired, part by part, so that the members of one part are never paired with each other.
     """
-    left = full.select("name", "part").distinct()
-    held = written(left.join(sets, "name").select("name", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("h")), "held")
-    common = held.groupBy("h").agg(F.count("*").alias("sets")).where("sets > 1")
-    rows = held.join(common, "h").groupBy("name", "part", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("hs"))
+    names = written(full.select("name", "part").distinct(), "names")
+    held = written(sets.join(_sent(names), "name").select("name", "part", F.size("shingles").alias("size"), F.explode("shingles").alias("h")), "held")
+    common = held.groupBy("h").agg(F.count("*").alias("sets"), F.min("part").alias("p"), F.max("part").alias("q")).where("sets > 1")
+    rows = held.join(common.select("h", "sets"), "h").groupBy("name", "part", "size").agg(F.array_sort(F.collect_list(F.struct("sets", "h"))).alias("hs"))
     # Shingles that no other set holds come first, and are only counted.
     rows = rows.select("name", "part", "size", (F.col("size") - F.size("hs")).alias("alone"), F.posexplode("hs").alias("i", "e"))
     rows = rows.select("name", "part", "size", (F.col("size") - F.col("alone") - F.col("i")).alias("rest"), F.col("e.h").alias("h"))
-    rows = written(rows.where(F.col("rest") >= least * F.col("size") - 1e-9), "prefixes")
-    x, y = rows.toDF("a", "pa", "na", "ra", "h"), rows.toDF("b", "pb", "nb", "rb", "h")
-    needed = least / (1 + least) * (F.col("na") + F.col("nb")) - 1e-9
-    return x.join(y, "h").where("a < b AND pa <> pb").where(F.least("ra", "rb") >= needed).select("a", "b").distinct()
+    prefixes = rows = written(rows.where(F.col("rest") >= least * F.col("size") - 1e-9), "prefixes")
+    drop_written(held)
+    meets = lambda x, y: F.least(x("rest"), y("rest")) >= least / (1 + least) * (x("size") + y("size")) - 1e-9
+    own = lambda c: F.col(c)
+
+    first = rows.groupBy("h").agg(F.min(F.struct("name", "part", "size", "rest")).alias("first"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("h", "first")
+    star = rows.join(first, "h").where((F.col("part") != F.col("first.part")) & meets(own, lambda c: F.col(f"first.{c}")))
+    found = _similar(star.select(F.col("first.name").alias("a"), F.col("name").alias("b")).distinct(), sets, least)
+    of = lambda c: names.select(F.col("name").alias(c), F.col("part").alias(f"p{c}"))
+    joined = _components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+    rows = rows.withColumnRenamed("part", "was").join(joined, F.col("was") == F.col("node"), "left").select("name", "size", "rest", "h", F.coalesce("component", "was").alias("part"))
+
+    parts = rows.select("h", "part").distinct()
+    pairs = parts.withColumnRenamed("part", "pa").join(parts.withColumnRenamed("part", "pb"), "h").where("pa < pb")
+    side = lambda c: rows.select("h", F.col("part").alias(f"p{c}"), F.struct("name", "size", "rest").alias(c))
+    pairs = pairs.join(side("a"), ["h", "pa"]).join(side("b"), ["h", "pb"])
+    pairs = pairs.where(meets(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    out = found.unionByName(_similar(pairs, sets, least))
+    for table in (names, prefixes):
+        drop_written(table)
+    return out
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -378,7 +417,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = placed.groupBy("component", "row").agg(F.count("*").alias("n"))
     stays = placed.groupBy("component").agg(F.min("row").alias("first"))
     out = written(placed.join(stays, "component").where("row <> first OR n > 1").select("row.id", "row.hash", (F.col("row") == F.col("first")).alias("again")), "out")
-    drop_written(rows)
+    for table in (rows, classes, near, known):
+        drop_written(table)
+    out = _sent(out, isinstance(out.schema["id"].dataType, NumericType))
     whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
     same_row = F.expr("_id <=> id AND _hash = hash")
     kept = whole.join(out.select("id", "hash"), same_row, "left_anti")

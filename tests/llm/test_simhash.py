@@ -204,3 +204,20 @@ def test_long_texts_at_exactly_the_threshold(spark):
     assert len(wanted) > 10 and len(below) > 10
     got = {(r.a, r.b) for r in simhash.similar_links(spark.createDataFrame(docs, "doc_id long, text string"), 0.8).collect()}
     assert got == wanted
+
+
+def test_members_of_one_part_are_not_paired(spark, monkeypatch):
+    """Copies of one part and a stranger in a full bucket make pairs in proportion to the copies, and all links are found."""
+    made = []
+    own = simhash._similar
+    monkeypatch.setattr(simhash, "_similar", lambda pairs, sets, least: made.append(pairs.count()) or own(pairs, sets, least))
+    for n in (200, 400):
+        made.clear()
+        # 100 shingles that all share, five of their own; the stranger shares half, the friend of another part nearly all.
+        sets = [(k, list(range(100)) + [1000 + 5 * k + j for j in range(5)], 0) for k in range(n)]
+        sets += [(n, list(range(50)) + list(range(10**6, 10**6 + 50)), 1), (n + 1, list(range(98)), 2)]
+        full = spark.createDataFrame([(i, p) for i, _, p in sets], "name long, part long")
+        links = simhash._meeting(full, spark.createDataFrame([(i, s) for i, s, _ in sets], "name long, shingles array<long>"), 0.8)
+        got = {tuple(sorted((r.a, r.b))) for r in links.collect()}
+        assert any(b == n + 1 for _, b in got) and not any(n in pair for pair in got)
+        assert sum(made) <= 4 * n
