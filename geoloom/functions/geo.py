@@ -18,6 +18,7 @@ _KERNELS = {
     "Shape": "binary", "Measure": "double", "Compare": "double", "Combine": "binary", "Kind": "string", "AsText": "string", "FromText": "binary", "PointOf": "binary", "Box": "binary",
     "Bounds": "struct<minx:double,miny:double,maxx:double,maxy:double>", "Transform": "binary", "MetricBuffer": "binary", "Union": "binary", "Hull": "binary", "Polygons": "array<binary>",
     "AsGeoJson": "string", "FromGeoJson": "binary", "Vertices": _VERTICES, "FromVertices": "binary", "Faces": _FACE, "Clip": "array<binary>",
+    "CellShape": "binary", "CellCentre": "binary", "CellFill": "array<struct<cell:bigint,whole:boolean,part:binary>>",
 }
 _ready: set[str] = set()
 
@@ -58,6 +59,7 @@ def register(spark: SparkSession | None = None) -> None:
     text += [("st_aswkb", "g BINARY", "BINARY", "g"), ("st_geomfromhexwkb", "t STRING", "BINARY", "unhex(t)"), ("st_asgeojson", "g BINARY", "STRING", "geo_asgeojson(g)")]
     text += [("st_hasz", "g BINARY", "BOOLEAN", "exists(geo_vertices(g), v -> v.z IS NOT NULL)"), ("st_pointn", "g BINARY, n INT", "BINARY", "geo_pointof(get(geo_vertices(g), n - 1).x, get(geo_vertices(g), n - 1).y, get(geo_vertices(g), n - 1).z)")]
     text += [("st_unionarray", "a ARRAY<BINARY>", "BINARY", "geo_union(a)"), ("st_hullarray", "a ARRAY<BINARY>", "BINARY", "geo_hull(a)"), ("st_dump", "g BINARY", "ARRAY<BINARY>", "geo_polygons(g)")]
+    text += [("h3_cell_to_boundary", "c BIGINT", "BINARY", "geo_cellshape(c)"), ("h3_cell_to_centre", "c BIGINT", "BINARY", "geo_cellcentre(c)"), ("h3_get_resolution", "c BIGINT", "INT", "CAST((c >> 52) & 15 AS INT)")]
     for name, args, kind, body in text:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {kind} RETURN {body}")
     _ready.add(session)
@@ -176,3 +178,18 @@ def st_faces(parts: Column, box: Column, tau: Column) -> Column:
 def st_clip(g: Column, box: Column) -> Column:
     """The polygons that a box (minx, miny, maxx, maxy) cuts from a polygon."""
     return _call("clip", g, box)
+
+
+def cell_shape(cell: Column) -> Column:
+    """A grid cell's polygon by its number; null for what isn't a cell."""
+    return _call("cellshape", cell)
+
+
+def cell_centre(cell: Column) -> Column:
+    """A grid cell's centre as a point; null for what isn't a cell."""
+    return _call("cellcentre", cell)
+
+
+def cell_fill(polygon: Column, cell: Column, resolution: int, rule: str) -> Column:
+    """From a cell, or all base cells where it is null, some way down to those at a resolution that count for a polygon."""
+    return _call("cellfill", polygon, cell, F.lit(resolution), rule)

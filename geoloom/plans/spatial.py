@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from geoloom.functions import geo
 from geoloom.functions.values import attr
 from geoloom.layer import Layer, layer
 from geoloom.operators import attributes as at
-from geoloom.operators import combine, geometry, overlay, raster, route, summarise, vertex
-from geoloom.plans.relational import customers, read
+from geoloom.operators import combine, geometry, h3, overlay, raster, route, summarise, vertex
+from geoloom.plans.relational import _CELL, PARENT, customers, read
 from geoloom.sources import writers
 
 
@@ -134,9 +136,45 @@ def point_duplicates(spark, d) -> DataFrame:
     return ports["unique"].df.select("c_custkey")
 
 
+def h3_cell_shapes(spark, d) -> DataFrame:
+    """All orders as cells below a parent, by their place: each cell's hexagon, its corners and its centre."""
+    o = read(spark, d, "orders").df.select("o_orderkey", (F.col("o_orderkey") % 343).cast("long").alias("file_row_number"))
+    out = h3.position_shapes(layer(o), PARENT, rows=343).df
+    centre = geo.cell_centre(h3.cell_number(F.col("h3_index")))
+    ring = geo.st_vertices(F.col("geometry"))
+    middle = lambda f: F.aggregate(F.slice(ring, 1, 6), F.lit(0.0), lambda s, v: s + v[f]) / 6
+    near = (F.abs(middle("x") - geo.st_x(centre)) < 1e-5) & (F.abs(middle("y") - geo.st_y(centre)) < 1e-5)
+    return out.select("o_orderkey", "h3_index", F.round(geo.st_x(centre), 7).alias("lon"), F.round(geo.st_y(centre), 7).alias("lat"), geo.st_measure("npoints", F.col("geometry")).cast("int").alias("points"), near.alias("centred"))
+
+
+def customer_boxes(spark, d) -> Layer:
+    """A box of a tenth to four tenths of a degree at each customer's place, kept off the poles and the antimeridian."""
+    c, side = customers(spark, d).df, lambda k, m: (F.col("c_custkey") % m + 1) / 10
+    lon, lat = F.least(F.col("lon"), F.lit(179.0)), F.col("lat") * 0.8
+    return layer(c.withColumn("geometry", geo.st_box(lon, lat, lon + side("c_custkey", 4), lat + side("c_custkey", 3))), "geometry")
+
+
+def h3_polygon_cells(spark, d) -> DataFrame:
+    """Every customer's box filled with cells: none twice, none with its centre outside, and together of the box's area to within its outline."""
+    l = customer_boxes(spark, d)
+    l = layer(l.df.select("c_custkey", "geometry", geo.st_bounds(F.col("geometry")).alias("box")), "geometry")
+    cells = h3.polygon_cells(l, 5).df.withColumn("centre", geo.cell_centre(h3.cell_number(F.col("h3_index"))))
+    x, y = geo.st_x(F.col("centre")), geo.st_y(F.col("centre"))
+    outside = ~(x.between(F.col("box.minx"), F.col("box.maxx")) & y.between(F.col("box.miny"), F.col("box.maxy")))
+    wide = geo.st_bounds(F.col("geometry"))
+    by = cells.groupBy("c_custkey", "box").agg(
+        F.count("*").alias("n"), F.count_distinct("h3_index").alias("different"), F.count_if(outside).alias("outside"), F.sum(geo.st_area(F.col("geometry"))).alias("area"), F.max(F.greatest(wide["maxx"] - wide["minx"], wide["maxy"] - wide["miny"])).alias("size")
+    )
+    w, h = F.col("box.maxx") - F.col("box.minx"), F.col("box.maxy") - F.col("box.miny")
+    fits = F.abs(F.col("area") - w * h) <= 2 * (w + h) * F.col("size") + 4 * F.col("size") * F.col("size")
+    found = by.select(F.col("c_custkey").alias("key"), (F.col("n") - F.col("different")).alias("twice"), "outside", fits.alias("fits"))
+    # A box may be so small that no centre is inside.
+    return l.df.select("c_custkey").join(found, F.col("c_custkey") == F.col("key"), "left").select("c_custkey", F.coalesce("twice", F.lit(0)).alias("twice"), F.coalesce("outside", F.lit(0)).alias("outside"), F.coalesce("fits", F.lit(True)).alias("fits"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (measures_box, area_filter, bbox_features, bbox_all, hull_each, simplify_densify, buffer_points, reproject_mercator, dissolve_grid, spatial_join_points_boxes, overlay_grid, overlay_memberships, vertex_points, raster_sample, raster_areas, geojson_text, geometry_report, point_duplicates)
+    for f in (h3_cell_shapes, h3_polygon_cells, measures_box, area_filter, bbox_features, bbox_all, hull_each, simplify_densify, buffer_points, reproject_mercator, dissolve_grid, spatial_join_points_boxes, overlay_grid, overlay_memberships, vertex_points, raster_sample, raster_areas, geojson_text, geometry_report, point_duplicates)
 }
 
 _P = "(SELECT *, CAST(((c_custkey * 7919) % 36000) / 100.0 - 180 AS DOUBLE) AS lon, CAST(((c_custkey * 104729) % 17000) / 100.0 - 85 AS DOUBLE) AS lat FROM customer)"
@@ -146,7 +184,34 @@ _Q = lambda v: f"((1 - {_E}*{_E}) * (sin(radians({v})) / (1 - {_E}*{_E}*sin(radi
 _AREA = f"(6378137.0 * 6378137.0 * radians(w) * ({_Q('y + h')} - {_Q('y')}) / 2 / 10000)"
 _SQUARES = f"(SELECT s_suppkey, x + i.i AS sx, y + j.j AS sy FROM {_B}, range(0, 4) i(i), range(0, 3) j(j) WHERE i.i < w AND j.j < h)"
 
+
+
+def _cells_sql() -> str:
+    """The centres by complex numbers on the parent's face: digits in turn over 3+ww and 3+w, w the third root of one."""
+    w, parent = complex(-0.5, math.sqrt(3) / 2), int(PARENT, 16)
+    steps = [0, w**2, w, w + w**2, 1, 1 + w**2, 1 + w]
+    # The parent's base cell lies at ww on its face: centre, and azimuth of its first corner.
+    lat, lng, az = 0.427370518328979641, -1.888876200336285401, 3.532912002790141181
+    z, unit, finer = w**2, 1, []
+    for r in range(1, 9):
+        unit /= 3 + (w**2 if r % 2 else w)
+        if r <= 5:
+            z += unit * steps[parent >> 3 * (15 - r) & 7]
+        else:
+            finer.append([unit * s for s in steps])
+    north, east = (-math.sin(lat) * math.cos(lng), -math.sin(lat) * math.sin(lng), math.cos(lat)), (-math.sin(lng), math.cos(lng), 0.0)
+    up = (math.cos(lat) * math.cos(lng), math.cos(lat) * math.sin(lng), math.sin(lat))
+    to = [(math.cos(az) * n + math.sin(az) * e, math.sin(az) * n - math.cos(az) * e) for n, e in zip(north, east, strict=True)]
+    k = "(o_orderkey % 343)"
+    digits = (f"{k} // 49", f"{k} // 7 % 7", f"{k} % 7")
+    place = lambda part: " + ".join([repr(part(z)), *[f"[{', '.join(repr(part(s)) for s in own)}][CAST({d} AS INTEGER) + 1]" for own, d in zip(finer, digits, strict=True)]])
+    axes = ", ".join(f"{u!r} + 0.381966011250105 * (x * {a!r} + y * {b!r}) AS {c}" for c, u, (a, b) in zip("pqr", up, to, strict=True))
+    return f"SELECT o_orderkey, h3_index, round(degrees(atan2(q, p)), 7) AS lon, round(degrees(atan2(r, sqrt(p * p + q * q))), 7) AS lat, CAST(7 AS INTEGER) AS points, true AS centred FROM (SELECT o_orderkey, h3_index, {axes} FROM (SELECT o_orderkey, lower(lpad(printf('%x', {_CELL}), 15, '0')) AS h3_index, {place(lambda c: complex(c).real)} AS x, {place(lambda c: complex(c).imag)} AS y FROM orders))"
+
+
 ORACLES = {
+    "h3_cell_shapes": _cells_sql(),
+    "h3_polygon_cells": "SELECT c_custkey, CAST(0 AS BIGINT) AS twice, CAST(0 AS BIGINT) AS outside, true AS fits FROM customer",
     "measures_box": f"SELECT s_suppkey, round({_AREA}, 2) AS area_ha, CAST(5 AS INTEGER) AS vertices, 'POLYGON' AS geometry_type, CAST(1 AS INTEGER) AS parts, round(x + w / 2, 6) AS centroid_lon, round(y + h / 2, 6) AS centroid_lat FROM {_B}",
     "area_filter": f"SELECT CASE WHEN {_AREA} BETWEEN 2000000 AND 9000000 THEN 'kept' ELSE 'removed' END AS port, s_suppkey FROM {_B}",
     "bbox_features": f"SELECT s_suppkey, x AS minx, y AS miny, x + w AS maxx, y + h AS maxy FROM {_B}",

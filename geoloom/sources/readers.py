@@ -13,6 +13,7 @@ from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import LON_LAT, Layer, find_geometry, is_lon_lat, known_crs, layer
 from geoloom.operators.geometry import reproject
+from geoloom.operators.h3 import position_shapes, positional
 from geoloom.sources import arrays, rasters, tables
 
 FORMATS = {
@@ -23,9 +24,12 @@ FORMATS = {
 DELIMITERS = (",", ";", "\t", "|")
 
 
-def read(spark: SparkSession, path: str, format: str | None = None, crs: str | None = None, row_number: bool = False, **options) -> Layer:
+def read(spark: SparkSession, path: str, format: str | None = None, crs: str | None = None, row_number: bool | None = None, **options) -> Layer:
     """One source as a lon/lat layer; the format follows from the ending if it isn't given.
 
+    Parquet has ``file_row_number``, the place in its file, if that is wanted; without a word, if the file is a dense tile:
+    named after a cell, with as many rows as that has descendants at some resolution, and no column of cells.
+
     ``crs`` overrides what the file says. A system that is only assumed is never moved from. ``options`` are those of the
     format's own reader: the sheet of a workbook, the layer of a GeoPackage, the pins, window and step of a Zarr array.
     """
@@ -33,6 +37,8 @@ def read(spark: SparkSession, path: str, format: str | None = None, crs: str | N
         ending = re.search(r"\.\w+$", path.rstrip("/").lower())
         format = FORMATS.get(ending[0] if ending else "", "parquet")
     if format == "parquet":
+        if row_number is None:
+            row_number = dense_tile(spark, path) is not None
         l, declared = read_parquet(spark, path, row_number)
     elif format == "csv":
         l, declared = read_csv(spark, path), None
@@ -158,13 +164,53 @@ def read_postgis(spark: SparkSession, url: str, table: str, geometry: str | None
 H3_COLUMNS = ("h3_index", "h3index", "cell", "cell_id", "h3", "h3_cell", "index")
 
 
+#: Base cells that are pentagons, with six children; fixed values.
+PENTAGONS = (4, 14, 24, 38, 49, 58, 63, 72, 83, 97, 107, 117)
+
+
+def named_cell(path: str) -> str | None:
+    """The cell that a file is named after: 15 or 16 hexadecimal digits, a number may stand before them."""
+    stem = re.sub(r"(?i)\.(parquet|pq)$", "", path.rstrip("/").rpartition("/")[2]).rpartition("_")[2].lower()
+    if not re.fullmatch(r"0?8[0-9a-f]{14}", stem):
+        return None
+    n = int(stem, 16)
+    resolution, digits = (n >> 52) & 15, [(n >> 3 * (15 - r)) & 7 for r in range(1, 16)]
+    good = (n >> 56) == 8 and (n >> 45) & 127 < 122 and all((d == 7) == (r > resolution) for r, d in enumerate(digits, 1))
+    return f"{n:015x}" if good else None
+
+
+def is_pentagon(cell: str) -> bool:
+    n = int(cell, 16)
+    return (n >> 45) & 127 in PENTAGONS and all((n >> 3 * (15 - r)) & 7 == 0 for r in range(1, ((n >> 52) & 15) + 1))
+
+
 def describe_h3(l: Layer, path: str, rows: int) -> dict:
-    """How a file relates to the hexagonal grid: parent from its name, an index column, or places if its rows fill it."""
-    name = path.rstrip("/").rpartition("/")[2]
-    parent = re.search(r"(?:^|_)(8[0-9a-f]{14})(?:\.|$)", name.lower())
-    index = next((c for c in l.columns if c.lower() in H3_COLUMNS), None)
+    """How a file relates to the grid: the parent that it is named after, its column of cells, or how deep its rows fill the parent."""
+    parent = named_cell(path)
+    kinds = dict(l.df.dtypes)
+    index = next((c for c in l.columns if c.lower() in H3_COLUMNS and kinds[c] in ("string", "bigint", "int")), None)
     depth = next((k for k in range(16) if 7**k == rows), None)
-    return {"parent": parent[1] if parent else None, "index": index, "depth": depth if parent and not index else None}
+    if not parent or index or (depth and (is_pentagon(parent) or ((int(parent, 16) >> 52) & 15) + depth > 15)):
+        depth = None
+    return {"parent": parent, "index": index, "depth": depth}
+
+
+def dense_tile(spark: SparkSession, path: str) -> tuple[str, int] | None:
+    """The parent and the rows' resolution, if a Parquet file is a dense tile; rows are counted by its footer."""
+    if not named_cell(path):
+        return None
+    df = spark.read.parquet(path)
+    found = describe_h3(Layer(df), path, df.count())
+    return None if found["depth"] is None else (found["parent"], ((int(found["parent"], 16) >> 52) & 15) + found["depth"])
+
+
+def read_tile(spark: SparkSession, path: str, shapes: bool = False, index: str = "h3_index") -> Layer:
+    """A dense tile with its rows' cells, and their hexagons if wanted; an error if the file isn't one."""
+    tile = dense_tile(spark, path)
+    if not tile:
+        raise ValueError(f"{path} is no dense tile: its name must be a cell's and its rows as many as that has descendants")
+    l = read(spark, path, "parquet", row_number=True)
+    return (position_shapes if shapes else positional)(l, *tile, index=index)
 
 
 def geometry_of(l: Layer) -> str | None:

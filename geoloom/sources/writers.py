@@ -12,12 +12,22 @@ from geoloom.cluster import delete_path, fresh_path, matches, put_bytes
 from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import Layer, is_lon_lat, need_geometry
+from geoloom.operators.h3 import cell_number
 
+#: The column that holds cells; a fixed name.
+CELLS = "h3_index"
 FORMATS = ("Parquet", "GeoParquet", "GeoJSON", "CSV")
 
 
 def write(l: Layer, path: str, format: str = "Parquet") -> None:
-    """Write a layer below ``path``, a file for each partition, by Spark's own writers."""
+    """Write a layer below ``path``, a file for each partition, by Spark's own writers.
+
+    A layer without geometry that has a column ``h3_index`` is written to the spatial formats with its cells as hexagons, a
+    null where there is none.
+    """
+    if format in ("GeoParquet", "GeoJSON") and not l.geometry and dict(l.df.dtypes).get(CELLS) in ("string", "bigint"):
+        n = col(CELLS) if dict(l.df.dtypes)[CELLS] == "bigint" else cell_number(col(CELLS))
+        l = Layer(l.df.select(*[col(c) for c in l.columns if c != "geometry"], geo.cell_shape(n).alias("geometry")), "geometry")
     if format == "Parquet":
         l.df.write.parquet(path)
     elif format == "GeoParquet":
