@@ -20,6 +20,9 @@ _KERNELS = {
     "AsGeoJson": "string", "FromGeoJson": "binary", "Vertices": _VERTICES, "FromVertices": "binary", "Faces": _FACE, "Clip": "array<binary>",
     "CellShape": "binary", "CellCentre": "binary", "CellFill": "array<struct<cell:bigint,whole:boolean,part:binary>>",
 }
+_TIFF = {
+    "Head": "struct<width:int,height:int,bands:int,data_type:string,nodata:double,crs:string,transform:array<double>,bw:int,bh:int>", "Pixels": "array<double>", "Value": "double",
+}
 _ready: set[str] = set()
 
 SHAPES = ("centroid", "point_on_surface", "convex_hull", "envelope", "min_rectangle", "min_circle", "boundary", "make_valid", "merge_lines", "exterior_ring")
@@ -38,6 +41,8 @@ def register(spark: SparkSession | None = None) -> None:
     spark.sql(f"ADD JAR '{JAR}'")
     for name, kind in _KERNELS.items():
         spark.udf.registerJavaFunction(f"geo_{name.lower()}", f"geoloom.Udfs${name}", kind)
+    for name, kind in _TIFF.items():
+        spark.udf.registerJavaFunction(f"geo_tiff{name.lower()}", f"geoloom.Tiff${name}", kind)
     spark.udf.registerJavaFunction("geo_footer", "geoloom.Footer", "long")
     for name in ("Union", "Extent"):
         spark.udf.registerJavaUDAF(f"st_{name.lower()}_agg", f"geoloom.Aggregates${name}Agg")
@@ -193,3 +198,18 @@ def cell_centre(cell: Column) -> Column:
 def cell_fill(polygon: Column, cell: Column, resolution: int, rule: str) -> Column:
     """From a cell, or all base cells where it is null, some way down to those at a resolution that count for a polygon."""
     return _call("cellfill", polygon, cell, F.lit(resolution), rule)
+
+
+def tiff_head(path: Column) -> Column:
+    """What a GeoTIFF's tags say; only they are read."""
+    return _call("tiffhead", path)
+
+
+def tiff_pixels(path: Column, band: Column, bx: Column, by: Column) -> Column:
+    """A block's values of a band, row by row; only the block is read."""
+    return _call("tiffpixels", path, band, bx, by)
+
+
+def tiff_value(path: Column, band: Column, column: Column, row: Column) -> Column:
+    """A pixel's value; a task keeps the blocks that it has just read, so that rows should come block by block."""
+    return _call("tiffvalue", path, band, column, row)

@@ -15,13 +15,16 @@ from geoloom.functions.values import col
 from geoloom.layer import LON_LAT, Layer, layer, need_geometry
 from geoloom.operators.combine import spatial_join
 from geoloom.operators.components import connected_components
+from geoloom.sources.rasters import Rasters
 
 
-def sample_raster(l: Layer, tiles: DataFrame, band: int = 1, attribute: str = "raster_value", crs: str = LON_LAT) -> Layer:
+def sample_raster(l: Layer, tiles: DataFrame | Rasters, band: int = 1, attribute: str = "raster_value", crs: str = LON_LAT) -> Layer:
     """Append the value of a band at each feature (lines and areas at a point on them), null outside and for nodata.
 
     Features find their pixel by the raster's inverse transform, and its tile by an equal block: no raster is held
-    whole. Where rasters overlap, the first by name that has a value gives it.
+    whole. Where rasters overlap, the first by name that has a value gives it. Of files (``open_rasters``) only those blocks
+    are read in which features lie: places are put in the order of their blocks, however many lie in one, and each task
+    reads its own.
     """
     if attribute in l.columns:
         raise ValueError(f"the attribute {attribute} exists already")
@@ -30,19 +33,30 @@ def sample_raster(l: Layer, tiles: DataFrame, band: int = 1, attribute: str = "r
     g = col(need_geometry(l))
     rows = written(l.df.select("*", F.monotonically_increasing_id().alias("_id")), "sampled")
     points = rows.select("_id", geo.st_shape("point_on_surface", g).alias("_p")).where("_p IS NOT NULL")
-    own = tiles.where(F.col("band") == band)
-    t = F.col("transform")
-    grids = own.groupBy("raster", "bw", "bh", "transform").agg(F.max(F.col("x0") + F.col("w")).alias("_w"), F.max(F.col("y0") + F.col("h")).alias("_h"))
+    t, files = F.col("transform"), isinstance(tiles, Rasters)
+    if files:
+        grids = written(tiles.heads.where(F.col("bands") >= band).select("raster", "bw", "bh", "transform", F.col("width").alias("_w"), F.col("height").alias("_h")), "rasters")
+    else:
+        own = tiles.where(F.col("band") == band)
+        grids = own.groupBy("raster", "bw", "bh", "transform").agg(F.max(F.col("x0") + F.col("w")).alias("_w"), F.max(F.col("y0") + F.col("h")).alias("_h"))
     place = lambda i, j: (t[0] * i + t[1] * j + t[2], t[3] * i + t[4] * j + t[5])
     corners = [place(i, j) for i in (F.lit(0), F.col("_w")) for j in (F.lit(0), F.col("_h"))]
     xs, ys = zip(*corners, strict=True)
-    grids = grids.select("raster", "bw", "bh", "transform", geo.st_box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)).alias("_f"))
+    grids = grids.select("raster", "bw", "bh", "transform", "_w", "_h", geo.st_box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)).alias("_f"))
     # Features meet only the rasters whose outlines hold them.
     near = spatial_join(layer(points, "_p", crs), layer(grids, "_f", crs)).df
     near = near.withColumn("_x", geo.st_x(F.col("_p"))).withColumn("_y", geo.st_y(F.col("_p")))
     d = t[0] * t[4] - t[1] * t[3]
     x, y = F.col("_x") - t[2], F.col("_y") - t[5]
     placed = near.withColumn("_c", F.floor((t[4] * x - t[1] * y) / d)).withColumn("_r", F.floor((t[0] * y - t[3] * x) / d))
+    if files:
+        inside = F.col("_c").between(0, F.col("_w") - 1) & F.col("_r").between(0, F.col("_h") - 1)
+        block = ["raster", F.floor(F.col("_r") / F.col("bh")), F.floor(F.col("_c") / F.col("bw"))]
+        placed = placed.where(inside).select("_id", "raster", "_c", "_r", block[1].alias("_by"), block[2].alias("_bx"))
+        order = ["raster", "_by", "_bx", "_id"]
+        found = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "raster", geo.tiff_value(F.col("raster"), F.lit(band), F.col("_c"), F.col("_r")).alias("_v"))
+        values = found.where("_v IS NOT NULL").groupBy("_id").agg(F.min_by("_v", "raster").alias(attribute))
+        return l.with_df(rows.join(values, "_id", "left").select(*[col(c) for c in l.columns], attribute))
     placed = placed.select("_id", "raster", "_c", "_r", F.floor(F.col("_c") / F.col("bw")).cast("int").alias("bx"), F.floor(F.col("_r") / F.col("bh")).cast("int").alias("by"))
     hit = placed.join(own, ["raster", "bx", "by"])
     inside = F.col("_c").between(F.col("x0"), F.col("x0") + F.col("w") - 1) & F.col("_r").between(F.col("y0"), F.col("y0") + F.col("h") - 1)

@@ -7,15 +7,15 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.cluster import fresh_path
+from geoloom.cluster import fresh_path, put_bytes
 from geoloom.functions import geo
 from geoloom.functions.values import Condition, sql
 from geoloom.layer import Layer, layer
 from geoloom.operators import attributes as at
-from geoloom.operators import combine, custom, geometry, order, overlay, route, summarise
+from geoloom.operators import combine, custom, geometry, order, overlay, raster, route, summarise
 from geoloom.plans.relational import customers, read
 from geoloom.plans.spatial import _B, _P, boxes
-from geoloom.sources import readers, writers
+from geoloom.sources import rasters, readers, writers
 
 _X, _Y = (lambda: geo.st_x(F.col("geometry"))), (lambda: geo.st_y(F.col("geometry")))
 
@@ -42,6 +42,30 @@ def geoparquet_files(spark, d) -> DataFrame:
     return l.df.select("c_custkey", F.round(_X(), 6).alias("x"), F.round(_Y(), 6).alias("y"))
 
 
+def _density_file(spark, d) -> rasters.Rasters:
+    """A GeoTIFF of the number of customers in each square degree, made of their counts: as many as the map has squares at most."""
+    import numpy as np
+
+    counts = customers(spark, d).df.groupBy(F.floor("lon").cast("int").alias("x"), F.floor(90 - F.col("lat")).cast("int").alias("y")).agg(F.count("*").alias("n"))
+    grid = np.zeros((180, 360))
+    for r in counts.where("x BETWEEN -180 AND 179 AND y BETWEEN 0 AND 179").collect():
+        grid[r["y"], r["x"] + 180] = r["n"]
+    path = f"{fresh_path(spark, 'density')}/density.tif"
+    put_bytes(spark, path, rasters.geotiff(grid, (1.0, 0.0, -180.0, 0.0, -1.0, 90.0), nodata=0, side=32))
+    return rasters.open_rasters(spark, path)
+
+
+def raster_file_sample(spark, d) -> DataFrame:
+    """Each customer's square degree, looked up in a file's blocks."""
+    return raster.sample_raster(customers(spark, d), _density_file(spark, d)).df.select("c_custkey", F.col("raster_value").alias("n"))
+
+
+def raster_file_blocks(spark, d) -> DataFrame:
+    """The blocks of that file: their places, and the customers counted in each."""
+    t = _density_file(spark, d).tiles
+    return t.select("bx", "by", "x0", "y0", "w", "h", F.aggregate("pixels", F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0))).alias("n"))
+
+
 def relabelled(spark, d) -> DataFrame:
     """Numbers that are taken for metres, and moved to lon/lat as such."""
     l = geometry.reproject(at.set_crs(customers(spark, d), "EPSG:3857"), "EPSG:4326")
@@ -145,7 +169,7 @@ def saved_flow(spark, d) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_files, geojson_files, geoparquet_files, relabelled, texts_tested, sql_set_operators, sql_rollup, sql_text_functions, sql_unions_of_shapes, ring_inspection, lonlat_check, overlay_rejections,
+        csv_files, geojson_files, geoparquet_files, raster_file_sample, raster_file_blocks, relabelled, texts_tested, sql_set_operators, sql_rollup, sql_text_functions, sql_unions_of_shapes, ring_inspection, lonlat_check, overlay_rejections,
         accumulated_names, shared_areas, capped_count, sampler_passes_all, user_operator, saved_flow,
     )
 }
@@ -156,6 +180,8 @@ ORACLES = {
     "csv_files": "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders",
     "geojson_files": f"SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, round(lon, 6) AS x, round(lat, 6) AS y FROM {_P}",
     "geoparquet_files": f"SELECT c_custkey, round(lon, 6) AS x, round(lat, 6) AS y FROM {_P}",
+    "raster_file_sample": f"SELECT c_custkey, CAST(count(*) OVER (PARTITION BY floor(lon), floor(90 - lat)) AS DOUBLE) AS n FROM {_P}",
+    "raster_file_blocks": f"SELECT CAST(bx AS INTEGER) AS bx, CAST(\"by\" AS INTEGER) AS \"by\", CAST(bx * 32 AS INTEGER) AS x0, CAST(\"by\" * 32 AS INTEGER) AS y0, CAST(least(32, 360 - bx * 32) AS INTEGER) AS w, CAST(least(32, 180 - \"by\" * 32) AS INTEGER) AS h, CAST(count(lon) AS DOUBLE) AS n FROM (SELECT x.x AS bx, y.y AS \"by\" FROM range(0, 12) x(x), range(0, 6) y(y)) g LEFT JOIN {_P} p ON floor((floor(lon) + 180) / 32) = bx AND floor(floor(90 - lat) / 32) = \"by\" GROUP BY bx, \"by\"",
     "relabelled": f"SELECT c_custkey, round(degrees(lon / 6378137.0), 9) AS x, round(degrees(2 * atan(exp(lat / 6378137.0)) - pi() / 2), 9) AS y FROM {_P}",
     "texts_tested": "SELECT CASE WHEN p_partkey % 3 = 0 OR contains(p_name, 'e') THEN 'passed' ELSE 'failed' END AS port, p_partkey FROM part",
     "sql_set_operators": "(SELECT o_custkey FROM orders WHERE o_totalprice > 100000 INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",

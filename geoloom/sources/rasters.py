@@ -1,148 +1,83 @@
-"""GeoTIFF files as footprints and as a table of tiles."""
+"""GeoTIFF files as footprints and as a table of tiles, read by ranges: tags first, then the blocks that are asked for."""
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.functions.values import col
 from geoloom.layer import Layer, layer
 
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4, 16: 8, 17: 8}
-_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q"}
-_KINDS = {1: "u", 2: "i", 3: "f"}
-
-
-def tiff_tags(raw: bytes) -> tuple[str, dict[int, tuple]]:
-    """Byte order and the tags of the first image of a (Big)TIFF file."""
-    end = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if end is None:
-        raise ValueError("not a TIFF file")
-    big = struct.unpack(f"{end}H", raw[2:4])[0] == 43
-    at = struct.unpack(f"{end}Q", raw[8:16])[0] if big else struct.unpack(f"{end}I", raw[4:8])[0]
-    n = struct.unpack(f"{end}{'Q' if big else 'H'}", raw[at : at + (8 if big else 2)])[0]
-    at += 8 if big else 2
-    tags = {}
-    for _ in range(n):
-        tag, kind = struct.unpack(f"{end}HH", raw[at : at + 4])
-        count = struct.unpack(f"{end}{'Q' if big else 'I'}", raw[at + 4 : at + (12 if big else 8)])[0]
-        size, inline = _SIZES.get(kind, 1) * count, 8 if big else 4
-        place = at + (12 if big else 8)
-        if size > inline:
-            place = struct.unpack(f"{end}{'Q' if big else 'I'}", raw[place : place + inline])[0]
-        data = raw[place : place + size]
-        tags[tag] = (data.rstrip(b"\0").decode("latin-1"),) if kind == 2 else struct.unpack(f"{end}{count}{_CODES[kind]}", data) if kind in _CODES else (data,)
-        at += 20 if big else 12
-    return end, tags
-
-
-def header(raw: bytes) -> dict:
-    """Width, height, bands, type, nodata, reference system and transform (row by row) of a file."""
-    _, t = tiff_tags(raw)
-    one = lambda tag, default: t.get(tag, (default,))[0]
-    bits, kind = one(258, 1), _KINDS.get(one(339, 1), "u")
-    transform = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
-    if 34264 in t:
-        m = t[34264]
-        transform = [m[0], m[1], m[3], m[4], m[5], m[7]]
-    elif 33550 in t and 33922 in t:
-        (sx, sy, *_), tie = t[33550], t[33922]
-        transform = [sx, 0.0, tie[3] - tie[0] * sx, 0.0, -sy, tie[4] + tie[1] * sy]
-    keys = t.get(34735, ())
-    codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4)}
-    code = codes.get(3072) or codes.get(2048)
-    nodata = one(42113, "").strip()
-    return {"width": one(256, 0), "height": one(257, 0), "bands": one(277, 1), "data_type": f"{ {'u': 'uint', 'i': 'int', 'f': 'float'}[kind]}{bits}", "nodata": float(nodata) if nodata else None, "crs": f"EPSG:{code}" if code else None, "transform": [float(x) for x in transform]}
-
-
-def _unpacked(data: bytes, coding: int) -> bytes:
-    if coding == 1:
-        return data
-    if coding in (8, 32946):
-        return zlib.decompress(data)
-    if coding == 50000:
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data)
-    raise ValueError(f"unknown TIFF compression {coding}; none, deflate and zstd are known")
-
-
-def blocks(raw: bytes) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """Each block of each band: ``(band from 1, block column, block row, pixels as doubles)``, cut at the image's edge."""
-    end, t = tiff_tags(raw)
-    h = header(raw)
-    one = lambda tag, default: t.get(tag, (default,))[0]
-    tiled = 322 in t
-    bw, bh = (one(322, 0), one(323, 0)) if tiled else (h["width"], min(one(278, h["height"]), h["height"]))
-    across, down = -(-h["width"] // bw), -(-h["height"] // bh)
-    starts, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
-    bands, planar = h["bands"], one(284, 1) == 2
-    kind = np.dtype(f"{end}{_KINDS.get(one(339, 1), 'u')}{one(258, 8) // 8}")
-    for k, (start, size) in enumerate(zip(starts, sizes, strict=True)):
-        plane, k = divmod(k, across * down) if planar else (0, k)
-        by, bx = divmod(k, across)
-        rows, cols = min(bh, h["height"] - by * bh), min(bw, h["width"] - bx * bw)
-        own = 1 if planar else bands
-        flat = np.frombuffer(_unpacked(raw[start : start + size], one(259, 1)), kind) if size else np.zeros(bh * bw * own, kind)
-        grid = flat[: len(flat) // (bw * own) * bw * own].reshape(-1, bw, own)
-        if one(317, 1) == 2:
-            grid = np.cumsum(grid, axis=1, dtype=kind)
-        elif one(317, 1) == 3:
-            raise ValueError("the floating-point predictor isn't known")
-        for b in range(own):
-            yield (plane if planar else b) + 1, bx, by, grid[:rows, :cols, b].astype(float)
-
-
-_HEAD = "raster string, width int, height int, bands int, data_type string, nodata double, crs string, transform array<double>"
+HEAD = ("raster", "width", "height", "bands", "data_type", "nodata", "crs", "transform")
+
+
+@dataclass(frozen=True)
+class Rasters:
+    """GeoTIFF files by their tags: ``raster`` (the path), ``HEAD``'s columns, and the blocks' size ``bw, bh``."""
+
+    heads: DataFrame
+
+    @property
+    def footprints(self) -> Layer:
+        """A row for each file with its outline."""
+        t = F.col("transform")
+        corner = lambda i, j: (t[0] * i + t[1] * j + t[2], t[3] * i + t[4] * j + t[5])
+        corners = [corner(i, j) for i in (F.lit(0), F.col("width")) for j in (F.lit(0), F.col("height"))]
+        xs, ys = zip(*corners, strict=True)
+        outline = geo.st_box(F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys))
+        return layer(self.heads.select(*map(col, HEAD), F.abs(t[0]).alias("pixel_x"), F.abs(t[4]).alias("pixel_y"), outline.alias("geometry")), "geometry")
+
+    @property
+    def blocks(self) -> DataFrame:
+        """A row for each band and block, without its values: ``raster, band, bx, by, x0, y0, w, h, bw, bh, transform``."""
+        every = lambda c, size: F.explode(F.sequence(F.lit(0), F.floor((F.col(c) - 1) / F.col(size)).cast("int")))
+        b = self.heads.where("width > 0 AND height > 0").withColumn("by", every("height", "bh")).withColumn("bx", every("width", "bw"))
+        b = b.withColumn("x0", F.col("bx") * F.col("bw")).withColumn("y0", F.col("by") * F.col("bh")).withColumn("band", F.explode(F.sequence(F.lit(1), "bands")))
+        rest = lambda c, first, size: F.least(F.col(c) - F.col(first), F.col(size)).alias({"width": "w", "height": "h"}[c])
+        return b.select("raster", "band", "bx", "by", "x0", "y0", rest("width", "x0", "bw"), rest("height", "y0", "bh"), "bw", "bh", "transform")
+
+    @property
+    def tiles(self) -> DataFrame:
+        """The blocks with ``pixels``, dealt to all tasks; nodata and no numbers are null."""
+        b = self.blocks.repartition("raster", "bx", "by")
+        return b.withColumn("pixels", geo.tiff_pixels(F.col("raster"), F.col("band"), F.col("bx"), F.col("by")))
+
+
+def open_rasters(spark: SparkSession, glob: str) -> Rasters:
+    """All files that a pattern names; of each only the tags are read, by the tasks that list it."""
+    files = spark.read.format("binaryFile").load(glob).select(F.col("path").alias("raster"))
+    return Rasters(files.withColumn("head", geo.tiff_head(F.col("raster"))).select("raster", "head.*"))
 
 
 def read_raster(spark: SparkSession, glob: str) -> tuple[Layer, DataFrame]:
-    """``(footprints, tiles)`` of all files: a row each with its outline, and a row for each band and block.
-
-    Tiles are ``raster, band, bx, by, x0, y0, w, h, bw, bh, nodata, transform, pixels``; nodata and no numbers are null.
-    """
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                h = header(b.column(1)[k].as_py())
-                yield pa.RecordBatch.from_pylist([{"raster": b.column(0)[k].as_py(), **h}], schema=_schema(_HEAD))
-
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                raw = b.column(1)[k].as_py()
-                h, found = header(raw), list(tiff_tags(raw)[1].items())
-                tags = dict(found)
-                bw = tags.get(322, (h["width"],))[0]
-                bh = tags.get(323, (min(tags.get(278, (h["height"],))[0], h["height"]),))[0]
-                for band, bx, by, grid in blocks(raw):
-                    v = grid.ravel()
-                    gone = np.isnan(v) | (v == h["nodata"]) if h["nodata"] is not None else np.isnan(v)
-                    pixels = pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v, mask=gone))
-                    head = {"raster": b.column(0)[k].as_py(), "band": band, "bx": bx, "by": by, "x0": bx * bw, "y0": by * bh, "w": grid.shape[1], "h": grid.shape[0], "bw": bw, "bh": bh, "transform": h["transform"]}
-                    first = pa.RecordBatch.from_pylist([head], schema=_schema(_TILE))
-                    yield pa.RecordBatch.from_arrays([*first.columns, pixels], [*first.schema.names, "pixels"])
-
-    f = files.mapInArrow(heads, _HEAD)
-    t = F.col("transform")
-    corner = lambda i, j: (t[0] * i + t[1] * j + t[2], t[3] * i + t[4] * j + t[5])
-    (ax, ay), (bx_, by_) = corner(F.lit(0), F.lit(0)), corner(F.col("width"), F.col("height"))
-    outline = geo.st_box(F.least(ax, bx_), F.least(ay, by_), F.greatest(ax, bx_), F.greatest(ay, by_))
-    feet = f.select("*", F.abs(t[0]).alias("pixel_x"), F.abs(t[4]).alias("pixel_y"), outline.alias("geometry"))
-    return layer(feet, "geometry"), files.mapInArrow(tiles, f"{_TILE}, pixels array<double>")
-
-
-_TILE = "raster string, band int, bx int, by int, x0 int, y0 int, w int, h int, bw int, bh int, transform array<double>"
-
-
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
-    return pa.schema([(p.split(" ", 1)[0], kinds[p.split(" ", 1)[1]]) for p in ddl.split(", ")])
+    """``(footprints, tiles)`` of all files."""
+    found = open_rasters(spark, glob)
+    return found.footprints, found.tiles
+
+
+def geotiff(grid: np.ndarray, transform: tuple[float, ...], nodata: float | None = None, side: int = 256, epsg: int = 4326) -> bytes:
+    """A grid of one machine's size as a GeoTIFF of 32-bit floats in deflated square tiles, north up."""
+    h, w = grid.shape
+    blocks = []
+    for y in range(0, h, side):
+        for x in range(0, w, side):
+            own = grid[y : y + side, x : x + side]
+            blocks.append(zlib.compress(np.pad(own, ((0, side - own.shape[0]), (0, side - own.shape[1]))).astype("<f4").tobytes(), 1))
+    starts = (8 + np.concatenate([[0], np.cumsum([len(b) for b in blocks])])).tolist()
+    geographic = 2048 if epsg == 4326 else 3072
+    tags = [(256, "I", [w]), (257, "I", [h]), (258, "H", [32]), (259, "H", [8]), (277, "H", [1]), (322, "I", [side]), (323, "I", [side]), (324, "I", starts[:-1]), (325, "I", [len(b) for b in blocks]), (339, "H", [3])]
+    tags += [(33550, "d", [transform[0], -transform[4], 0.0]), (33922, "d", [0.0, 0.0, 0.0, transform[2], transform[5], 0.0]), (34735, "H", [1, 1, 0, 1, geographic, 0, 1, epsg])]
+    tags += [(42113, "s", [f"{nodata}".encode() + b"\0"])] if nodata is not None else []
+    at, entries, extra = starts[-1] + 2 + 12 * len(tags) + 4, b"", b""
+    for tag, code, values in tags:
+        raw = values[0] if code == "s" else struct.pack(f"<{len(values)}{code}", *values)
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + len(extra))
+        extra += raw if len(raw) > 4 else b""
+        entries += struct.pack("<HHI", tag, {"H": 3, "I": 4, "d": 12, "s": 2}[code], len(raw) if code == "s" else len(values)) + place
+    return b"II*\0" + struct.pack("<I", starts[-1]) + b"".join(blocks) + struct.pack("<H", len(tags)) + entries + b"\0\0\0\0" + extra

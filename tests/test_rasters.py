@@ -72,12 +72,132 @@ def test_values_at_points(spark, tiles):
         raster.sample_raster(l, tiles[1], attribute="x")
 
 
+@pytest.mark.parametrize("tile", [None, 2])
+def test_values_of_files_at_points(spark, tmp_path, tile):
+    tiff(f"{tmp_path}/a.tif", GRID, tile, nodata=9)
+    tiff(f"{tmp_path}/b.tif", GRID + 100, tile, nodata=109)
+    rows = [(k, x, y) for k, (x, y) in enumerate([(10.5, 19.5), (11.5, 18.5), (14.9, 16.1), (13.5, 17.5), (9.9, 18.0), (10.0, 20.0)])]
+    df = spark.createDataFrame(rows + [(9, None, None)], "id int, x double, y double")
+    l = layer(df.withColumn("geometry", geo.st_point(F.col("x"), F.col("y"))), "geometry")
+    got = {r.id: r.raster_value for r in raster.sample_raster(l, rasters.open_rasters(spark, f"{tmp_path}/*.tif")).df.collect()}
+    assert got == {0: 1.0, 1: 3.0, 2: 5.0, 3: None, 4: None, 5: 1.0, 9: None}
+
+
 def test_areas_of_equal_value(tiles):
     out = raster.raster_to_polygons(tiles[1]).df
     got = sorted((r.value, r.a) for r in out.select("value", geo.st_area(F.col("geometry")).alias("a")).collect())
     assert got == [(1.0, 7.0), (2.0, 3.0), (3.0, 3.0), (4.0, 1.0), (5.0, 4.0)]
 
 
+def packed(grid, kind, coding, predictor, tile, big=False, end="<", planes=False):
+    """A TIFF of any byte order, size of offsets, sample type, predictor and compression, by hand."""
+    h, w, bands = grid.shape
+    n = np.dtype(kind).itemsize
+    blocks = []
+    for plane in range(bands if planes else 1):
+        for y in range(0, h, tile):
+            for x in range(0, w, tile):
+                own = grid[y : y + tile, x : x + tile, plane : plane + 1] if planes else grid[y : y + tile, x : x + tile]
+                own = np.pad(own, ((0, tile - own.shape[0]), (0, tile - own.shape[1]), (0, 0))).astype(kind)
+                if predictor == 2:
+                    own = np.concatenate([own[:, :1], np.diff(own, axis=1)], axis=1).astype(kind)
+                raw = own.astype(own.dtype.newbyteorder(end)).tobytes()
+                if predictor == 3:
+                    lines = np.frombuffer(own.astype(own.dtype.newbyteorder(">")).tobytes(), np.uint8).reshape(tile, -1, n)
+                    flat = lines.transpose(0, 2, 1).reshape(tile, -1)
+                    step = own.shape[2]
+                    raw = np.concatenate([flat[:, :step], flat[:, step:] - flat[:, :-step]], axis=1).astype(np.uint8).tobytes()
+                blocks.append({1: lambda r: r, 5: lzw, 8: zlib.compress, 32773: lambda r: b"".join(bytes([len(c) - 1]) + c for c in (r[i : i + 100] for i in range(0, len(r), 100))), 50000: lambda r: __import__("zstandard").compress(r)}[coding](raw))
+    first = 16 if big else 8
+    starts = np.cumsum([first, *map(len, blocks)]).tolist()
+    code = {"u": 1, "i": 2, "f": 3}[np.dtype(kind).kind]
+    tags = [(256, [w]), (257, [h]), (258, [8 * n] * bands), (259, [coding]), (277, [bands]), (284, [2 if planes else 1]), (317, [predictor]), (322, [tile]), (323, [tile]), (324, starts[:-1]), (325, list(map(len, blocks))), (339, [code] * bands)]
+    at = starts[-1]
+    size, extra, entries = (8, b"", b"") if big else (4, b"", b"")
+    after = at + (8 if big else 2) + len(tags) * (20 if big else 12) + size
+    for tag, values in tags:
+        raw = struct.pack(f"{end}{len(values)}I", *values)
+        if len(raw) <= size:
+            place = raw.ljust(size, b"\0")
+        else:
+            place, extra = struct.pack(f"{end}{'Q' if big else 'I'}", after + len(extra)), extra + raw
+        entries += struct.pack(f"{end}HH{'Q' if big else 'I'}", tag, 4, len(values)) + place
+    head = (b"II" if end == "<" else b"MM") + (struct.pack(f"{end}HHHQ", 43, 8, 0, at) if big else struct.pack(f"{end}HI", 42, at))
+    return head + b"".join(blocks) + struct.pack(f"{end}{'Q' if big else 'H'}", len(tags)) + entries + b"\0" * size + extra
+
+
+def lzw(data):
+    """TIFF's LZW: codes of 9 to 12 bits, wider one code early, cleared when the table is full."""
+    out, bits, held = bytearray(), 0, 0
+    table, width = {bytes([i]): i for i in range(256)}, 9
+
+    def put(code):
+        nonlocal bits, held
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            out.append(held >> bits - 8 & 255)
+            bits -= 8
+            held &= (1 << bits) - 1
+
+    put(256)
+    word = b""
+    for c in data:
+        longer = word + bytes([c])
+        if longer in table:
+            word = longer
+            continue
+        put(table[word])
+        table[longer] = len(table) + 2
+        if len(table) + 2 == 4095:
+            put(256)
+            table, width = {bytes([i]): i for i in range(256)}, 9
+        elif len(table) + 2 > (1 << width) - 1:
+            width += 1
+        word = bytes([c])
+    put(table[word])
+    put(257)
+    if bits:
+        out.append(held << 8 - bits & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize(("kind", "coding", "predictor", "more"), [
+    ("u1", 5, 1, {}), ("u1", 5, 2, {}), ("u2", 8, 2, {"end": ">"}), ("i2", 1, 2, {"big": True}), ("i4", 50000, 1, {"planes": True}), ("u4", 32773, 2, {}), ("f4", 5, 3, {}), ("f4", 8, 3, {"planes": True, "big": True}), ("f8", 8, 3, {"end": ">"}), ("f8", 1, 1, {"big": True, "end": ">"}), ("u8", 8, 2, {}), ("i1", 5, 1, {"planes": True}),
+])
+def test_codings(spark, tmp_path, kind, coding, predictor, more):
+    rng = np.random.default_rng(5)
+    grid = rng.integers(0, 120, (37, 53, 2)) if np.dtype(kind).kind == "u" else rng.integers(-120, 120, (37, 53, 2))
+    grid = (grid + rng.random(grid.shape)).astype(kind) if np.dtype(kind).kind == "f" else grid.astype(kind)
+    (tmp_path / "a.tif").write_bytes(packed(grid, kind, coding, predictor, 16, **more))
+    out = np.full(grid.shape, np.nan)
+    for r in rasters.read_raster(spark, f"{tmp_path}/*.tif")[1].collect():
+        out[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w, r.band - 1] = np.array(r.pixels).reshape(r.h, r.w)
+    assert (out == grid.astype(float)).all()
+
+
+def test_only_touched_blocks_are_read(spark, tmp_path):
+    """Points in one corner of a large file: few bytes are read, and each point has its value."""
+    side = 4096
+    grid = (np.arange(side)[:, None] * 3.0 + np.arange(side)[None, :]).astype("<f4")
+    tiff(f"{tmp_path}/big.tif", grid, 256, deflate=False)
+    size = (tmp_path / "big.tif").stat().st_size
+    rng = np.random.default_rng(6)
+    xy = rng.random((5000, 2)) * 500
+    df = spark.createDataFrame([(k, float(x + 10), float(20 - y)) for k, (x, y) in enumerate(xy)], "id int, x double, y double")
+    l = layer(df.withColumn("geometry", geo.st_point(F.col("x"), F.col("y"))), "geometry")
+    read = lambda: sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+    before = read()
+    got = {r.id: r.raster_value for r in raster.sample_raster(l, rasters.open_rasters(spark, f"{tmp_path}/*.tif")).df.collect()}
+    used = read() - before
+    assert got == {k: float(np.float32(int(y) * 3.0 + int(x))) for k, (x, y) in enumerate(xy)}
+    assert used < size / 5, (used, size)  # tables of points and the file's tags are in it
+    # All points in one block, and none in the raster.
+    one = l.with_df(l.df.withColumn("geometry", geo.st_point(F.lit(10.5) + F.col("id") % 3, F.lit(19.5))))
+    assert {r.id % 3: r.raster_value for r in raster.sample_raster(one, rasters.open_rasters(spark, f"{tmp_path}/*.tif")).df.collect()} == {0: 0.0, 1: 1.0, 2: 2.0}
+    away = l.with_df(l.df.withColumn("geometry", geo.st_point(F.lit(-50.0), F.lit(0.0))))
+    assert raster.sample_raster(away, rasters.open_rasters(spark, f"{tmp_path}/*.tif")).df.where("raster_value IS NOT NULL").count() == 0
+
+
 @pytest.mark.parametrize("version", [2, 3])
 def test_zarr(spark, version):
     d = tempfile.mkdtemp()
