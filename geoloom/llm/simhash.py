@@ -289,11 +289,17 @@ def _meeting(full: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     joined = _components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")))
     rows = rows.withColumnRenamed("part", "was").join(joined, F.col("was") == F.col("node"), "left").select("name", "size", "rest", "h", F.coalesce("component", "was").alias("part"))
 
-    parts = rows.select("h", "part").distinct()
-    pairs = parts.withColumnRenamed("part", "pa").join(parts.withColumnRenamed("part", "pb"), "h").where("pa < pb")
-    side = lambda c: rows.select("h", F.col("part").alias(f"p{c}"), F.struct("name", "size", "rest").alias(c))
-    pairs = pairs.join(side("a"), ["h", "pa"]).join(side("b"), ["h", "pb"])
-    pairs = pairs.where(meets(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))).select(F.col("a.name").alias("a"), F.col("b.name").alias("b")).distinct()
+    # A pair needs ``rest - c size`` of either to be c times the other's size, for c = least / (1 + least). By a part's greatest
+    # and least, pairs of parts, and then members and parts, are put aside before members meet members.
+    c = least / (1 + least)
+    spare = F.col("rest") - c * F.col("size") + 1e-9
+    parts = rows.groupBy("h", "part").agg(F.max(spare).alias("spare"), F.min("size").alias("least"))
+    side = lambda k: parts.select("h", F.col("part").alias(f"p{k}"), F.col("spare").alias(f"s{k}"), F.col("least").alias(f"l{k}"))
+    pairs = side("a").join(side("b"), "h").where((F.col("pa") < F.col("pb")) & (F.col("sa") >= c * F.col("lb")) & (F.col("sb") >= c * F.col("la")))
+    members = rows.select("h", "part", "name", "size", "rest", spare.alias("spare"))
+    x, y = members.withColumnsRenamed({"part": "pa", "name": "a", "size": "na", "rest": "ra", "spare": "xa"}), members.withColumnsRenamed({"part": "pb", "name": "b", "size": "nb", "rest": "rb", "spare": "xb"})
+    pairs = pairs.join(x, ["h", "pa"]).where((F.col("xa") >= c * F.col("lb")) & (F.col("sb") >= c * F.col("na"))).select("h", "pb", "a", "na", "ra", "xa")
+    pairs = pairs.join(y, ["h", "pb"]).where((F.col("xa") >= c * F.col("nb")) & (F.col("xb") >= c * F.col("na"))).select("a", "b").distinct()
     out = found.unionByName(_similar(pairs, sets, least))
     for table in (names, prefixes):
         drop_written(table)
