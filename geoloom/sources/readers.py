@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from geoloom.cluster import fresh_path
 from geoloom.functions import geo
 from geoloom.functions.values import col
 from geoloom.layer import LON_LAT, Layer, find_geometry, is_lon_lat, known_crs, layer
 from geoloom.operators.geometry import reproject
 from geoloom.operators.h3 import position_shapes, positional
 from geoloom.sources import arrays, rasters, tables
+from geoloom.sources.features import feature_lines
 
 FORMATS = {
     ".parquet": "parquet", ".pq": "parquet", ".csv": "csv", ".tsv": "csv", ".gz": "csv", ".geojson": "geojson", ".json": "geojson", ".gpkg": "geopackage", ".xlsx": "workbook", ".xlsm": "workbook",
@@ -112,37 +114,53 @@ def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> La
 def read_geojson(spark: SparkSession, path: str, lines: bool | None = None) -> tuple[Layer, str | None]:
     """Features of a collection, or one a line, with their properties as columns and ``geometry`` last.
 
-    The schema of the properties comes from one pass over the data. Text that isn't GeoJSON is an error. The system that
+    A collection is cut into its features by many tasks, however large the file, and these are written as lines first. The
+    schema of the properties comes from one pass over the data. Text that isn't GeoJSON is an error. The system that
     a collection's ``crs`` member names, or that of its first feature that has one, is returned as well.
     """
     kind = StructType([StructField("type", StringType()), StructField("coordinates", StringType())])
     if lines is None:
         first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
         lines = bool(first) and re.match(r'\s*\{.*"type"\s*:\s*"Feature"', first[0][0]) is not None
-    found = spark.read.json(path, multiLine=not lines).schema
-    # A collection may stand in one line, which names its features' type as well.
-    multi, lines = not lines, lines and "features" not in found.names
-    if lines and "geometry" in found.names:
-        feature = found
-    elif "features" in found.names and isinstance(found["features"].dataType, ArrayType):
-        feature = found["features"].dataType.elementType
-    else:
-        raise ValueError(f"{path} isn't GeoJSON: it has no features")
+    beside: list[str] = []
+    if not lines:
+        features, beside = feature_lines(spark, path)
+        path, source = fresh_path(spark, "features"), path
+        features.write.text(path)
+    found = spark.read.json(path).schema
+    if lines and "features" in found.names and "geometry" not in found.names:  # a collection may stand in one line, which names its features' type as well
+        return read_geojson(spark, path, lines=False)
+    said = [_members(t) for t in beside]
+    if not lines and not any(isinstance(m.get("features"), list) for m in said) or lines and "geometry" not in found.names:
+        raise ValueError(f"{path if lines else source} isn't GeoJSON: it has no features")
+    feature = found
     # Coordinates nest to different depths from shape to shape, so they are read as the text they are.
     own = feature["properties"].dataType if "properties" in feature.names else None
     names = own.names if isinstance(own, StructType) else []
     feature = StructType([*([feature["properties"]] if names else []), StructField("geometry", kind)])
-    if lines:
-        features = spark.read.schema(feature).json(path).select(F.struct("*").alias("f"))
-    else:
-        whole = StructType([StructField("features", ArrayType(feature))])
-        features = spark.read.schema(whole).json(path, multiLine=multi).select(F.explode("features").alias("f"))
+    features = spark.read.schema(feature).json(path).select(F.struct("*").alias("f"))
     shape = geo.st_geomfromgeojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates"))
-    named = "crs.properties.name"
-    has = lambda kind: isinstance(kind, StructType) and "crs" in kind.names and isinstance(kind["crs"].dataType, StructType) and "properties" in kind["crs"].dataType.names
-    said = spark.read.schema(StructType([found["crs"]])).json(path, multiLine=multi).where(f"{named} IS NOT NULL").select(named).limit(1).collect() if has(found) else []
     l = layer(features.select(*[F.col(f"f.properties.`{n}`").alias(n) for n in names], shape.alias("geometry")), "geometry")
-    return l, crs_named(said[0][0]) if said else None
+    named = next((n for m in said if (n := _system(m))), None)
+    if lines and "crs" in found.names:
+        first = spark.read.schema("crs struct<properties: struct<name: string>>").json(path).where("crs.properties.name IS NOT NULL").select("crs.properties.name").limit(1).collect()
+        named = first[0][0] if first else None
+    return l, crs_named(named) if named else None
+
+
+def _members(text: str) -> dict:
+    """A document's members; none if it isn't a JSON object."""
+    try:
+        found = json.loads(text.lstrip("\ufeff"))
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) else {}
+
+
+def _system(members: dict) -> str | None:
+    crs = members.get("crs")
+    named = crs.get("properties") if isinstance(crs, dict) else None
+    return named.get("name") if isinstance(named, dict) else None
 
 
 def crs_named(name: str) -> str:
