@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,11 @@ def union_by_name(top: Layer, bottom: Layer) -> Layer:
 def spatial_join(left: Layer, right: Layer, predicate: str = "intersects", distance: float | None = None, how: str = "inner", cell: float | None = None, suffix: str = "_right") -> Layer:
     """Rows of both whose geometries intersect, or are within ``distance`` (``predicate="dwithin"``).
 
-    Each envelope is filed under the squares of a grid that it touches, and rows meet by an equal square; a pair that
-    meets in several squares counts only in the one that holds the lower left corner of their envelopes' overlap.
-    Without ``cell`` the squares are as wide as the mean envelope of the side with the wider ones. Left rows
+    Squares have sides of powers of four. Each envelope is at home on the level of its own size, where it touches four squares
+    at most, and visits the coarser levels on which rows of the other side are at home: so a pair meets on the level of the
+    larger one, however different they are, and no envelope is cut into many squares. Of the squares of that level in which a
+    pair meets it counts in the one that holds the lower left corner of their envelopes' overlap. A square that is crowded on
+    one side is split there, and copied on the other, as adaptive execution sees fit. ``cell`` is a least side. Left rows
     without a partner stay with ``how="left"``; null and empty geometries meet nothing.
     """
     crs = same_crs(left, right)
@@ -68,34 +72,52 @@ def spatial_join(left: Layer, right: Layer, predicate: str = "intersects", dista
     reach = float(distance or 0) if predicate == "dwithin" else 0.0
     lg, rg = need_geometry(left), need_geometry(right)
     l = left.df.select("*", F.monotonically_increasing_id().alias("_left"), geo.st_bounds(col(lg)).alias("_b"))
-    if how == "left":  # two branches read the numbers, which must not change between them
-        l = written(l, "left")
     r = right.df.select("*", geo.st_bounds(col(rg)).alias("_b"))
-    if cell is None:
-        wide = F.avg(F.greatest(F.col("_b.maxx") - F.col("_b.minx"), F.col("_b.maxy") - F.col("_b.miny")))
-        cell = max(x.agg(wide).first()[0] or 0.0 for x in (l, r))
-        cell = max(cell, 2 * reach) or 1.0
+    l, r = l.withColumn("_l", _level(reach)), r.withColumn("_l", _level(0.0))
+    # Both are read several times; the rows' numbers and shapes must not change, nor be worked out again.
+    l, r = written(l, "left"), written(r, "right")
+    levels = [{x["_l"] for x in side.where("_b IS NOT NULL").select("_l").distinct().collect()} for side in (l, r)]
+    least = min([k for own in levels for k in own if k is not None], default=0)
+    least = max(least, math.ceil(math.log(cell, 4))) if cell else least
+    at_home = [sorted({max(least if k is None else k, least) for k in own}) for own in levels]
     names = {c: c for c in right.columns}
     for c in right.columns:
         while names[c] in left.columns:
             names[c] += suffix
-    lc, rc = _celled(l, cell, reach).alias("l"), _celled(r, cell, 0.0).alias("r")
-    corner = lambda lo: F.floor(F.greatest(F.col(f"l._b.{lo}") - reach, F.col(f"r._b.{lo}")) / cell)
-    once = (corner("minx") == F.col("l._cx")) & (corner("miny") == F.col("l._cy"))
     a, b = F.col(f"l.`{lg}`"), F.col(f"r.`{rg}`")
     meets = geo.st_intersects(a, b) if predicate == "intersects" else geo.st_distance(a, b) <= reach
     near = (F.col("l._b.minx") - reach <= F.col("r._b.maxx")) & (F.col("l._b.maxx") + reach >= F.col("r._b.minx")) & (F.col("l._b.miny") - reach <= F.col("r._b.maxy")) & (F.col("l._b.maxy") + reach >= F.col("r._b.miny"))
-    found = lc.join(rc, (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy"))).where(once & near).where(meets)
+    side = F.pow(F.lit(4.0), F.col("l._at"))
+    corner = lambda lo: F.floor(F.greatest(F.col(f"l._b.{lo}") - reach, F.col(f"r._b.{lo}")) / side)
+    once = (corner("minx") == F.col("l._cx")) & (corner("miny") == F.col("l._cy"))
+    square = (F.col("l._at") == F.col("r._at")) & (F.col("l._cx") == F.col("r._cx")) & (F.col("l._cy") == F.col("r._cy"))
     cols = [F.col(f"l.`{c}`").alias(c) for c in left.columns]
+    partner = [F.col(f"r.`{c}`").alias(n) for c, n in names.items()]
+    keep = [*cols, *partner] if how == "inner" else [F.col("l._left").alias("_left"), F.struct(*partner).alias("_r") if partner else F.lit(0).alias("_r")]
+
+    def met(lefts: DataFrame, rights: DataFrame) -> DataFrame:
+        return lefts.alias("l").join(rights.alias("r"), square).where(once & near).where(meets).select(*keep)
+
+    # Those at home on the right meet all on the left; those that only visit meet those at home on the left.
+    found = met(_filed(l, reach, least, at_home[1], home=True), _filed(r, 0.0, least, [], home=True))
+    if any(y > x for y in at_home[0] for x in at_home[1]):
+        found = found.unionByName(met(_filed(l, reach, least, [], home=True), _filed(r, 0.0, least, at_home[0], home=False)))
     if how == "inner":
-        return layer(found.select(*cols, *[F.col(f"r.`{c}`").alias(n) for c, n in names.items()]), lg, crs)
-    partners = found.select(F.col("l._left").alias("_left"), F.struct(*[F.col(f"r.`{c}`").alias(n) for c, n in names.items()]).alias("_r"))
-    out = l.join(partners, "_left", "left")
+        return layer(found, lg, crs)
+    out = l.join(found, "_left", "left")
     return layer(out.select(*map(col, left.columns), *[F.col(f"_r.`{n}`").alias(n) for n in names.values()]), lg, crs)
 
 
-def _celled(df: DataFrame, cell: float, reach: float) -> DataFrame:
-    """A row for each square that the envelope, widened by ``reach``, touches."""
-    span = lambda lo, hi: F.sequence(F.floor((F.col(f"_b.{lo}") - reach) / cell), F.floor((F.col(f"_b.{hi}") + reach) / cell))
-    df = df.where("_b IS NOT NULL").withColumn("_cx", F.explode(span("minx", "maxx")))
-    return df.withColumn("_cy", F.explode(span("miny", "maxy")))
+def _level(reach: float):
+    """The power of four that an envelope, widened by ``reach``, fits in; null for a point, which fits anywhere."""
+    size = F.greatest(F.col("_b.maxx") - F.col("_b.minx"), F.col("_b.maxy") - F.col("_b.miny")) + 2 * reach
+    return F.when(size > 0, F.ceil(F.log(4.0, size))).cast("int")
+
+
+def _filed(df: DataFrame, reach: float, least: int, others: list[int], home: bool) -> DataFrame:
+    """A row for each square that the envelope, widened by ``reach``, touches at home, if wanted, and on coarser levels of ``others``."""
+    own = F.greatest(F.coalesce(F.col("_l"), F.lit(least)), F.lit(least))
+    above = F.filter(F.array(*[F.lit(k) for k in others]).cast("array<int>"), lambda k: k > F.col("_own"))
+    df = df.where("_b IS NOT NULL").withColumn("_own", own).withColumn("_at", F.explode(F.concat(F.array("_own"), above) if home else above))
+    span = lambda lo, hi: F.sequence(F.floor((F.col(f"_b.{lo}") - reach) / F.pow(F.lit(4.0), F.col("_at"))), F.floor((F.col(f"_b.{hi}") + reach) / F.pow(F.lit(4.0), F.col("_at"))))
+    return df.withColumn("_cx", F.explode(span("minx", "maxx"))).withColumn("_cy", F.explode(span("miny", "maxy")))
