@@ -44,7 +44,7 @@ def register(spark: SparkSession | None = None) -> None:
     for name, kind in _TIFF.items():
         spark.udf.registerJavaFunction(f"geo_tiff{name.lower()}", f"geoloom.Tiff${name}", kind)
     spark.udf.registerJavaFunction("geo_footer", "geoloom.Footer", "long")
-    for name in ("Union", "Extent"):
+    for name in ("Union", "Extent", "Hull"):
         spark.udf.registerJavaUDAF(f"st_{name.lower()}_agg", f"geoloom.Aggregates${name}Agg")
     text = [(f"st_{n}", "g BINARY", "BINARY", f"geo_shape('{n}', g, 0D)") for n in SHAPES]
     text += [(f"st_{n}", "g BINARY, a DOUBLE", "BINARY", f"geo_shape('{n}', g, a)") for n in SIZED]
@@ -133,6 +133,12 @@ def st_hull(shapes: Column) -> Column:
     return _call("hull", shapes)
 
 
+def st_hull_agg(g: Column) -> Column:
+    """The convex hull of a group's shapes, of which no more than the hull so far is kept."""
+    register()
+    return F.call_function("st_hull_agg", g)
+
+
 def st_transform(g: Column, source: str, target: str) -> Column:
     return g if source == target else _call("transform", g, source, target)
 

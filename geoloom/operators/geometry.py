@@ -33,12 +33,11 @@ def point_on_surface(l: Layer) -> Layer:
 
 
 def convex_hull(l: Layer, scope: str = "Each feature") -> Layer:
-    """Each feature's hull, or with ``Whole layer`` one row: the hull of the hulls of parts of the layer."""
+    """Each feature's hull, or with ``Whole layer`` one row: each task keeps the hull of what it has seen, and these meet."""
     g = col(need_geometry(l))
     if scope == "Each feature":
         return _replaced(l, geo.st_shape("convex_hull", g))
-    parts = l.df.groupBy(F.pmod(F.xxhash64(g), F.lit(256)).alias("_p")).agg(geo.st_hull(F.collect_list(geo.st_shape("convex_hull", g))).alias("_h"))
-    return layer(parts.agg(geo.st_hull(F.collect_list("_h")).alias(l.geometry)), l.geometry, l.crs)
+    return layer(l.df.agg(geo.st_hull_agg(g).alias(l.geometry)), l.geometry, l.crs)
 
 
 def min_rectangle(l: Layer) -> Layer:

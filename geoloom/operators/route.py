@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from geoloom.cluster import written
 from geoloom.functions import geo
 from geoloom.functions.values import Condition, col, comparison, literal, predicate
 from geoloom.layer import Layer, need_columns, need_geometry
@@ -52,13 +53,19 @@ def attribute_filter(layer: Layer, column: str | None, values: Sequence[Any]) ->
 def duplicate_filter(layer: Layer, keys: Sequence[str], order: Sequence[Column | str] | None = None) -> dict[str, Layer]:
     """``unique``, one row for each key, and ``duplicate``, the others; nulls are one key. Without keys all are unique.
 
-    ``order`` says which row is the first of its key; without it the hash of the whole row does, so that both ports
-    agree. Nulls are one key. For the first port Spark keeps only the first row of each key before it shuffles.
+    ``order`` says which row is the first of its key; without it the hash of the whole row does. Rows are written with
+    numbers, so that both ports agree; only keys, orders and numbers are shuffled, and of each key no more than its first row
+    from each task, so that a key with most of the rows weighs no more than others. The ports take rows by their numbers.
     """
     if not keys:
         return {"unique": layer, "duplicate": layer.with_df(layer.df.where(F.lit(False)))}
     need_columns(layer.df, list(keys))
-    return _first_of(layer, [col(k) for k in keys], order)
+    order = order or [F.xxhash64(*map(col, layer.columns))]
+    rows = written(layer.df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    first = F.row_number().over(Window.partitionBy(*[col(k) for k in keys]).orderBy(*order, "_row"))
+    heads = written(rows.withColumn("_n", first).where("_n = 1").select("_row"), "heads")
+    port = lambda how: layer.with_df(rows.join(heads, "_row", how).select(*map(col, layer.columns)))
+    return {"unique": port("left_semi"), "duplicate": port("left_anti")}
 
 
 def eliminate_coincident_points(layer: Layer, tolerance: float = 1e-5, order: Sequence[Column | str] | None = None) -> Layer:
@@ -67,13 +74,9 @@ def eliminate_coincident_points(layer: Layer, tolerance: float = 1e-5, order: Se
         raise ValueError("the tolerance must be above 0")
     g = col(need_geometry(layer))
     by = [F.round(f(g) / tolerance) for f in (geo.st_x, geo.st_y)]
-    return _first_of(layer, by, order)["unique"]
-
-
-def _first_of(layer: Layer, by: list[Column], order: Sequence[Column | str] | None) -> dict[str, Layer]:
     order = order or [F.xxhash64(*map(col, layer.columns))]
-    numbered = layer.df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    return {"unique": layer.with_df(numbered.where("_n = 1").drop("_n")), "duplicate": layer.with_df(numbered.where("_n > 1").drop("_n"))}
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return layer.with_df(layer.df.withColumn("_n", first).where("_n = 1").drop("_n"))
 
 
 def filter_by_area(layer: Layer, min: float | None = 0, max: float | None = None) -> dict[str, Layer]:

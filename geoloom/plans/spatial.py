@@ -47,6 +47,16 @@ def hull_each(spark, d) -> DataFrame:
     return out.select("s_suppkey", F.round(geo.st_area(F.col("geometry")), 6).alias("area"))
 
 
+def hull_all(spark, d) -> DataFrame:
+    """The hull of all customers: its bounds, that it is convex, and that nobody is outside."""
+    c = customers(spark, d)
+    hull = geometry.convex_hull(c, "Whole layer").df.select(F.col("geometry").alias("hull"))
+    b = geo.st_bounds(F.col("hull"))
+    outside = c.df.crossJoin(F.broadcast(hull)).where(geo.st_distance(F.col("geometry"), F.col("hull")) > 1e-9)  # one row for all
+    measured = hull.select(b["minx"].alias("minx"), b["miny"].alias("miny"), b["maxx"].alias("maxx"), b["maxy"].alias("maxy"), (F.abs(geo.st_area(geo.st_shape("convex_hull", F.col("hull"))) - geo.st_area(F.col("hull"))) < 1e-6).alias("convex"))
+    return measured.crossJoin(F.broadcast(outside.agg(F.count("*").alias("outside"))))
+
+
 def simplify_densify(spark, d) -> DataFrame:
     l = geometry.densify(boxes(spark, d), 0.75)
     slim = geometry.simplify(l, 0.01)
@@ -174,7 +184,7 @@ def h3_polygon_cells(spark, d) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (h3_cell_shapes, h3_polygon_cells, measures_box, area_filter, bbox_features, bbox_all, hull_each, simplify_densify, buffer_points, reproject_mercator, dissolve_grid, spatial_join_points_boxes, overlay_grid, overlay_memberships, vertex_points, raster_sample, raster_areas, geojson_text, geometry_report, point_duplicates)
+    for f in (h3_cell_shapes, h3_polygon_cells, measures_box, area_filter, bbox_features, bbox_all, hull_all, hull_each, simplify_densify, buffer_points, reproject_mercator, dissolve_grid, spatial_join_points_boxes, overlay_grid, overlay_memberships, vertex_points, raster_sample, raster_areas, geojson_text, geometry_report, point_duplicates)
 }
 
 _P = "(SELECT *, CAST(((c_custkey * 7919) % 36000) / 100.0 - 180 AS DOUBLE) AS lon, CAST(((c_custkey * 104729) % 17000) / 100.0 - 85 AS DOUBLE) AS lat FROM customer)"
@@ -216,6 +226,7 @@ ORACLES = {
     "area_filter": f"SELECT CASE WHEN {_AREA} BETWEEN 2000000 AND 9000000 THEN 'kept' ELSE 'removed' END AS port, s_suppkey FROM {_B}",
     "bbox_features": f"SELECT s_suppkey, x AS minx, y AS miny, x + w AS maxx, y + h AS maxy FROM {_B}",
     "bbox_all": f"SELECT min(x) AS minx, min(y) AS miny, max(x + w) AS maxx, max(y + h) AS maxy FROM {_B}",
+    "hull_all": f"SELECT min(lon) AS minx, min(lat) AS miny, max(lon) AS maxx, max(lat) AS maxy, true AS convex, CAST(0 AS BIGINT) AS outside FROM {_P}",
     "hull_each": f"SELECT s_suppkey, round(w * h, 6) AS area FROM {_B}",
     "simplify_densify": f"SELECT s_suppkey, CAST(2 * (floor(w / 0.75) + 1) + 2 * (floor(h / 0.75) + 1) + 1 AS INTEGER) AS dense, round(w * h, 6) AS area, CAST(5 AS INTEGER) AS slim FROM {_B}",
     "buffer_points": "SELECT c_custkey, round(16 * 0.25 * sin(2 * pi() / 32), 6) AS area FROM customer",

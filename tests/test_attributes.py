@@ -178,3 +178,15 @@ def test_profile_of_geometry_and_bytes(spark):
     assert [r.geometry for r in s] == ["POINT (2 1)", "POINT (5 2)"] and s[0].raw == "(binary)" and s[1].raw is None and s[0].t == "a" * 80 + "…"
     none = {r.column: r for r in profile.profile(l.with_df(l.df.limit(0))).collect()}
     assert none["k"].null_share == 0 and none["k"].distinct == 0 and none["k"].top == [] and none["geometry"].extent is None
+
+
+def test_duplicates_of_a_hot_key(spark):
+    """Nine tenths of the rows, and all without a key, fall under one; both ports together are the rows, repeats too."""
+    rows = [(k % 10 == 0 and k or 1, k % 3, "x") for k in range(500)] + [(None, 5, "y")] * 40 + [(1, 0, "x")] * 3
+    df = spark.createDataFrame(rows, "key int, v int, _n string").repartition(7)
+    for order in (None, ["v"], [F.desc("v")]):
+        ports = route.duplicate_filter(layer(df), ["key"], order)
+        unique, rest = ([tuple(r) for r in ports[p].df.collect()] for p in ("unique", "duplicate"))
+        assert sorted(map(str, unique + rest)) == sorted(map(str, rows))
+        assert sorted((u[0] is None, u[0] or 0) for u in unique) == sorted({(r[0] is None, r[0] or 0) for r in rows})
+    assert {u[0]: u[1] for u in unique}[1] == 2 and ports["unique"].columns == ["key", "v", "_n"]
