@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.cluster import written
@@ -34,7 +34,8 @@ def overlay(
     ambiguous_face, or raise with ``ambiguous="Fail"``.
 
     The plane is divided into tiles of a bounded number of polygons, which are cut in parallel; faces that a tile's edge
-    cuts are joined again, so that a crowded layer is many tasks. Holes that nobody covers are no faces.
+    cuts are joined again, so that a crowded layer is many tasks. Equal shapes are cut as one. Holes that nobody covers are no
+    faces.
     """
     if not is_lon_lat(l.crs):
         raise ValueError("the overlay needs a lon/lat layer")
@@ -46,8 +47,11 @@ def overlay(
     rows = rows.withColumn("_shape", shape).withColumn("_name", name)
     code = F.when(col(g).isNull(), "no_geometry").when(F.size(geo.st_polygons(F.col("_shape"))) == 0, "no_polygon")
     if id_attribute:
-        same = Window.partitionBy(*([col(layer_attribute)] if layer_attribute else []), "_name")
-        code = code.when(F.col("_name").isNull(), "missing_id").when(F.count(F.lit(1)).over(same) > 1, "duplicate_id")
+        # Names are counted apart, so that neither rows without one nor those of one name gather in a task.
+        of = col(layer_attribute) if layer_attribute else F.lit(0)
+        twice = rows.where("_name IS NOT NULL").groupBy(of.alias("_of"), F.col("_name").alias("_said")).agg(F.count("*").alias("_times")).where("_times > 1")
+        rows = rows.withColumn("_own", of).join(twice, F.expr("_own <=> _of AND _name = _said"), "left").drop("_own", "_of", "_said")
+        code = code.when(F.col("_name").isNull(), "missing_id").when(F.col("_times").isNotNull(), "duplicate_id")
     if invalid != "Repair":
         code = code.when(geo.st_measure("is_valid", col(g)) == 0, "invalid_geometry")
     rows = written(rows.withColumn("rejection_code", code), "overlay")
@@ -55,7 +59,7 @@ def overlay(
     good = rows.where("rejection_code IS NULL")
 
     parts = good.select("_fid", F.explode(geo.st_polygons(F.col("_shape"))).alias("_part")).withColumn("_b", geo.st_bounds(F.col("_part")))
-    parts = written(parts, "parts")
+    parts, stacked = _folded(written(parts, "parts"))
     ends = parts.agg(F.min("_b.minx").alias("a"), F.min("_b.miny").alias("b"), F.max("_b.maxx").alias("c"), F.max("_b.maxy").alias("d")).first()
     tau = max(ends["c"] - ends["a"], ends["d"] - ends["b"], 1.0) * TOLERANCE if ends["a"] is not None else TOLERANCE
     faces = written(_faces(parts, tau), "faces")
@@ -66,8 +70,14 @@ def overlay(
     sure = faces.where("certain").select("wkb", "ids", b.alias("_b"))
     sure = numbered(sure.select("wkb", "ids", "_b.*"), "face_id", ["minx", "miny", "maxx", "maxy", "ids"]).withColumn("face_id", F.col("face_id") - 1)
     sure = written(sure, "faces")
-    members = sure.select("face_id", F.explode("ids").alias("_fid")).join(good.drop("_shape"), "_fid")
-    face = sure.select("face_id", F.size("ids").cast("long").alias(count_attribute), F.col("wkb").alias(g))
+    covers, depth = sure.select("face_id", F.explode("ids").alias("_fid")), F.size("ids").cast("long")
+    if stacked is not None:
+        one, more = covers.where("_fid >= 0"), covers.join(stacked, F.col("_fid") == F.col("_class")).select("face_id", F.col("_member").alias("_fid"))
+        covers = one.unionByName(more).distinct()
+        sure = sure.join(covers.groupBy(F.col("face_id").alias("_face")).agg(F.count("*").alias("_depth")), F.col("face_id") == F.col("_face"))
+        depth = F.col("_depth")
+    members = covers.join(good.drop("_shape"), "_fid")
+    face = sure.select("face_id", depth.alias(count_attribute), F.col("wkb").alias(g))
     if accumulate:
         lists = members.groupBy("face_id").agg(*[F.array_join(F.array_sort(F.collect_set(col(a).cast("string"))), separator).alias(a) for a in accumulate])
         face = face.join(lists, "face_id")
@@ -82,6 +92,22 @@ def overlay(
     }
 
 
+def _folded(parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``parts`` with one row for equal ones, under a number below 0 of their own, and who is meant by it: ``_class, _member``.
+
+    A stack of equal shapes is cut as one, however high it is.
+    """
+    same = parts.select("_fid", geo.st_shape("normal", F.col("_part")).alias("_same"))
+    stacks = same.groupBy("_same").agg(F.count("*").alias("_n")).where("_n > 1")
+    stacks = written(stacks.select("_same", (-1 - F.monotonically_increasing_id()).alias("_class"), geo.st_bounds(F.col("_same")).alias("_b")), "stacks")
+    if stacks.isEmpty():
+        return parts, None
+    met = same.join(stacks, "_same")
+    members = written(met.select("_class", F.col("_fid").alias("_member")).distinct(), "members")
+    alone = parts.withColumn("_same", geo.st_shape("normal", F.col("_part"))).join(stacks.select("_same"), "_same", "left_anti").select("_fid", "_part", "_b")
+    return written(alone.unionByName(stacks.select(F.col("_class").alias("_fid"), F.col("_same").alias("_part"), "_b")), "parts"), members
+
+
 def _faces(parts: DataFrame, tau: float) -> DataFrame:
     """``wkb, certain, ids`` of every face: those of tiles, joined again where a tile's edge cuts them."""
     tiled, box = _tiled(parts, tau)
