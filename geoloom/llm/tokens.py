@@ -112,9 +112,9 @@ class Words(dict):
             self.starts.append(len(self.flat))
         self.pending.clear()
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and how many each text has."""
-        if len(self) > REMEMBERED:
+        if len(self) > remembered:
             self.forget()
         look = self.__getitem__
         places = []
@@ -154,11 +154,12 @@ def _row(ids: np.ndarray, names: pa.Array, lengths: np.ndarray) -> pa.RecordBatc
 _COLUMNS = ["ids", "lengths", "symbols", "counts", "tokens", "words", "crcs", "states", "payload", "n"]
 
 
-def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> None:
+def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, remembered: int = REMEMBERED) -> None:
     """Tokenise every whole text and write the ids, ascending by document id, below ``path``.
 
     Null texts count as empty and yield the end id alone. Null ids come first. Rows that share an id stay in the order
     of their texts' hash. An empty table writes no segment. The tokenizer's file must be at the same place everywhere.
+    ``remembered`` words are kept in a worker with their ids: fewer take less memory and more time.
     """
     tokenizer = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -169,7 +170,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         size = 0
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                ids, lengths = known.encode(b.column(1).to_pylist())
+                ids, lengths = known.encode(b.column(1).to_pylist(), remembered)
                 parts.append((ids, b.column(0), lengths))
                 size += len(ids)
                 if size >= SEGMENT:
@@ -224,9 +225,9 @@ def read_tokens(spark, path: str, kind: str = "bigint") -> DataFrame:
     return docs.join(heads, "segment").select("id", (F.col("inside") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, path: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Write the files (below ``path``, or a fresh one in the shared folder) and read the table of documents back."""
     path = path or fresh_path(docs.sparkSession, "tokens")
-    write_tokens(docs, path, id_col, text_col, tokenizer)
+    write_tokens(docs, path, id_col, text_col, tokenizer, remembered)
     out = read_tokens(docs.sparkSession, path, docs.schema[id_col].dataType.simpleString())
     return out.withColumnRenamed("id", id_col)
