@@ -15,6 +15,9 @@ from geoloom.llm.queries import learned_labels
 ROWS_AT_A_TIME, BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: Words that a worker of the last stage remembers: fewer than alone, as the executors' heaps have grown by then.
+REMEMBERED = 300_000
+
 #: Tables that the stage before wrote for itself. Its result is written before the next one begins, and then they go.
 _left: list[str] = []
 
@@ -69,7 +72,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @partial(bounded, last=True)
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's place, length and checksum, read back from the packed files of token ids."""
-    return written(tokens.packed(docs), "token_output")
+    return written(tokens.packed(docs, remembered=REMEMBERED), "token_output")
 
 
 STAGES = [("good_quality", good_quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixture", mixture), ("token_output", token_output)]
