@@ -45,6 +45,44 @@ def aggregate(l: Layer, group_by: Sequence[str] = (), aggregates: Sequence[tuple
     return layer(joined, l.geometry, l.crs)
 
 
+def order_statistics(l: Layer, column: str, group_by: Sequence[str] = ()) -> DataFrame:
+    """``group_by``, and of a numeric column ``_count``, ``_median`` and ``_mode``, exactly, for groups of any size.
+
+    No group is held in one place, as the aggregates of the same names hold their distinct values: equal values of a group are
+    counted as one, all are put in order by group and value over many tasks, and running counts, of which only the tasks' sums
+    meet, tell every value's ranks. The median is the mean of the two middle ranks, the mode the most frequent value, of
+    equally frequent ones the least. Nulls and no numbers are left out; a group without a number has a count of 0 and nulls.
+    Without ``group_by`` all rows are one group, and no rows give no group.
+    """
+    need_columns(l.df, [column, *group_by])
+    by = [f"_g{k}" for k in range(len(group_by))] or ["_g0"]
+    rows = l.df.select(*([col(c).alias(b) for c, b in zip(group_by, by, strict=False)] or [F.lit(0).alias("_g0")]), col(column).cast("double").alias("_v"))
+    cells = written(rows.groupBy(*by, F.when(~F.isnan("_v"), F.col("_v")).alias("_v")).agg(F.count("_v").alias("_n")), "cells")
+    found = cells.where("_v IS NOT NULL")
+    # Rows in order, numbered by part and place; each part's window is one task's share.
+    order = written(found.repartitionByRange(*by, "_v").sortWithinPartitions(*by, "_v").withColumn("_m", F.monotonically_increasing_id()), "order")
+    part = F.shiftright("_m", 33)
+    sums = order.groupBy(part.alias("_p")).agg(F.sum("_n").alias("_s"))
+    sums = sums.select("_p", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = order.withColumn("_p", part).withColumn("_inside", upto).join(F.broadcast(sums), "_p").select(*by, "_v", "_n", (F.col("_before") + F.col("_inside")).alias("_last"))
+    ranks = written(ranks, "ranks")
+    # A group's ranks begin after the last of the group before it.
+    groups = ranks.groupBy(*by).agg(F.sum("_n").alias("_count"), (F.max("_last") - F.sum("_n")).alias("_start"), F.min_by("_v", F.struct(-F.col("_n"), "_v")).alias("_mode"))
+    same = [F.col(f"r.{b}").eqNullSafe(F.col(f"g.{b}")) for b in by]
+    place = lambda up: F.col("g._start") + F.floor((F.col("g._count") + up) / 2)
+    holds = lambda r: (F.col("r._last") >= r) & (F.col("r._last") - F.col("r._n") < r)
+    middle = ranks.alias("r").join(groups.alias("g"), same).where(holds(place(1)) | holds(place(2)))
+    # Both middle ranks are in one cell, or in two.
+    middle = middle.groupBy(*[F.col(f"g.{b}").alias(b) for b in by]).agg(F.avg("r._v").alias("_median"))
+    out = cells.select(*by).distinct().alias("a")
+    for k, (side, name) in enumerate(((groups, "_count"), (middle, "_median"))):
+        other = side.select(*[F.col(b).alias(f"{b}_{k}") for b in by], *(["_count", "_mode"] if name == "_count" else ["_median"]))
+        out = out.join(other, [F.col(b).eqNullSafe(F.col(f"{b}_{k}")) for b in by], "left").drop(*[f"{b}_{k}" for b in by])
+    names = [F.col(b).alias(c) for c, b in zip(group_by, by, strict=False)]
+    return out.select(*names, F.coalesce("_count", F.lit(0)).alias(f"{column}_count"), F.col("_median").alias(f"{column}_median"), F.col("_mode").alias(f"{column}_mode"))
+
+
 def quoted(name: str) -> str:
     return f"`{name}`"
 

@@ -148,6 +148,18 @@ def stats_complete(spark, d):
     return _stats(spark, d, "complete").select("l_orderkey", "l_linenumber", "l_quantity_mean", "l_quantity_range", "l_quantity_value_count")
 
 
+def stats_modes(spark, d):
+    """Mode and median as aggregates, where values are few."""
+    out = summarise.statistics(read(spark, d, "lineitem"), ["l_linestatus"], ["l_quantity"], ["Mode", "Median"])["summary"].df
+    return out.select("l_linestatus", F.round("l_quantity_mode", 6).alias("l_quantity_mode"), F.round("l_quantity_median", 6).alias("l_quantity_median"))
+
+
+def order_statistics(spark, d):
+    """Medians and modes by ranks, of prices that hardly repeat, in groups that hold a third of all rows or more."""
+    out = summarise.order_statistics(read(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag"])
+    return out.select("l_returnflag", "l_extendedprice_count", F.round("l_extendedprice_median", 6).alias("median"), F.round("l_extendedprice_mode", 6).alias("mode"))
+
+
 def correlation(spark, d):
     return summarise.correlation(read(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).df.withColumn("r", F.round("r", 6))
 
@@ -215,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         tester_and_or, tester_null_failed, test_filter_ports, attribute_filter_ports, keeper, remover, renamer, creator_formula, creator_sql, manager_edits, convert_try, sql_cte, sql_window,
-        sql_recursive, join_inner, join_left, join_full, unjoined_left, unjoined_right, union_by_name, agg_all, stats_summary, stats_complete, correlation, histogram, unique_values, duplicate_ports,
+        sql_recursive, join_inner, join_left, join_full, unjoined_left, unjoined_right, union_by_name, agg_all, stats_summary, stats_complete, stats_modes, order_statistics, correlation, histogram, unique_values, duplicate_ports,
         coincident_points, sampler_every_nth, sort_topn, column_profile, column_categories, column_suggestions, sample_rows, h3_positional, h3_parent_rollup,
     )
 }
@@ -248,6 +260,8 @@ ORACLES = {
     "unjoined_right": f"SELECT o_orderkey, o_custkey, c_name FROM {_J} o WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)",
     "union_by_name": "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT NULL, r_name, r_regionkey FROM region",
     "agg_all": "SELECT l_returnflag, l_linestatus, count(*) AS count_all, round(sum(l_extendedprice), 2) AS total, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity, round(avg(l_discount), 8) AS mean_l_discount, CAST(median(l_quantity) AS DOUBLE) AS median_l_quantity, count(DISTINCT l_partkey) AS count_distinct_l_partkey FROM lineitem GROUP BY ALL",
+    "stats_modes": "SELECT l_linestatus, round(CAST(v AS DOUBLE), 6) AS l_quantity_mode, round(m, 6) AS l_quantity_median FROM (SELECT l_linestatus, l_quantity AS v, row_number() OVER (PARTITION BY l_linestatus ORDER BY count(*) DESC, l_quantity) AS r FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_linestatus, l_quantity) x JOIN (SELECT l_linestatus AS k, median(l_quantity) AS m FROM lineitem GROUP BY l_linestatus) y ON l_linestatus = k WHERE r = 1",
+    "order_statistics": "SELECT l_returnflag, n AS l_extendedprice_count, round(m, 6) AS median, round(CAST(v AS DOUBLE), 6) AS mode FROM (SELECT l_returnflag, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_extendedprice) AS r FROM lineitem WHERE l_extendedprice IS NOT NULL GROUP BY l_returnflag, l_extendedprice) x JOIN (SELECT l_returnflag AS k, median(l_extendedprice) AS m, count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag) y ON l_returnflag = k WHERE r = 1",
     "stats_summary": "SELECT l_returnflag, round(min(l_quantity), 6) AS l_quantity_minimum, round(max(l_quantity), 6) AS l_quantity_maximum, round(sum(l_quantity), 6) AS l_quantity_sum, round(avg(l_quantity), 6) AS l_quantity_mean, round(median(l_quantity), 6) AS l_quantity_median, round(max(l_quantity) - min(l_quantity), 6) AS l_quantity_range, round(stddev_samp(l_quantity), 6) AS l_quantity_standard_deviation, round(stddev_pop(l_quantity), 6) AS l_quantity_standard_deviation_population, count(*) AS l_quantity_total_count, count(l_quantity) AS l_quantity_numeric_count, count(DISTINCT l_quantity) AS l_quantity_value_count FROM lineitem GROUP BY l_returnflag",
     "stats_complete": "SELECT l_orderkey, l_linenumber, round(avg(l_quantity) OVER w, 6) AS l_quantity_mean, round(max(l_quantity) OVER w - min(l_quantity) OVER w, 6) AS l_quantity_range, d.l_quantity_value_count FROM lineitem JOIN (SELECT l_returnflag, count(DISTINCT l_quantity) AS l_quantity_value_count FROM lineitem GROUP BY l_returnflag) d USING (l_returnflag) WINDOW w AS (PARTITION BY l_returnflag)",
     "correlation": "SELECT a, b, round(r, 6) AS r, n FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r, count(*) AS n FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount), count(*) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount), count(*) FROM lineitem)",

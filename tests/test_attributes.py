@@ -190,3 +190,22 @@ def test_duplicates_of_a_hot_key(spark):
         assert sorted(map(str, unique + rest)) == sorted(map(str, rows))
         assert sorted((u[0] is None, u[0] or 0) for u in unique) == sorted({(r[0] is None, r[0] or 0) for r in rows})
     assert {u[0]: u[1] for u in unique}[1] == 2 and ports["unique"].columns == ["key", "v", "_n"]
+
+
+def test_order_statistics_against_the_aggregates(spark):
+    """Every value different, one group with most rows, repeats, nulls, no numbers, a group without any."""
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    rows = [("a", rng.random()) for _ in range(2001)] + [("b", float(rng.randint(0, 5))) for _ in range(400)] + [(None, v) for v in (1.0, 2.0, 2.0, 7.0)] + [("c", None), ("c", float("nan")), ("d", 4.0), ("b", None)]
+    l = layer(spark.createDataFrame(rows, "g string, v double").repartition(9))
+    got = {r.g: (r.v_count, r.v_median, r.v_mode) for r in summarise.order_statistics(l, "v", ["g"]).collect()}
+    for g in ("a", "b", None, "d"):
+        own = sorted(v for k, v in rows if k == g and v is not None)
+        most = max(own.count(v) for v in set(own)) if g != "a" else 1
+        assert got[g] == (len(own), pytest.approx(statistics.median(own)), min(v for v in own if g == "a" or own.count(v) == most))
+    assert got["c"] == (0, None, None) and len(got) == 5
+    whole = summarise.order_statistics(l, "v").collect()
+    assert len(whole) == 1 and whole[0].v_median == pytest.approx(statistics.median(v for _, v in rows if v is not None and v == v))
+    assert summarise.order_statistics(l.with_df(l.df.limit(0)), "v", ["g"]).count() == 0
