@@ -148,7 +148,16 @@ def filtered(pages: DataFrame, rules: list[tuple[str, str]] = RULES, url_col: st
 
     judge = F.pandas_udf(run, "rule string, verdict string")
     out = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
-    return out.withColumn("_judged", judge("host", "path")).withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    own = _unused(out, "_judged")
+    return out.withColumn(own, judge("host", "path")).withColumns({"rule": F.col(own)["rule"], "verdict": F.col(own)["verdict"]}).drop(own)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _send(spark: SparkSession, name: str, data: bytes) -> None:
@@ -175,6 +184,6 @@ def joined(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: st
     probes = distinct.where("host <> ''").select("host", "path", F.explode(domains).alias("_d"))
     probes = probes.select("host", "path", "_d", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")).alias("_n")).where(F.length("path") >= F.col("_n"))
     probes = probes.select("host", "path", F.length("_d").alias("_l"), "_n", F.concat("_d", F.substring("path", F.lit(1), F.col("_n"))).alias("_probe")).withColumn("_key", F.xxhash64("_probe"))
-    hits = probes.join(last, "_key").where("_probe = rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "_v"), F.struct("_l", "_n")).alias("_hit"))
+    hits = probes.join(last, "_key").where("_probe = rule").groupBy("host", "path").agg(F.max_by(F.struct("rule", "_v"), F.struct("_l", "_n")).alias(own := _unused(out, "_hit")))
     out = out.join(hits, ["host", "path"], "left")
-    return out.withColumns({"rule": F.col("_hit.rule"), "verdict": F.coalesce("_hit._v", F.lit(default))}).drop("_hit")
+    return out.withColumns({"rule": F.col(own)["rule"], "verdict": F.coalesce(F.col(own)["_v"], F.lit(default))}).drop(own)

@@ -42,3 +42,10 @@ def test_sql_gives_the_same(spark, sf):
     want = con.execute(f"select page_id, host, path, rule, verdict from ({queries.OP1_SQL}) order by 1").fetchall()
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in queries.op1_url_filter(spark, sf).select("page_id", "host", "path", "rule", "verdict").collect())
     assert [tuple(r) for r in want] == got or sorted(want, key=lambda r: r[0]) == sorted(got, key=lambda r: r[0])
+
+
+def test_columns_of_the_users_stay(spark):
+    rows = [(1, "http://com/en/", 7, 8, 9), (2, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _judged int, _hit int, _judged_ int")
+    for got in (urls.filtered(pages), urls.joined(pages, spark.createDataFrame(urls.RULES, "rule string, verdict string"))):
+        assert sorted((r.page_id, r["_judged"], r["_hit"], r["_judged_"], r.verdict) for r in got.collect()) == [(1, 7, 8, 9, "block"), (2, None, None, None, "allow")]
