@@ -104,6 +104,35 @@ def zarr_plan(meta: ArrayMeta, pins: dict[str, int] | None = None, window: tuple
     return {"rows": math.ceil(rows / step) * math.ceil(cols / step), "chunks": chunks, "bytes": chunks * math.prod(meta.chunks) * np.dtype(meta.dtype).itemsize}
 
 
+def default_plan(meta: ArrayMeta, rows: int = 200_000, size: int = 256 << 20) -> dict:
+    """Pins, window and step that show an array of any size: ``pins, window, step, narrowed``.
+
+    Other dimensions are pinned at 0. The window is the whole array if its chunks are at most ``size`` bytes, unpacked; else
+    the square of whole chunks in its middle that is, at least one chunk. The step is the least that leaves at most about
+    ``rows`` cells of it.
+    """
+    y, x = meta.axes
+    each = math.prod(meta.chunks) * np.dtype(meta.dtype).itemsize
+    side = max(1, math.isqrt(max(size // each, 1)))
+
+    def middle(axis: int) -> tuple[int, int]:
+        length, chunk = meta.shape[axis], meta.chunks[axis]
+        span = min(length, side * chunk)
+        first = (length - span) // 2 // chunk * chunk
+        return first, min(span, length - first)
+
+    (r0, n), (c0, m) = middle(y), middle(x)
+    pins = {d: 0 for k, d in enumerate(meta.dims) if k not in (y, x)}
+    step = max(1, math.ceil(math.sqrt(n * m / rows))) if rows else 1
+    return {"pins": pins, "window": (r0, c0, n, m), "step": step, "narrowed": n < meta.shape[y] or m < meta.shape[x]}
+
+
+def preview_zarr(spark: SparkSession, path: str, rows: int = 200_000, size: int = 256 << 20, **options) -> Layer:
+    """``read_zarr`` by the default plan: an array of any size, within a budget of cells and of bytes that are read."""
+    plan = default_plan(array_meta(spark, path.rstrip("/")), rows, size)
+    return read_zarr(spark, path, pins=plan["pins"], window=plan["window"], step=plan["step"], **options)
+
+
 def read_zarr(
     spark: SparkSession, path: str, pins: dict[str, int] | None = None, window: tuple[int, int, int, int] | None = None, step: int = 1, geometry: str = "point", skip_nodata: bool = True, value: str = "value", crs: str | None = None
 ) -> Layer:

@@ -228,6 +228,8 @@ def test_zarr(spark, version):
     got = {(r.y_index, r.x_index): r.value for r in l.df.collect()}
     want = {(y, x): cube[1, y, x] * 0.5 + 1 for y in range(5) for x in range(7) if cube[1, y, x] != -1 and (y, x) != (4, 6)}
     assert got == want and l.crs == "EPSG:3857"
+    some = {(r.y_index, r.x_index): r.value for r in arrays.preview_zarr(spark, d, rows=9).df.collect()}
+    assert some == {(y, x): cube[0, y, x] * 0.5 + 1 for y in (0, 2, 4) for x in (0, 2, 4, 6)}
     # Only the files of the chunks that the window touches are in the plan.
     part = arrays.read_zarr(spark, d, {"time": 1}, window=(2, 0, 2, 3))
     assert {f.rpartition(d)[2].strip("/") for f in part.df.inputFiles()} == {"1.1.0" if version == 2 else "c/1/1/0"}
@@ -282,3 +284,21 @@ def test_geopackages(spark):
     assert got == [(1, "POINT (8 47)", 1.5)] * 2 + [(2, "", 0)] * 2
     with pytest.raises(ValueError):
         tables.read_geopackage(spark, f"{d}/*.gpkg", "none")
+
+
+def test_default_zarr_plans():
+    """A small array whole; a huge one by whole chunks in its middle, thinned out; a chunk over the budget by itself."""
+    def meta(shape, chunks, dtype="<f4"):
+        return arrays.ArrayMeta(shape, chunks, dtype, ("time", "y", "x")[-len(shape) :], None, ".", "", None, "C", {})
+
+    small = arrays.default_plan(meta((3, 100, 200), (1, 50, 50)))
+    assert small == {"pins": {"time": 0}, "window": (0, 0, 100, 200), "step": 1, "narrowed": False}
+    huge = arrays.default_plan(meta((20, 528_000, 1_440_000), (20, 512, 512)), 200_000, 256 << 20)
+    r0, c0, n, m = huge["window"]
+    assert huge["narrowed"] and n == m == 3 * 512 and r0 % 512 == c0 % 512 == 0  # chunks of 20 MB: three by three
+    assert abs(r0 + n / 2 - 264_000) <= 512 and abs(c0 + m / 2 - 720_000) <= 512
+    assert huge["step"] == 4 and arrays.zarr_plan(meta((20, 528_000, 1_440_000), (20, 512, 512)), {"time": 0}, huge["window"], huge["step"])["rows"] <= 200_000
+    one = arrays.default_plan(meta((4000, 4000), (4000, 4000)), 10**9, 1)
+    assert one["window"] == (0, 0, 4000, 4000) and one["step"] == 1
+    long = arrays.default_plan(meta((100, 10**7), (100, 100)), 0, 1 << 20)
+    assert long["window"][0] == 0 and long["window"][2] == 100 and long["window"][3] == 500 and long["step"] == 1
