@@ -54,8 +54,10 @@ def sample_raster(l: Layer, tiles: DataFrame | Rasters, band: int = 1, attribute
         block = ["raster", F.floor(F.col("_r") / F.col("bh")), F.floor(F.col("_c") / F.col("bw"))]
         placed = placed.where(inside).select("_id", "raster", "_c", "_r", block[1].alias("_by"), block[2].alias("_bx"))
         order = ["raster", "_by", "_bx", "_id"]
+        # Written, as the optimiser drops an order that an aggregate doesn't need, and moves a filter on the value ahead of it:
+        # blocks would be read in any order, again and again.
         found = placed.repartitionByRange(*order).sortWithinPartitions(*order).select("_id", "raster", geo.tiff_value(F.col("raster"), F.lit(band), F.col("_c"), F.col("_r")).alias("_v"))
-        values = found.where("_v IS NOT NULL").groupBy("_id").agg(F.min_by("_v", "raster").alias(attribute))
+        values = written(found, "values").where("_v IS NOT NULL").groupBy("_id").agg(F.min_by("_v", "raster").alias(attribute))
         return l.with_df(rows.join(values, "_id", "left").select(*[col(c) for c in l.columns], attribute))
     placed = placed.select("_id", "raster", "_c", "_r", F.floor(F.col("_c") / F.col("bw")).cast("int").alias("bx"), F.floor(F.col("_r") / F.col("bh")).cast("int").alias("by"))
     hit = placed.join(own, ["raster", "bx", "by"])
