@@ -1,6 +1,7 @@
 import json
 import os
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -286,6 +287,34 @@ def test_sql_aggregates(shapes):
     assert {r.cat: (r.a, r.e) for r in out.collect()} == {"a": (2.0, "POLYGON ((0 0, 0 1, 2 1, 2 0, 0 0))"), "b": (0.0, "POINT (5 5)"), "c": (None, None)}
 
 
+def test_sql_union_of_many(spark):
+    """A large group is united by stacks in seconds; one shape after the other took longer with every shape."""
+    geo.register(spark)
+    k = F.col("id")
+    x, y = (k * 7919 % 360).cast("double"), (F.floor(k * 104729 / 1000) % 170).cast("double")
+    df = spark.range(12_000).repartition(3).select(F.when(k % 6 == 0, "few").otherwise("many").alias("cat"), x.alias("x"), y.alias("y"))
+    l = layer(df.select("cat", geo.st_box(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("geometry")), "geometry")
+    started = time.time()
+    out = attributes.transform_sql(l, "SELECT cat, st_area(st_union_agg(geometry)) AS a FROM input GROUP BY cat").df
+    got = {r.cat: r.a for r in out.collect()}
+    assert time.time() - started < 90
+    assert got == {r.cat: float(r.n) for r in df.groupBy("cat").agg(F.count_distinct("x", "y").alias("n")).collect()}
+
+
+def test_sql_union_of_copies_and_kinds(spark):
+    """Copies count once, also when they fill stacks; shapes of several kinds give what the union of their array gives."""
+    geo.register(spark)
+    box = "POLYGON (({0} 0, {1} 0, {1} 1, {0} 1, {0} 0))"
+    wkts = {0: box.format(0, 2), 1: box.format(1, 3), 2: "LINESTRING (-1 0.5, 4 0.5)", 3: "POINT (9 9)", 4: None}
+    df = spark.createDataFrame([(c, k) for c, ks in (("a", [0]), ("b", [0, 1]), ("c", [0, 2]), ("d", [0, 1, 2, 3, 4]), ("e", [3]), ("f", [4])) for k in ks], "cat string, k int")
+    df = df.join(spark.createDataFrame(list(wkts.items()), "k int, wkt string"), "k").select("cat", F.explode(F.sequence(F.lit(1), F.lit(1700))), geo.st_geomfromtext(F.col("wkt")).alias("geometry"))
+    l = layer(df.repartition(3).select("cat", "geometry"), "geometry")
+    out = attributes.transform_sql(l, "SELECT cat, st_union_agg(geometry) AS u, st_unionarray(collect_set(geometry)) AS v FROM input GROUP BY cat").df
+    got = {r.cat: r for r in out.select("cat", geo.st_area(F.col("u")).alias("a"), F.col("u").isNull().alias("none"), geo.st_astext(geo.st_shape("normal", F.col("u"))).alias("u"), geo.st_astext(geo.st_shape("normal", F.col("v"))).alias("v")).collect()}
+    assert {c: (r.a, r.none) for c, r in got.items()} == {"a": (2.0, False), "b": (3.0, False), "c": (2.0, False), "d": (3.0, False), "e": (0.0, False), "f": (None, True)}
+    assert all(r.u == r.v for r in got.values())
+
+
 def test_dissolve_in_stacks(spark, monkeypatch):
     """A group of many shapes, a third of them in one place, is united by stacks; copies count as parts."""
     monkeypatch.setattr(summarise, "STACK", 7)
