@@ -133,8 +133,8 @@ def shared_areas(spark, d) -> DataFrame:
     a = a.with_df(a.df.withColumn("geometry", geo.st_box(F.col("x"), F.col("y"), F.col("x") + 20, F.col("y") + 20)))
     left = layer(a.df.select("s_suppkey", "geometry"), "geometry")
     right = layer(a.df.select(F.col("s_suppkey").alias("other"), F.col("geometry").alias("shape")), "shape")
-    met = combine.spatial_join(left, right).df.where("s_suppkey < other")
-    return met.select("s_suppkey", "other", F.round(geo.st_area(geo.st_intersection(F.col("geometry"), F.col("shape"))), 6).alias("area"))
+    area = lambda one, two: F.round(geo.st_area(geo.st_intersection(one, two)), 6)
+    return combine.spatial_join(left, right, measures={"area": area}).df.where("s_suppkey < other").select("s_suppkey", "other", "area")
 
 
 def capped_count(spark, d) -> DataFrame:

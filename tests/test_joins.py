@@ -62,3 +62,42 @@ def test_nothing_to_meet(spark):
     assert combine.spatial_join(none, l.with_df(l.df.withColumnRenamed("i", "j"))).df.count() == 0
     with pytest.raises(ValueError):
         combine.spatial_join(l, r, "touches")
+
+
+@pytest.mark.parametrize(("copied", "predicate", "distance"), [("both", "intersects", None), ("left", "dwithin", 1.5), ("right", "intersects", None), ("one", "intersects", None)])
+def test_copies_meet_as_one(spark, monkeypatch, copied, predicate, distance):
+    """Rows of equal shapes find the same partners as rows do one by one, with what is measured of both shapes."""
+    monkeypatch.setattr(combine, "PAIRS", 500)
+    geo.register(spark)
+    n = {"both": (400, 300, 20, 15), "left": (400, 60, 20, 60), "right": (60, 400, 60, 20), "one": (2500, 40, 1, 1)}[copied]
+
+    def side(rows, different, name):
+        k = F.col("k")
+        x, y, w = k * 7 % 40, k * 11 % 30, k % 5 + 1
+        shape = F.when(F.col(name) % 17 == 3, F.lit(None).cast("binary")).when(F.col(name) % 17 == 4, geo.st_geomfromtext(F.lit("POLYGON EMPTY"))).otherwise(geo.st_box(x, y, x + w, y + w))
+        df = spark.range(rows).select(F.col("id").alias(name), (F.col("id") % different).alias("k"), "id")
+        return layer(df.select(name, shape.alias("g"), "k"), "g")
+
+    l, r = side(n[0], n[2], "i"), side(n[1], n[3], "j")
+    got = combine.spatial_join(l, r, predicate, distance, "left", measures={"shared": lambda a, b: geo.st_area(geo.st_intersection(a, b))})
+    assert got.columns == ["i", "g", "k", "j", "g_right", "k_right", "shared"]
+    a, b = F.col("l.g"), F.col("r.g")
+    meets = geo.st_intersects(a, b) if predicate == "intersects" else geo.st_distance(a, b) <= distance
+    there = lambda c: c.isNotNull() & (geo.st_measure("is_empty", c) == 0)
+    want = l.df.alias("l").join(r.df.alias("r"), there(a) & there(b) & meets, "left").select("i", "j", "l.k", F.col("r.k").alias("k_right"), geo.st_area(geo.st_intersection(a, b)).alias("shared"))
+    rows = sorted(want.collect(), key=str)
+    assert sorted(got.df.select("i", "j", "k", "k_right", "shared").collect(), key=str) == rows and len(rows) > 500
+    inner = combine.spatial_join(l, r, predicate, distance)
+    assert inner.df.select("i", "j").exceptAll(want.where("j IS NOT NULL").select("i", "j")).isEmpty() and inner.df.count() == want.where("j IS NOT NULL").count()
+
+
+def test_copies_are_tested_once(spark):
+    """Thousands of copies make millions of pairs, but few of shapes are tested and measured."""
+    geo.register(spark)
+    k = F.col("id") % 10
+    l = layer(spark.range(2000).select(F.col("id").alias("i"), geo.st_box(k, k, k + 3, k + 3).alias("g")), "g")
+    r = layer(l.df.select(F.col("i").alias("j"), F.col("g").alias("h")), "h")
+    out = combine.spatial_join(l, r, measures={"shared": lambda a, b: geo.st_area(geo.st_intersection(a, b))}).df
+    assert out.agg(F.count("*"), F.sum("shared")).first()[:] == (200 * 200 * 58, 40_000.0 * (90 + 2 * 9 * 4 + 2 * 8 * 1))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "geo_compare" not in plan and "geo_combine" not in plan  # they are done, for classes
