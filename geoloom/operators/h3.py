@@ -152,6 +152,10 @@ def polygon_cells(l: Layer, resolution: int = 7, rule: str = "ContainsCentroid",
         raise ValueError("a resolution is between 0 and 15")
     rest = [c for c in l.columns if c not in (g, index)]
     row = l.df.select(F.struct(*map(col, rest)).alias("row") if rest else F.lit(0).alias("row"), col(g).alias("polygon"))
+    # Polygons come to tasks by where they are, however few files they are read from; a crowded place is divided.
+    b = geo.st_bounds(F.col("polygon"))
+    place = [F.floor(b["minx"]), F.floor(b["miny"]), F.xxhash64("polygon")]
+    row = row.repartitionByRange(*([partitions] if partitions else []), *place).sortWithinPartitions(*place)
     found = row.select("row", "polygon", F.explode(geo.cell_fill(F.col("polygon"), F.lit(None).cast("long"), resolution, rule)).alias("at"))
     # The first step may end anywhere above; from there each goes some levels further.
     for step in range(-(-resolution // LEVELS_A_STEP)):

@@ -1,9 +1,11 @@
 import math
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.cluster import written
 from geoloom.functions import geo
 from geoloom.layer import layer
 from geoloom.operators import h3
@@ -178,3 +180,21 @@ def test_cells_are_written_as_shapes(spark, tmp_path, format):
     assert same_ring(got[1], HEXAGONS["8a1f8d7a49a7fff"]) and got[2] is None
     writers.write(layer(df), f"{tmp_path}/plain")
     assert readers.read(spark, f"{tmp_path}/plain").columns == ["h3_index", "v"]
+
+
+def test_fills_of_many_small_polygons(spark):
+    """Many small polygons of one file are filled by many tasks, and what is known of coarse cells is not worked out for each again."""
+    geo.register(spark)
+    k = F.col("id")
+    x, y = k * 7919 % 36000 / 100 - 180, k * 104729 % 13600 / 100 - 68
+    df = spark.range(60_000).coalesce(1).select("id", geo.st_box(x, y, F.least(x + 0.3, F.lit(180)), y + 0.2).alias("geometry"))
+    h3.polygon_cells(layer(df.limit(9), "geometry"), 5, shapes=False).df.count()  # loads what it needs
+    started = time.time()
+    cells = written(h3.polygon_cells(layer(df, "geometry"), 5, shapes=False).df)
+    took = time.time() - started
+    cells = cells.withColumn("c", geo.cell_centre(h3.cell_number(F.col("h3_index"))))
+    found = cells.join(df.withColumnRenamed("id", "own").withColumn("b", geo.st_bounds(F.col("geometry"))), F.col("id") == F.col("own"))
+    inside = geo.st_x(F.col("c")).between(F.col("b.minx"), F.col("b.maxx")) & geo.st_y(F.col("c")).between(F.col("b.miny"), F.col("b.maxy"))
+    n, different, good, polygons = found.agg(F.count("*"), F.count_distinct("id", "h3_index"), F.count_if(inside), F.count_distinct("id")).first()
+    assert n == different == good and polygons > 57_000
+    assert took < 20
