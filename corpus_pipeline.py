@@ -15,7 +15,7 @@ from geoloom.llm.queries import learned_labels
 ROWS_AT_A_TIME, BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-#: Words that a worker of the last stage remembers: few, as workers are used again by later jobs, beside heaps that have grown.
+#: Pieces of words that a worker of the last stage remembers: few, as workers are used again by later jobs, beside heaps that have grown.
 REMEMBERED = 100_000
 
 #: Tables that the stage before wrote for itself. Its result is written before the next one begins, and then they go.

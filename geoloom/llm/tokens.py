@@ -8,12 +8,14 @@ lengths of whole documents, the frequency table, each block's checkpoint and che
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,13 @@ from geoloom.llm import rans
 END = 1
 #: A segment ends with the document that fills it.
 SEGMENT = 1 << 20
-#: Words that a worker remembers with their ids.
-REMEMBERED = 800_000
+#: Bytes of text whose words are looked up together.
+LOOKED_UP = 1 << 19
+#: Pieces of words that a worker remembers with their ids, and those that go to the model in one text.
+REMEMBERED, TOGETHER = 800_000, 128
+#: Letters up to U+00FF, ASCII marks, and a word of letters with marks behind them.
+LETTERS, MARKS = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]", string.punctuation
+SHORT = f"^{LETTERS}*[!-/:-@\\[-`{{-~]*$"
 #: A special token of the tokenizer, which parts what stands before and after it.
 SPECIAL = "<|endoftext|>"
 
@@ -42,41 +49,51 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def _rows(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``which`` of a table of ids, one after the other, and where each of them ends."""
+    lengths = (starts[1:] - starts[:-1])[which]
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Words(dict):
-    """From white-space words (UTF-8, as they stand in the text) to places in a table of ids, filled as words are met.
+    """From pieces of words (UTF-8) to places in a table of ids, filled as pieces are met.
 
     Holds for tokenizers that lower-case, drop white space, and treat runs of letters and other runs apart, so that a
-    text's ids are those of its words in order. Words of letters go straight to the BPE model, with a closing mark split
-    off; all others go through the whole tokenizer. Only ASCII letters are lower-cased here: the tokenizer composes
-    characters before it lower-cases the rest, and its special tokens are told apart by case.
+    text's ids are those of its words in order. A word of letters up to U+00FF with ASCII marks behind them, or of either
+    alone, is two pieces, the letters in lower case and the marks: many words share them, and they go straight to the BPE
+    model. Any other word is one piece, written with a space before it. Of those, letters go to the model, with a closing
+    mark split off; the rest goes through the whole tokenizer. Beyond U+00FF only the tokenizer itself lower-cases: it
+    composes characters before, and its special tokens are told apart by case.
     """
 
     def __init__(self, path: str):
         super().__init__()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        #: The same model, over pieces that are parted already.
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.between = {b: c for b, c in self.letters.items() if b != ord(" ")}
         self.forget()
 
     def forget(self) -> None:
         self.clear()
-        self.flat, self.starts, self.pending = array("I", [END]), array("q", [0, 1]), []
-        self[None] = 0
+        self.flat, self.starts, self.pending = array("I"), array("q", [0, 0]), []
+        self[b""] = 0
 
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.pending.append(word)
+    def __missing__(self, piece: bytes) -> int:
+        at = self[piece] = len(self)
+        self.pending.append(piece)
         return at
 
     def _letters_only(self, word: str) -> list[int] | None:
-        if word.isascii():
-            word = word.lower()
-        else:
-            word = self.tokenizer.normalizer.normalize_str(word)
-            if not word.isalpha():
-                return None
-            word = word.encode().decode("latin-1").translate(self.letters)
+        word = self.tokenizer.normalizer.normalize_str(word)
+        if not word.isalpha():
+            return None
+        word = word.encode().decode("latin-1").translate(self.letters)
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
     def _whole(self, words: list[str]) -> list[list[int]]:
@@ -87,14 +104,14 @@ class Words(dict):
         ids = np.array(self.tokenizer.encode_batch_fast([SPECIAL.join(words)], add_special_tokens=False)[0].ids, np.int64)
         return [part[part != special].tolist() for part in np.split(ids, np.flatnonzero(ids == special))]
 
-    def resolve(self) -> None:
-        """Find the ids of the words met since the last time."""
+    def _words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words that aren't letters up to U+00FF and marks."""
         found, slow = [], []
-        for raw in self.pending:
+        for raw in words:
             word, ids = raw.decode(), None
             if word.isalpha():
                 ids = self._letters_only(word)
-            elif word[:-1].isalpha() and word[-1].isascii() and not word[-1].isalnum() and word[-1] > " ":
+            elif word[:-1].isalpha() and word[-1] in MARKS:
                 ids = self._letters_only(word[:-1])
                 if ids is not None:
                     ids = ids + [t.id for t in self.tokenizer.model.tokenize(word[-1])]
@@ -107,32 +124,63 @@ class Words(dict):
             if some:
                 for (k, _), ids in zip(some, self._whole([w for _, w in some]), strict=True):
                     found[k] = ids
-        for ids in found:
-            self.flat.extend(ids)
-            self.starts.append(len(self.flat))
+        return found
+
+    def _grow(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts.frombytes((len(self.flat) + np.cumsum(lengths, dtype=np.int64)).tobytes())
+        self.flat.frombytes(ids.tobytes())
+
+    def resolve(self) -> None:
+        """Find the ids of the pieces met since the last time; those of letters or marks were met before whole words."""
+        cut = next((k for k, p in enumerate(self.pending) if p.startswith(b" ")), len(self.pending))
+        short, words = self.pending[:cut], [p[1:] for p in self.pending[cut:]]
+        for i in range(0, len(short), TOGETHER):
+            some = short[i : i + TOGETHER]
+            text = b" ".join(some)
+            text = text.decode() if text.isascii() else text.decode("latin-1").translate(self.between)
+            coded = self.model.encode_batch([text], add_special_tokens=False)[0]
+            self._grow(np.array(coded.ids, np.uint32), np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some)))
+        if words:
+            found = self._words(words)
+            self._grow(np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found]))
         self.pending.clear()
 
-    def encode(self, texts: list[str | None], remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, pieces.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(pieces))
+
+    def _pieces(self, words: pa.Array) -> np.ndarray:
+        """The places of the two pieces of different words."""
+        short = pc.match_substring_regex(words, SHORT)
+        is_short = short.to_numpy(zero_copy_only=False)
+        near = words.filter(short)
+        stems = pc.ascii_rtrim(near, MARKS)
+        marked = pc.not_equal(pc.binary_length(near), pc.binary_length(stems))
+        tails = pc.replace_substring_regex(near.filter(marked), f"^{LETTERS}+", "")
+        at = np.zeros((len(words), 2), np.int64)
+        for k, where, pieces in ((0, is_short, pc.utf8_lower(stems)), (1, np.flatnonzero(is_short)[marked.to_numpy(zero_copy_only=False)], tails)):
+            coded = pieces.dictionary_encode()
+            at[where, k] = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        at[~is_short, 0] = self._places(pc.binary_join_element_wise("", words.filter(pc.invert(short)), " "))
+        return at
+
+    def encode(self, texts: list[str | None] | pa.Array, remembered: int = REMEMBERED) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each closed by the end id, and how many each text has."""
         if len(self) > remembered:
             self.forget()
-        look = self.__getitem__
-        places = []
-        for t in texts:
-            words = t.encode().split() if t else []
-            places.append(np.fromiter(map(look, words), np.int32, len(words)))
-            places.append(np.zeros(1, np.int32))
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        pieces = self._pieces(coded.dictionary)
         self.resolve()
-        counts = np.array([len(p) for p in places], np.int64)
-        place = np.concatenate(places) if places else np.zeros(0, np.int32)
-        flat, starts = np.array(self.flat, np.uint32), np.array(self.starts, np.int64)
-        lengths = (starts[1:] - starts[:-1])[place]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.repeat(starts[place] - (ends - lengths), lengths) + np.arange(total)]
-        words_upto = np.cumsum(counts)[1::2]
-        upto = ends[words_upto - 1] if len(words_upto) else np.zeros(0, np.int64)
-        return ids, np.diff(np.concatenate(([0], upto)))
+        # A table of the different words, closed by a row for the end of a text.
+        flat, ends = _rows(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64), pieces.ravel())
+        flat, starts = np.append(flat, np.uint32(END)), np.concatenate(([0], ends[1::2], [len(flat) + 1]))
+        closes = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64) + 1) - 1
+        place, inside = np.full(len(coded) + len(closes), len(pieces)), np.ones(len(coded) + len(closes), bool)
+        inside[closes] = False
+        place[inside] = coded.indices.to_numpy()
+        ids, ends = _rows(flat, starts, place)
+        return ids, np.diff(ends[closes], prepend=0)
 
 
 _WORDS: dict[str, Words] = {}
@@ -144,6 +192,13 @@ def _words(path: str) -> Words:
     return _WORDS[path]
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of under ``LOOKED_UP`` bytes of text behind the first row, which may have any length."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = [0, *(np.flatnonzero(np.diff(upto // LOOKED_UP)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(i, k - i) for i, k in zip(cuts, cuts[1:], strict=False) if k > i)
+
+
 def _row(ids: np.ndarray, names: pa.Array, lengths: np.ndarray) -> pa.RecordBatch:
     s = rans.encode(ids)
     raw = lambda a, kind: pa.array([a.astype(kind).tobytes()], pa.binary())
@@ -159,7 +214,7 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     Null texts count as empty and yield the end id alone. Null ids come first. Rows that share an id stay in the order
     of their texts' hash. An empty table writes no segment. The tokenizer's file must be at the same place everywhere.
-    ``remembered`` words are kept in a worker with their ids: fewer take less memory and more time.
+    ``remembered`` pieces of words are kept in a worker with their ids: fewer take less memory and more time.
     """
     tokenizer = tokenizer or default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -169,8 +224,8 @@ def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
         size = 0
         for whole in batches:
-            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                ids, lengths = known.encode(b.column(1).to_pylist(), remembered)
+            for b in _slices(whole):
+                ids, lengths = known.encode(b.column(1), remembered)
                 parts.append((ids, b.column(0), lengths))
                 size += len(ids)
                 if size >= SEGMENT:

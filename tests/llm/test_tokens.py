@@ -2,6 +2,7 @@ import tempfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -63,6 +64,38 @@ def test_any_text_gives_the_ids_of_whole_texts(texts):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+def test_words_that_share_letters_go_to_the_model_once():
+    known = tokens.Words(tokens.default_tokenizer())
+    letters, marks = ["house", "\u00e9t\u00e9", "stra\u00dfe", "tree"], ["", ".", ",", "***", "###", "!!"]
+    texts = [" ".join(w + m for m in marks) for x in letters for w in (x, x.capitalize(), x[:-1] + x[-1].upper().replace("SS", "\u00df"))]
+    ids, lengths = known.encode(texts)
+    want = whole(texts)
+    assert ids.tolist() == [i for w in want for i in w] and lengths.tolist() == [len(w) for w in want]
+    assert len(known) <= len(letters) + len(marks)
+
+
+def test_every_character_at_any_place_of_a_word():
+    chars = [chr(c) for c in range(1, 0x250)]
+    texts = [f for c in chars for f in (c, f"x{c}", f"{c}x", f"x{c}y", f"\u00c9{c}***", f"x***{c}", f"X {c} Y")]
+    ids, lengths = tokens.Words(tokens.default_tokenizer()).encode(texts)
+    want = whole(texts)
+    assert [t for t, n, w in zip(texts, lengths.tolist(), want, strict=True) if n != len(w)] == []
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_forgetting_and_slices_change_no_ids(monkeypatch):
+    texts = ["Some words, some marks***", None, "", "z" * 300, " \u65e5\u672c. <|endoftext|> it's ", None, "words again", "z" * 30] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
+    monkeypatch.setattr(tokens, "LOOKED_UP", 64)
+    slices, known = list(tokens._slices(batch)), tokens.Words(tokens.default_tokenizer())
+    assert len(slices) > 3 and pa.Table.from_batches(slices).combine_chunks() == pa.Table.from_batches([batch])
+    assert list(tokens._slices(batch.slice(0, 0))) == []
+    parts = [known.encode(s.column(1), remembered=5) for s in slices]
+    want = whole(texts)
+    assert [i for ids, _ in parts for i in ids.tolist()] == [i for w in want for i in w]
+    assert [n for _, lengths in parts for n in lengths.tolist()] == [len(w) for w in want]
+
+
 def test_files_round_trip(spark, odd_docs):
     path = f"file://{tempfile.mkdtemp()}/tokens"
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start), r.n_tokens, r.ids_crc32) for r in tokens.packed(odd_docs, path=path).collect())
